@@ -25,7 +25,7 @@ def rfc2822_date(stamp) -> Column:
     """The calendar date written in an RFC-2822 stamp (its own zone), NULL
     when it cannot be read (the reference stores ``""``)."""
     s = F.regexp_extract(_col(stamp), _DAY_MON_YEAR, 1)
-    return F.try_to_date(F.nullif(s, F.lit("")), F.lit("d MMM yyyy"))
+    return F.try_to_date(F.nullif(s, F.lit("")), "d MMM yyyy")
 
 
 def _zone_suffix(stamp: Column) -> Column:
@@ -62,7 +62,7 @@ def rfc2822_instant(stamp) -> Column:
 
 def iso_day(ts_text) -> Column:
     """Date part of an ISO timestamp text (first 10 characters)."""
-    return F.try_to_date(F.substring(_col(ts_text), 1, 10), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.substring(_col(ts_text), 1, 10), "yyyy-MM-dd")
 
 
 def _as_date(v):

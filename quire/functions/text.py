@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 # Line boundaries of Python's str.splitlines(): CRLF, or one of LF, CR, VT, FF,
 # FS, GS, RS, NEL, LINE SEPARATOR, PARAGRAPH SEPARATOR.
 LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
+# Characters Python's str.isspace() accepts (what str.strip() removes), as a
+# regex class both Java and RE2 read.
+PY_SPACE = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+            r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
 # URL template per artefact format ({} = versioned id).
 FORMAT_URLS = {
     "abstract": "https://arxiv.org/abs/{}",
@@ -36,7 +40,7 @@ def blank_if_null(c) -> Column:
 
 def strip(c) -> Column:
     """Surrounding whitespace removed (Python ``str.strip()``)."""
-    return F.regexp_replace(_col(c), r"^\s+|\s+$", "")
+    return F.regexp_replace(F.regexp_replace(_col(c), "^" + PY_SPACE + "+", ""), PY_SPACE + "+$", "")
 
 
 def lines(c) -> Column:

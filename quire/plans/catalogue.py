@@ -1,4 +1,4 @@
-"""Registered queries over the driver's tables, each with a DuckDB oracle.
+"""Registered queries (filters, lookups, dedup) over the driver's tables, each with a DuckDB oracle.
 
 ``QUERIES[name](spark, sf_dir) -> DataFrame`` and ``ORACLE[name]`` (SQL on the
 pre-registered views) return the same columns; every computed column is
@@ -9,9 +9,6 @@ limit is the operator itself (paging).
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import categories as cat
@@ -19,19 +16,7 @@ from ..functions import dates, ids, text
 from ..operators import dedup, filters, lookup, metrics, ordering
 from ..sources.tables import table
 from . import standins as si
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql.strip()
-        return fn
-    return deco
-
+from .registry import ORACLE, QUERIES, register  # noqa: F401
 
 # --------------------------------------------------------------------------
 # E1 flagship: id pattern + date range + category -> per-category, per-year count
@@ -226,3 +211,7 @@ def dedup_last(spark, d):
 SELECT DISTINCT lang, source FROM documents""")
 def distinct_labels(spark, d):
     return dedup.distinct_values(table(spark, d, "documents"), "lang", "source")
+
+
+# the other query modules register themselves on import
+from . import catalogue_text  # noqa: E402,F401
