@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import PY_SPACE
+
 # --- fixed values (must equal the reference's for the same labels) ---------
 # Archives that are all mapped to the group "ph".
 PH_ARCHIVES = ["astro-ph", "cond-mat", "gr-qc", "hep-ex", "hep-lat", "hep-ph", "hep-th", "nlin",
@@ -40,7 +42,7 @@ def _col(c) -> Column:
 def category_tokens(c) -> Column:
     """Whitespace tokens of a space-separated category string (Python ``split()``):
     no empty tokens, leading/trailing blanks ignored."""
-    return F.array_remove(F.split(_col(c), r"\s+"), "")
+    return F.array_remove(F.split(_col(c), PY_SPACE + "+"), "")
 
 
 def primary_category(c) -> Column:

@@ -118,7 +118,8 @@ def confusion_percent(dense: DataFrame) -> DataFrame:
     rs = F.sum("cnt").over(w)
     x = dense.withColumn("row_total", rs.cast("bigint"))
     x = x.withColumn("pct", F.when(F.col("row_total") > 0, 100.0 * F.col("cnt") / F.col("row_total")))
-    p = F.format_string("%.1f%%", F.col("pct"))
+    # format_number rounds the binary value half-even, as Python's "%.1f" does
+    p = F.concat(F.format_number(F.col("pct"), 1), F.lit("%"))
     txt = (F.when(F.col("actual") == F.col("predicted"),
                   F.concat(p, F.lit("\n"), F.col("cnt").cast("string"), F.lit("/"),
                            F.col("row_total").cast("string")))
