@@ -53,5 +53,7 @@ def cocitation_vectors(counts: DataFrame, categories: DataFrame, cat_col: str =
     all_labels = labels.agg(F.array_sort(F.collect_list("l"))).scalar()
     m = counts.groupBy("paper").agg(
         F.map_from_entries(F.collect_list(F.struct("cat", F.col(value).cast("double")))).alias("m"))
-    return m.select("paper", F.transform(all_labels, lambda lab: F.coalesce(F.col("m")[lab], F.lit(0.0)))
+    # the label array is projected first: a subquery cannot sit inside a lambda
+    m = m.select("paper", "m", all_labels.alias("_labels"))
+    return m.select("paper", F.transform("_labels", lambda lab: F.coalesce(F.col("m")[lab], F.lit(0.0)))
                     .alias("cocitation"))

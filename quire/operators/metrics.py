@@ -63,7 +63,7 @@ def accuracy(pred, label) -> Column:
 
 
 def score_table(df: DataFrame, probs: str, label: str, pred: str | None = None,
-                ns=(3, 5)) -> DataFrame:
+                ns=(3, 5), extra=()) -> DataFrame:
     """M6 metrics in one aggregate: top1 (accuracy of ``pred`` or of the argmax),
     top-n for each n, log-likelihood, perplexity = exp(-LL / N), row count."""
     top1 = accuracy(pred, label) if pred else F.avg(in_top_n(probs, label, 1).cast("double"))
@@ -71,7 +71,7 @@ def score_table(df: DataFrame, probs: str, label: str, pred: str | None = None,
     for n in ns:
         aggs.append(F.avg(in_top_n(probs, label, n).cast("double")).alias(f"top{n}"))
     ll = F.sum(log_true_prob(probs, label))
-    aggs += [ll.alias("loglikelihood"), F.count(F.lit(1)).alias("n")]
+    aggs += [ll.alias("loglikelihood"), F.count(F.lit(1)).alias("n"), *extra]
     out = df.agg(*aggs)
     return out.withColumn("perplexity", F.exp(-F.col("loglikelihood") / F.col("n")))
 

@@ -8,6 +8,7 @@ from ..functions import text
 from ..operators import cocitation, encode, lookup, metrics, ordering
 from ..sources.tables import table
 from . import standins as si
+from ..session import materialize
 from .registry import register
 
 HASH_DIM = 256
@@ -225,3 +226,49 @@ FROM r""")
 def confusion_pct(spark, d):
     p = metrics.confusion_percent(metrics.confusion_dense(_predicted(spark, d), "actual", "predicted"))
     return p.withColumn("pct", F.round("pct", 6))
+
+
+# --------------------------------------------------------------------------
+# M4-M7: classifiers (rows-only in the driver check; accuracy bounds in pytest).
+# Stand-in corpus: documents, label = lang, "title" = first line, "abstract" =
+# whole text, co-citation = documents sharing a source (J5 with source as the
+# citing side, training labels only).
+# --------------------------------------------------------------------------
+def doc_feature_table(spark, d, dim: int = 64):
+    from ..operators import classify  # noqa: F401  (pyspark.ml import kept lazy)
+    from . import ablation
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "text")
+    # split + codes are reused four times below: materialise once (reliable checkpoint)
+    prepared = materialize(ablation.prepare(docs, "doc_id", "lang"))
+    feats = prepared.select(
+        "doc_id", "lang", "code", "split",
+        encode.hashed_embedding(text.snippet("text", 1), dim).alias("title_emb"),
+        encode.hashed_embedding("text", dim).alias("abstract_emb"))
+    edges = prepared.select(F.col("source").alias("src"), F.col("doc_id").alias("dst"))
+    train = prepared.where(F.col("split") == "train").select(F.col("doc_id").alias("id"),
+                                                             F.col("lang").alias("cat"))
+    counts = cocitation.cocitation_counts(edges, train)
+    vecs = cocitation.cocitation_vectors(counts, prepared.select(F.col("lang").alias("cat")))
+    vecs = vecs.select(F.col("paper").cast("bigint").alias("doc_id"), "cocitation")
+    n_cats = prepared.select("lang").distinct()
+    k = n_cats.agg(F.count(F.lit(1)).cast("int")).scalar()
+    zeros = F.array_repeat(F.lit(0.0), k)
+    return (feats.join(vecs, on="doc_id", how="left")
+            .withColumn("cocitation", F.coalesce(F.col("cocitation"), zeros)))
+
+
+@register("train_ovr")
+def train_ovr(spark, d):
+    from ..operators import classify
+    t = doc_feature_table(spark, d)
+    x = classify.to_vector(t, "abstract_emb")
+    spec = classify.ClassifierSpec(**classify.SUMMARY_PARAMS)
+    return classify.train_test(x.where(F.col("split") == "train"), x.where(F.col("split") == "test"), spec)
+
+
+@register("ablation")
+def ablation_q(spark, d):
+    from ..operators import classify
+    from . import ablation
+    spec = classify.ClassifierSpec(**classify.ABLATION_PARAMS)
+    return ablation.run_ablation(doc_feature_table(spark, d), ablation.FEATURE_SETS, spec)
