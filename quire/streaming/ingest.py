@@ -21,15 +21,17 @@ from ..sources.snapshot import SNAPSHOT_SCHEMA, index_rows
 
 def snapshot_stream(spark: SparkSession, src_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming scan of NDJSON snapshot files: parsed records with an ``id``
-    and their position ``(file, row)`` inside the stream."""
+    and their position ``(file, block)`` inside the stream."""
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = r.load(src_dir)
     rec = F.from_json(F.col("value"), SNAPSHOT_SCHEMA, {"mode": "PERMISSIVE"}).alias("record")
+    # a streaming scan has no row ordinal: the position is (file, block) only,
+    # so duplicates inside one dropped file tie (files order by path)
     pos = F.struct(F.col("_metadata.file_path").alias("file"),
                    F.col("_metadata.file_block_start").alias("block"),
-                   F.monotonically_increasing_id().alias("row")).alias("_pos")
+                   F.lit(None).cast("long").alias("row")).alias("_pos")
     parsed = raw.select(rec, pos)
     return parsed.where(F.col("record.id").isNotNull() & (F.col("record.id") != ""))
 
