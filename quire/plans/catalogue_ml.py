@@ -204,9 +204,10 @@ def confusion_cube(spark, d):
 _DENSE_SQL = f"""
 WITH x AS {_PRED_SQL},
 l AS (SELECT actual AS l FROM x UNION SELECT predicted FROM x),
-c AS (SELECT actual, predicted, count(*) AS cnt FROM x GROUP BY actual, predicted)
-SELECT a.l AS actual, b.l AS predicted, coalesce(c.cnt, 0) AS cnt
-FROM l a CROSS JOIN l b LEFT JOIN c ON c.actual = a.l AND c.predicted = b.l"""
+c AS (SELECT actual, predicted, count(*) AS cnt FROM x GROUP BY actual, predicted),
+g AS (SELECT l AS actual, unnest((SELECT list(l ORDER BY l) FROM l)) AS predicted FROM l)
+SELECT g.actual, g.predicted, coalesce(c.cnt, 0) AS cnt
+FROM g LEFT JOIN c ON c.actual = g.actual AND c.predicted = g.predicted"""
 
 
 @register("confusion_dense", _DENSE_SQL)

@@ -147,7 +147,7 @@ SELECT page_id, fmt,
                 ELSE 'https://arxiv.org/e-print/' END || CAST(page_id AS VARCHAR) || 'v1' AS url,
        CAST(page_id AS VARCHAR) || 'v1.' || CASE fmt WHEN 'pdf' THEN 'pdf' WHEN 'html' THEN 'html'
                 ELSE 'tar.gz' END AS file_name
-FROM pages, (SELECT unnest(['pdf', 'html', 'source']) AS fmt)""")
+FROM (SELECT page_id, unnest(['pdf', 'html', 'source']) AS fmt FROM pages)""")
 def artefact_names(spark, d):
     pg = table(spark, d, "pages").select("page_id")
     vid = ids.with_version(F.col("page_id").cast("string"), "v1")
