@@ -57,6 +57,7 @@ def zero_fill(ids: DataFrame, vectors: DataFrame, key: str, vec_col: str, dim: i
 
 def decode_labels(df: DataFrame, codes: DataFrame, code_col: str, label_col: str = "label",
                   out_col: str | None = None) -> DataFrame:
-    """Code -> label through the label dimension (one row per class, broadcast)."""
+    """Code -> label through the label dimension (one row per class;
+    broadcast when its size is checked small)."""
     dim = codes.select(F.col("code").alias(code_col), F.col(label_col).alias(out_col or label_col))
-    return df.join(F.broadcast(dim), on=code_col, how="left")
+    return df.join(small_side(dim), on=code_col, how="left")

@@ -21,7 +21,7 @@ def con():
 
 def test_every_query_has_oracle_or_is_model():
     missing = set(entry_mod.queries()) - set(ORACLE)
-    assert missing == {"train_ovr", "ablation"}
+    assert missing == {"train_ovr", "ablation", "summary_confusion"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
@@ -41,3 +41,13 @@ def test_classifier_learns(spark):
     m = entry_mod.queries()["train_ovr"](spark, SF_CHECK).first()
     assert m.top1 > 0.8 and m.top3 >= m.top1 and m.n > 0 and m.n_unseen == 0
     assert m.perplexity < 4.0                       # 4 classes: uniform guess = 4
+
+
+def test_summary_pipeline(spark):
+    rows = entry_mod.queries()["summary_confusion"](spark, SF_CHECK).collect()
+    labels = {r.actual for r in rows}
+    assert labels == {"de", "en", "es", "fr"}
+    assert len(rows) == 16                                    # dense 4 x 4, zeros included
+    diag = sum(r.cnt for r in rows if r.actual == r.predicted)
+    assert diag / sum(r.cnt for r in rows) > 0.8
+    assert all(r.cell == "" for r in rows if r.cnt == 0)
