@@ -106,4 +106,4 @@ def encode_labels(df: DataFrame, label_col: str, out: str = "code") -> DataFrame
     """M3 applied: attach the code of each row's label (broadcast of the class
     table when its size is checked small)."""
     codes = label_codes(df, label_col).withColumnRenamed("label", label_col).withColumnRenamed("code", out)
-    return df.join(small_side(codes), on=label_col, how="left")
+    return df.join(small_side(codes, materialize_first=True), on=label_col, how="left")

@@ -84,16 +84,21 @@ def list_ids_sorted(papers: DataFrame, id_col="base_id", **filters) -> DataFrame
     return list_paper_ids(papers, id_col=id_col, **filters).distinct().orderBy(id_col)
 
 
-def versioned_ids(ids: DataFrame, regex_id: str | None, id_col: str = "base_id") -> DataFrame:
+def versioned_ids(ids: DataFrame, regex_id: str | None, id_col: str = "base_id",
+                  keep_columns: bool = False) -> DataFrame:
     """``(base_id, versioned_id)`` rows for a possibly versioned id pattern.
 
     With ``v<N>`` at the end of the pattern: base ids matching the pattern
     without the suffix, versioned as ``<id>v<N>``, kept when the full pattern
     matches too. Without it: pattern-matching ids with ``v1``. No pattern: all.
-    Matching is anchored at the start (Python ``re.match``).
+    Matching is anchored at the start (Python ``re.match``). ``keep_columns``
+    keeps the other columns of ``ids``.
     """
     base_pat, ver, named = split_versioned_pattern(regex_id)
-    out = ids.select(F.col(id_col).alias("base_id"))
+    if keep_columns:
+        out = ids if id_col == "base_id" else ids.withColumnRenamed(id_col, "base_id")
+    else:
+        out = ids.select(F.col(id_col).alias("base_id"))
     if base_pat:
         out = out.where(regex_match("base_id", base_pat))
     out = out.withColumn("versioned_id", with_version("base_id", ver))
@@ -112,13 +117,14 @@ def count_papers(papers: DataFrame, start_date=None, end_date=None,
 def min_class_filter(df: DataFrame, label_col: str, min_count: int = 2) -> DataFrame:
     """Keep rows whose class has at least ``min_count`` rows.
 
-    The class counts come from a partial+final aggregate; the frequent classes
-    are then semi-joined back. AQE turns the semi join into a broadcast when the
-    class table is small at runtime, a shuffle join otherwise.
+    The class counts come from a partial+final aggregate (a hot class ships one
+    row per map task), stored once; the frequent classes are then semi-joined
+    back, broadcast when the class table is checked small, shuffled otherwise.
     """
+    from .lookup import small_side
     keep = (df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
             .where(F.col("_n") >= min_count).select(label_col))
-    return df.join(keep, on=label_col, how="left_semi")
+    return df.join(small_side(keep, materialize_first=True), on=label_col, how="left_semi")
 
 
 def feed_batch_filter(entries: DataFrame, regex_id, start_date, end_date, category,

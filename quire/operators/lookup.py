@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # Largest row count for which a lookup side is broadcast. The check is a
 # bounded count (``limit(n + 1).count()``), so it never scans a big side fully.
 BROADCAST_MAX_ROWS = 2_000_000
@@ -15,9 +17,16 @@ def has_at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, materialize_first: bool = False) -> DataFrame:
     """``broadcast(df)`` when its row count is proven small, else ``df`` unchanged
-    (the join then shuffles on the key; AQE may still broadcast at runtime)."""
+    (the join then shuffles on the key; AQE may still broadcast at runtime).
+
+    ``materialize_first`` checkpoints ``df`` before the check: use it when
+    ``df`` is derived from big data (an aggregate, a filtered list), so the
+    check and the join read the stored result instead of computing it twice.
+    """
+    if materialize_first:
+        df = materialize(df)
     return F.broadcast(df) if has_at_most(df, max_rows) else df
 
 
@@ -26,15 +35,15 @@ def lookup_by_id(papers: DataFrame, ids: DataFrame, key: str = "base_id",
     """Rows of ``papers`` whose key is in ``ids``; unknown ids drop out,
     duplicate requested ids collapse. ``ids`` may carry extra columns
     (e.g. ``versioned_id``) that are kept."""
-    req = ids.dropDuplicates([key])
-    return papers.join(small_side(req, max_broadcast_rows), on=key, how="inner")
+    req = small_side(ids.dropDuplicates([key]), max_broadcast_rows, materialize_first=True)
+    return papers.join(req, on=key, how="inner")
 
 
 def lookup_left_stub(ids: DataFrame, papers: DataFrame, columns, key: str = "base_id",
                      max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """One row per requested id with only the needed paper columns (NULL
     when the id is unknown). Only ``columns`` are read from the paper scan."""
-    req = ids.dropDuplicates([key])
+    req = materialize(ids.dropDuplicates([key]))
     side = papers.select(key, *columns)
     if has_at_most(req, max_broadcast_rows):
         # the request list is small: keep it on the probe side, semi-reduce the

@@ -16,6 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .lookup import small_side
 
 
@@ -30,14 +31,24 @@ def seeded_shuffle(df: DataFrame, key: str, seed: int = 14850) -> DataFrame:
     return df.orderBy(seeded_hash(key, seed), F.col(key))
 
 
+def bucket_counts(df: DataFrame, key: str, seed: int = 14850, partition_by=(),
+                  digits: int = 4) -> DataFrame:
+    """Rows per (partition key, hash bucket), stored once (reliable checkpoint):
+    at most ``groups x 16^digits`` rows, read by the size check, the offsets
+    and the split quotas without another pass over the data."""
+    parts = [partition_by] if isinstance(partition_by, str) else list(partition_by)
+    x = df.select(*parts, F.substring(seeded_hash(key, seed), 1, digits).alias("_b"))
+    return materialize(x.groupBy(*parts, "_b").agg(F.count(F.lit(1)).alias("_n")))
+
+
 def dense_position(df: DataFrame, key: str, seed: int = 14850, partition_by=(),
-                   out: str = "position", digits: int = 4) -> DataFrame:
+                   out: str = "position", digits: int = 4, counts: DataFrame | None = None) -> DataFrame:
     """Exact 1-based position of each row in the seeded order, within
     ``partition_by`` groups (globally when empty)."""
     parts = [partition_by] if isinstance(partition_by, str) else list(partition_by)
-    h = seeded_hash(key, seed)
-    x = df.withColumn("_h", h).withColumn("_b", F.substring("_h", 1, digits))
-    counts = x.groupBy(*parts, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = bucket_counts(df, key, seed, parts, digits)
+    x = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", F.substring("_h", 1, digits))
     w = Window.partitionBy(*parts).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     offsets = counts.select(*parts, "_b", (F.sum("_n").over(w) - F.col("_n")).alias("_off"))
     x = x.join(small_side(offsets), on=[*parts, "_b"], how="inner")
@@ -53,18 +64,17 @@ def positional_split(df: DataFrame, key: str, train_size: int, seed: int = 14850
     return p.withColumn(out, F.when(F.col("position") <= train_size, "train").otherwise("test"))
 
 
-def class_quotas(df: DataFrame, label_col: str, test_size: float = 0.2) -> DataFrame:
-    """T2 quotas: per class ``(n_class, n_train, n_test)``.
+def quotas_from_counts(counts: DataFrame, label_col: str, test_size: float = 0.2) -> DataFrame:
+    """T2 quotas: per class ``(n_class, n_train, n_test)`` from a class-count
+    table ``(label, n_class)``.
 
     Total test size is ``ceil(test_size * N)``; each class gets
     ``floor(c * n_train / N)`` training rows, and the missing rows go one each
     to the classes with the largest remainder ``(c * n_train) mod N`` (ties:
     smaller label first). Works on one row per class.
     """
-    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_class"))
     tot = Window.partitionBy()
-    n = F.sum("n_class").over(tot)
-    q = counts.withColumn("_N", n)
+    q = counts.withColumn("_N", F.sum("n_class").over(tot))
     q = q.withColumn("_ntest", F.ceil(F.col("_N") * F.lit(test_size)).cast("bigint"))
     q = q.withColumn("_ntrain", F.col("_N") - F.col("_ntest"))
     prod = F.col("n_class") * F.col("_ntrain")
@@ -78,16 +88,30 @@ def class_quotas(df: DataFrame, label_col: str, test_size: float = 0.2) -> DataF
                     (F.col("n_class") - F.col("n_train")).alias("n_test"))
 
 
+def class_quotas(df: DataFrame, label_col: str, test_size: float = 0.2) -> DataFrame:
+    """T2 quotas computed from the rows (see :func:`quotas_from_counts`)."""
+    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_class"))
+    return quotas_from_counts(counts, label_col, test_size)
+
+
 def stratified_split(df: DataFrame, key: str, label_col: str, test_size: float = 0.2,
-                     seed: int = 42, out: str = "split", check: bool = False) -> DataFrame:
+                     seed: int = 42, out: str = "split", check: bool = False,
+                     digits: int = 4) -> DataFrame:
     """Exact-size stratified split; inside each class, rows are taken in the
-    seeded hash order. With ``check`` a class of fewer than 2 rows raises."""
-    quotas = class_quotas(df, label_col, test_size)
+    seeded hash order. With ``check`` a class of fewer than 2 rows raises.
+
+    One pass counts rows per (class, hash bucket); the quotas and the bucket
+    offsets both come from that stored table, then one more pass ranks the
+    rows inside (class, bucket) groups.
+    """
+    counts = bucket_counts(df, key, seed, [label_col], digits)
+    per_class = counts.groupBy(label_col).agg(F.sum("_n").alias("n_class"))
+    quotas = quotas_from_counts(per_class, label_col, test_size)
     if check:
         m = quotas.agg(F.min("n_class")).first()[0]
         if m is not None and m < 2:
             raise ValueError("The least populated class has only 1 member; need at least 2")
-    p = dense_position(df, key, seed, partition_by=[label_col], out="_pos")
+    p = dense_position(df, key, seed, partition_by=[label_col], out="_pos", digits=digits, counts=counts)
     p = p.join(small_side(quotas.select(label_col, "n_train")), on=label_col, how="inner")
     return (p.withColumn(out, F.when(F.col("_pos") <= F.col("n_train"), "train").otherwise("test"))
             .drop("_pos", "n_train"))

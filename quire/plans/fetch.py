@@ -1,36 +1,56 @@
 """Filter the corpus and fetch the requested formats per paper.
 
 ``fetch_batch`` returns one lazy DataFrame; Catalyst plans the whole chain
-(scan -> filter -> project -> join), reading only the columns the request
-needs. Nothing is collected.
+(scan -> filter -> project -> artefact join), reading only the columns the
+request needs. The reference's two steps (list ids, then seek each id) are one
+filtered scan here; explicit id lists go through ``operators.lookup`` (J1, J2).
+Nothing is collected.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import rfc2822_iso
 from ..functions.text import artefact_name, decoded_lines, head_bytes, normalise_formats, snippet
-from ..operators import filters, lookup
+from ..operators import filters
+from ..operators.dedup import dedup_by_key
 from ..sources.files import source_lines
+from ..sources.snapshot import POSITION
 
 BINARY_FORMATS = ("pdf", "html", "source")
 
 
+def select_papers(papers: DataFrame, regex_id=None, start_date=None, end_date=None, categories=None,
+                  author=None, title=None) -> DataFrame:
+    """F8 + F3 in one pass over the index: rows passing the filters and the
+    (possibly versioned) id pattern, matched at the start of the id, with a
+    ``versioned_id`` column. An index that keeps duplicates (has ``_pos``)
+    yields one row per id: the last record among those that pass."""
+    pred = filters.paper_predicate(None, start_date, end_date, categories, author, title)
+    sel = filters.versioned_ids(papers.where(pred), regex_id, keep_columns=True)
+    if POSITION in sel.columns:
+        sel = dedup_by_key(sel, "base_id", POSITION, keep="last")
+    return sel
+
+
 def filter_ids(papers: DataFrame, regex_id=None, start_date=None, end_date=None, categories=None,
                author=None, title=None) -> DataFrame:
-    """F3 over F8: ``(base_id, versioned_id)`` of papers passing the filters and
-    the (possibly versioned) id pattern, matched at the start of the id."""
-    ids = filters.list_paper_ids(papers, None, start_date, end_date, categories, author, title)
-    return filters.versioned_ids(ids, regex_id)
+    """``(base_id, versioned_id)`` of the papers :func:`select_papers` returns."""
+    return select_papers(papers.select(*[c for c in papers.columns if c != "metadata"]), regex_id,
+                         start_date, end_date, categories, author, title).select("base_id", "versioned_id")
 
 
-def _metadata(papers: DataFrame) -> DataFrame:
-    """Full record with ``published`` (P2) from the first version's date."""
-    first = F.get(F.col("metadata.versions"), 0).getField("created")
-    return papers.select("base_id", F.col("metadata").withField("published", F.coalesce(
-        rfc2822_iso(first), F.lit(""))).alias("metadata"))
+def _metadata(sel: DataFrame) -> Column:
+    """Full record with ``id`` = versioned id (P8) and ``published`` (P2) from the
+    first version's date; a compact index gives a struct of its columns."""
+    if "metadata" in sel.columns:
+        first = F.get(F.col("metadata.versions"), 0).getField("created")
+        md = F.col("metadata").withField("published", F.coalesce(rfc2822_iso(first), F.lit("")))
+    else:
+        md = F.struct(*[F.col(c) for c in sel.columns if c not in ("versioned_id", POSITION)])
+    return md.withField("id", F.col("versioned_id"))
 
 
 def fetch_batch(papers: DataFrame, regex_id=None, start_date=None, end_date=None, category=None,
@@ -38,24 +58,27 @@ def fetch_batch(papers: DataFrame, regex_id=None, start_date=None, end_date=None
                 output_dir: str | None = None) -> DataFrame:
     """One row per matching versioned id.
 
-    ``formats == ['metadata']``: the metadata rows themselves (P8: ``id`` is
-    the versioned id; unknown ids drop, J1). Otherwise ``id`` plus one column
-    per requested format (J2 left lookup; NULL when missing): ``metadata``
-    struct, ``abstract`` text, ``pdf`` bytes, ``html`` / ``source`` lines, and
+    The index is filtered in one pass (no self-join: the rows that pass the
+    filters already hold the requested fields). ``formats == ['metadata']``:
+    the metadata rows themselves. Otherwise ``id`` plus one column per
+    requested format: ``metadata`` struct, ``abstract`` text, ``pdf`` bytes,
+    ``html`` / ``source`` lines (NULL when the artefact is missing), and
     ``<fmt>_path`` when ``output_dir`` is given.
     """
     fmts = normalise_formats(formats)
-    wanted = filter_ids(papers, regex_id, start_date, end_date, category, author, title)
+    unknown = [f for f in fmts if f not in ("metadata", "abstract", *BINARY_FORMATS)]
+    if unknown:
+        raise ValueError(f"unknown formats {unknown}")
+    sel = select_papers(papers, regex_id, start_date, end_date, category, author, title)
     if fmts == ["metadata"]:
-        md = lookup.lookup_by_id(_metadata(papers), wanted)
-        return md.select(F.col("metadata").withField("id", F.col("versioned_id")).alias("m")).select("m.*")
+        return sel.select(_metadata(sel).alias("m")).select("m.*")
 
-    out = wanted.select("base_id", F.col("versioned_id").alias("id"))
+    cols = [F.col("versioned_id").alias("id")]
     if "metadata" in fmts:
-        md = lookup.lookup_left_stub(out, _metadata(papers), ["metadata"])
-        out = md.withColumn("metadata", F.col("metadata").withField("id", F.col("id")))
+        cols.append(_metadata(sel).alias("metadata"))
     if "abstract" in fmts:
-        out = lookup.lookup_left_stub(out, papers, ["abstract"])
+        cols.append(F.col("abstract"))
+    out = sel.select(*cols)
     binaries = [f for f in fmts if f in BINARY_FORMATS]
     if binaries:
         if artefacts is None:
@@ -72,10 +95,7 @@ def fetch_batch(papers: DataFrame, regex_id=None, start_date=None, end_date=None
             for f in binaries:
                 out = out.withColumn(f"{f}_path", F.when(F.col(f).isNotNull(), F.concat(
                     F.lit(output_dir.rstrip("/") + "/"), artefact_name("id", F.lit(f)))))
-    unknown = [f for f in fmts if f not in ("metadata", "abstract", *BINARY_FORMATS)]
-    if unknown:
-        raise ValueError(f"unknown formats {unknown}")
-    return out.drop("base_id")
+    return out
 
 
 def snippets(fetched: DataFrame) -> DataFrame:
