@@ -15,6 +15,9 @@ LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
 # regex class both Java and RE2 read.
 PY_SPACE = (r"[\t\n\x0b\x0c\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
             r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+# The same characters as a literal set, for trim(BOTH chars FROM s).
+PY_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+                  "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # URL template per artefact format ({} = versioned id).
 FORMAT_URLS = {
     "abstract": "https://arxiv.org/abs/{}",
@@ -40,7 +43,7 @@ def blank_if_null(c) -> Column:
 
 def strip(c) -> Column:
     """Surrounding whitespace removed (Python ``str.strip()``)."""
-    return F.regexp_replace(F.regexp_replace(_col(c), "^" + PY_SPACE + "+", ""), PY_SPACE + "+$", "")
+    return F.trim(_col(c), F.lit(PY_SPACE_CHARS))
 
 
 def lines(c) -> Column:

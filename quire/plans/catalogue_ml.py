@@ -83,8 +83,9 @@ SELECT e.vec_id AS doc_id, len(e.embedding) + {HASH_DIM} AS dim,
 FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id LEFT JOIN hs ON hs.doc_id = d.doc_id""")
 def feature_concat(spark, d):
     emb = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    docs = table(spark, d, "documents").select("doc_id", encode.hashed_embedding("text", HASH_DIM).alias("h"))
-    j = lookup.align(emb, docs, "doc_id")
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    # join first: the encoder runs only on documents that have a vector block
+    j = lookup.align(emb, docs, "doc_id").withColumn("h", encode.hashed_embedding("text", HASH_DIM))
     f = encode.concat_features("embedding", "h")
     tot = F.aggregate(f, F.lit(0.0), lambda a, x: a + x)
     return j.select("doc_id", F.size(f).alias("dim"), F.round(tot, 4).alias("total"))

@@ -125,7 +125,8 @@ def test_categories(spark):
 
 
 def test_text_helpers(spark):
-    samples = ["a\r\nb\nc\rd", "one\n", "", "x\x0by\x0cz w", "no break", "\n\n", "tail\r\n"]
+    samples = ["a\r\nb\nc\rd", "one\n", "", "x\x0by\x0cz w", "no break", "\n\n", "tail\r\n",
+               "\u3000\xa0 padded \u00e9 \u2029\x1f", "\x85", "  mid  "]
     df = _df(spark, "s", samples)
     got = {r.s: r for r in df.select("s", text.lines("s").alias("l"), text.snippet("s", 3).alias("sn"),
                                      text.strip("s").alias("st")).collect()}
