@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 
 from . import metrics
 
+# Smallest stored size per partition of a table that a fit scans once per
+# iteration: below it the per-task overhead of every iteration dominates.
+TRAIN_PARTITION_BYTES = 32 * 1024 * 1024
+
 # --- fixed values: the reference's two classifier settings ------------------
 # ablation study: loss 'log', tol 1e-6, max_iter 50, alpha 1e-7
 ABLATION_PARAMS = dict(loss="log_loss", tol=1e-6, max_iter=50, alpha=1e-7, fit_intercept=True)

@@ -96,25 +96,44 @@ def class_quotas(df: DataFrame, label_col: str, test_size: float = 0.2) -> DataF
 
 def stratified_split(df: DataFrame, key: str, label_col: str, test_size: float = 0.2,
                      seed: int = 42, out: str = "split", check: bool = False,
-                     digits: int = 4) -> DataFrame:
+                     digits: int = 4, min_count: int | None = None,
+                     code_col: str | None = None) -> DataFrame:
     """Exact-size stratified split; inside each class, rows are taken in the
     seeded hash order. With ``check`` a class of fewer than 2 rows raises.
 
-    One pass counts rows per (class, hash bucket); the quotas and the bucket
-    offsets both come from that stored table, then one more pass ranks the
-    rows inside (class, bucket) groups.
+    ``min_count`` also drops classes with fewer rows (F11) and ``code_col``
+    attaches the label code (M3: 0..k-1 in ascending label order over the kept
+    classes), so the whole preparation of a training table costs:
+
+    1. one narrow pass counting rows per (class, hash bucket), stored once;
+    2. small-table work on those counts only: class sizes, kept classes,
+       codes, quotas and bucket offsets, joined into one stored per-(class,
+       bucket) plan;
+    3. one pass joining the rows to that plan (an inner join, so dropped
+       classes leave here) and ranking them inside (class, bucket) groups.
     """
     counts = bucket_counts(df, key, seed, [label_col], digits)
     per_class = counts.groupBy(label_col).agg(F.sum("_n").alias("n_class"))
+    if min_count is not None:
+        per_class = per_class.where(F.col("n_class") >= min_count)
     quotas = quotas_from_counts(per_class, label_col, test_size)
     if check:
         m = quotas.agg(F.min("n_class")).first()[0]
         if m is not None and m < 2:
             raise ValueError("The least populated class has only 1 member; need at least 2")
-    p = dense_position(df, key, seed, partition_by=[label_col], out="_pos", digits=digits, counts=counts)
-    p = p.join(small_side(quotas.select(label_col, "n_train")), on=label_col, how="inner")
-    return (p.withColumn(out, F.when(F.col("_pos") <= F.col("n_train"), "train").otherwise("test"))
-            .drop("_pos", "n_train"))
+    extra = []
+    if code_col:
+        quotas = quotas.withColumn(code_col, (F.row_number().over(Window.orderBy(label_col)) - 1).cast("bigint"))
+        extra = [code_col]
+    w = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    plan = (counts.join(quotas.select(label_col, "n_train", *extra), on=label_col, how="inner")
+            .select(label_col, "_b", (F.sum("_n").over(w) - F.col("_n")).alias("_off"), "n_train", *extra))
+    plan = small_side(plan, materialize_first=True)
+    x = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", F.substring("_h", 1, digits))
+    x = x.join(plan, on=[label_col, "_b"], how="inner")
+    pos = F.col("_off") + F.row_number().over(Window.partitionBy(label_col, "_b").orderBy("_h", key))
+    return (x.withColumn(out, F.when(pos <= F.col("n_train"), "train").otherwise("test"))
+            .drop("_h", "_b", "_off", "n_train"))
 
 
 def page(df: DataFrame, order_cols, start: int = 0, max_results: int | None = None) -> DataFrame:

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import datetime as _dt
 import os
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,32 +27,43 @@ FEATURE_SETS = {
 
 def prepare(df: DataFrame, key: str, label_col: str, test_size: float = 0.2, seed: int = 42,
             min_count: int = 2) -> DataFrame:
-    """Label codes (M3) + stratified split (T2) on rows whose class has at
-    least ``min_count`` rows (F11). Adds ``code`` and ``split``."""
-    from ..operators.filters import min_class_filter
-    kept = min_class_filter(df, label_col, min_count)
-    coded = encode.encode_labels(kept, label_col, out="code")
-    return ordering.stratified_split(coded, key, label_col, test_size=test_size, seed=seed)
+    """Rows with a label whose class has at least ``min_count`` rows (F11),
+    their label code (M3) and a stratified split (T2): adds ``code`` and
+    ``split``. One counting pass and one ranking pass over the rows
+    (see :func:`ordering.stratified_split`)."""
+    labelled = df.where(F.col(label_col).isNotNull())
+    return ordering.stratified_split(labelled, key, label_col, test_size=test_size, seed=seed,
+                                     min_count=min_count, code_col="code")
 
 
 def run_ablation(table: DataFrame, feature_sets: dict, spec: classify.ClassifierSpec,
-                 label: str = "code", split_col: str = "split") -> DataFrame:
+                 label: str = "code", split_col: str = "split", parallelism: int = 5) -> DataFrame:
     """M7: one metrics row per feature set.
 
     ``table`` holds one array column per feature block plus ``code`` and
     ``split``. It is checkpointed once (reliable storage, so a lost executor
     re-reads it instead of recomputing the encoders), then each set is a
-    column concat + one fit. The loop is over configurations, not data.
+    column concat + one fit. The loop is over configurations, not data: the
+    fits are submitted from ``parallelism`` driver threads (as
+    ``CrossValidator(parallelism=...)`` does), so the scheduler runs their
+    small per-iteration jobs side by side instead of one after another.
     """
-    base = materialize(table)
-    rows = None
-    for name, blocks in feature_sets.items():
+    base = materialize(table, "features", min_partition_bytes=classify.TRAIN_PARTITION_BYTES)
+
+    def one(item):
+        name, blocks = item
         feats = encode.concat_features(*blocks)
         x = classify.to_vector(base.withColumn("_f", feats), "_f")
         tr = x.where(F.col(split_col) == "train")
         te = x.where(F.col(split_col) == "test")
-        r = classify.train_test(tr, te, spec, label=label).select(F.lit(name).alias("feature_set"), "*")
-        rows = r if rows is None else rows.unionByName(r)
+        return classify.train_test(tr, te, spec, label=label).select(F.lit(name).alias("feature_set"), "*")
+
+    items = list(feature_sets.items())
+    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
+        parts = pool.map(inheritable_thread_target(one), items)
+    rows = parts[0]
+    for r in parts[1:]:
+        rows = rows.unionByName(r)
     return rows
 
 

@@ -236,16 +236,20 @@ def confusion_pct(spark, d):
 # whole text, co-citation = documents sharing a source (J5 with source as the
 # citing side, training labels only).
 # --------------------------------------------------------------------------
-def doc_feature_table(spark, d, dim: int = 64):
+def doc_feature_table(spark, d, dim: int = 64, blocks=("title_emb", "abstract_emb", "cocitation")):
+    """Keyed feature table (``doc_id, lang, code, split`` + the requested
+    blocks); only the requested encoders and the co-citation join are built."""
     from ..operators import classify  # noqa: F401  (pyspark.ml import kept lazy)
     from . import ablation
     docs = table(spark, d, "documents").select("doc_id", "lang", "source", "text")
-    # split + codes are reused four times below: materialise once (reliable checkpoint)
+    # split + codes are reused by every block below: materialise once (reliable checkpoint)
     prepared = materialize(ablation.prepare(docs, "doc_id", "lang"))
-    feats = prepared.select(
-        "doc_id", "lang", "code", "split",
-        encode.hashed_embedding(text.snippet("text", 1), dim).alias("title_emb"),
-        encode.hashed_embedding("text", dim).alias("abstract_emb"))
+    enc = {"title_emb": encode.hashed_embedding(text.snippet("text", 1), dim),
+           "abstract_emb": encode.hashed_embedding("text", dim)}
+    feats = prepared.select("doc_id", "lang", "code", "split",
+                            *[enc[b].alias(b) for b in blocks if b in enc])
+    if "cocitation" not in blocks:
+        return feats
     edges = prepared.select(F.col("source").alias("src"), F.col("doc_id").alias("dst"))
     train = prepared.where(F.col("split") == "train").select(F.col("doc_id").alias("id"),
                                                              F.col("lang").alias("cat"))
@@ -262,7 +266,8 @@ def doc_feature_table(spark, d, dim: int = 64):
 @register("train_ovr")
 def train_ovr(spark, d):
     from ..operators import classify
-    t = doc_feature_table(spark, d)
+    t = materialize(doc_feature_table(spark, d, blocks=("abstract_emb",)), "features",
+                    min_partition_bytes=classify.TRAIN_PARTITION_BYTES)
     x = classify.to_vector(t, "abstract_emb")
     spec = classify.ClassifierSpec(**classify.SUMMARY_PARAMS)
     return classify.train_test(x.where(F.col("split") == "train"), x.where(F.col("split") == "test"), spec)

@@ -24,7 +24,9 @@ def run_summary(corpus: DataFrame, key: str, features: str, categories: str,
     spec = spec or classify.ClassifierSpec(**classify.SUMMARY_PARAMS)
     x = corpus.select(key, features, normalised_category(categories).alias("label"))
     x = x.where(F.col("label").isNotNull())
-    prepared = materialize(prepare(x, key, "label"))        # reused by fit, predict and decode
+    # reused by fit, predict and decode
+    prepared = materialize(prepare(x, key, "label"), "prepared",
+                           min_partition_bytes=classify.TRAIN_PARTITION_BYTES)
     v = classify.to_vector(prepared, features)
     model = classify.fit(v.where(F.col("split") == "train"), spec)
     scored = classify.predict_proba(model, v.where(F.col("split") == "test"), spec)

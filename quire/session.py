@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,14 +62,38 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or d
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared checkpoint folder.
+def materialize(df: DataFrame, name: str = "stage", min_partition_bytes: int | None = None) -> DataFrame:
+    """Cut lineage: write ``df`` once as a Parquet table in the shared
+    checkpoint folder and read it back.
 
-    Used before iterative or multi-use stages so a lost executor re-reads the
-    checkpoint instead of recomputing the whole plan.
+    One pass computes and stores the plan (``Dataset.checkpoint`` would compute
+    it twice: once to count, once to write, unless it is cached first). The
+    stored table survives lost executors. Read back, it carries file-size
+    statistics for the join planner, and later filters and projections reach
+    its scan.
+
+    ``min_partition_bytes`` is for tables that iterative jobs scan many times
+    (model fitting): the read-back is coalesced (no shuffle) so that each
+    partition holds at least that many stored bytes, because every iteration
+    pays a fixed cost per task. A big table keeps all its splits.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    out = spark.read.parquet(path)
+    if min_partition_bytes:
+        want = max(1, -(-stored_bytes(spark, path) // min_partition_bytes))
+        if want < out.rdd.getNumPartitions():
+            out = out.coalesce(want)
+    return out
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files under ``path`` (one file-system call)."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(p).getLength())
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
