@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import store
 
-# Largest row count for which a lookup side is broadcast. The check is a
-# bounded count (``limit(n + 1).count()``), so it never scans a big side fully.
+# Largest side that is broadcast: at most this many rows (a bounded count,
+# ``limit(n + 1).count()``, so a big side is never scanned fully) and, for a
+# side stored first, at most this many stored (compressed Parquet) bytes.
 BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
 
 def has_at_most(df: DataFrame, n: int) -> bool:
@@ -17,16 +19,20 @@ def has_at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, materialize_first: bool = False) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven small, else ``df`` unchanged
+def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, materialize_first: bool = False,
+               max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """``broadcast(df)`` when its size is proven small, else ``df`` unchanged
     (the join then shuffles on the key; AQE may still broadcast at runtime).
 
-    ``materialize_first`` checkpoints ``df`` before the check: use it when
-    ``df`` is derived from big data (an aggregate, a filtered list), so the
-    check and the join read the stored result instead of computing it twice.
+    ``materialize_first`` stores ``df`` before the check: use it when ``df`` is
+    derived from big data (an aggregate, a filtered list), so the check and the
+    join read the stored result instead of computing it twice. A stored side
+    is also bounded by its byte size, known without reading it.
     """
     if materialize_first:
-        df = materialize(df)
+        df, nbytes = store(df, "side")
+        if nbytes > max_bytes:
+            return df
     return F.broadcast(df) if has_at_most(df, max_rows) else df
 
 
@@ -43,9 +49,9 @@ def lookup_left_stub(ids: DataFrame, papers: DataFrame, columns, key: str = "bas
                      max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """One row per requested id with only the needed paper columns (NULL
     when the id is unknown). Only ``columns`` are read from the paper scan."""
-    req = materialize(ids.dropDuplicates([key]))
+    req, nbytes = store(ids.dropDuplicates([key]), "ids")
     side = papers.select(key, *columns)
-    if has_at_most(req, max_broadcast_rows):
+    if nbytes <= BROADCAST_MAX_BYTES and has_at_most(req, max_broadcast_rows):
         # the request list is small: keep it on the probe side, semi-reduce the
         # paper scan with a broadcast semi join first
         side = side.join(F.broadcast(req.select(key)), on=key, how="left_semi")

@@ -77,17 +77,23 @@ def materialize(df: DataFrame, name: str = "stage", min_partition_bytes: int | N
     partition holds at least that many stored bytes, because every iteration
     pays a fixed cost per task. A big table keeps all its splits.
     """
-    spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.mode("errorifexists").parquet(path)
-    out = spark.read.parquet(path)
+    out, nbytes = store(df, name)
     if min_partition_bytes:
-        want = max(1, -(-stored_bytes(spark, path) // min_partition_bytes))
+        want = max(1, -(-nbytes // min_partition_bytes))
         if want < out.rdd.getNumPartitions():
             out = out.coalesce(want)
     return out
 
 
+def store(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
+    """:func:`materialize` without coalescing; also returns the stored size in
+    bytes (one file-system call), which size checks use before a broadcast."""
+    spark = df.sparkSession
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path), stored_bytes(spark, path)
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Total size of the files under ``path`` (one file-system call)."""
     jvm = spark.sparkContext._jvm
