@@ -214,4 +214,4 @@ def distinct_labels(spark, d):
 
 
 # the other query modules register themselves on import
-from . import catalogue_feeds, catalogue_ml, catalogue_pipeline, catalogue_text  # noqa: E402,F401
+from . import catalogue_feeds, catalogue_files, catalogue_ml, catalogue_pipeline, catalogue_text  # noqa: E402,F401

@@ -20,15 +20,23 @@ CORPUS_CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in
 
 def read_corpus(spark: SparkSession, path: str, fmt: str = "parquet",
                 schema: T.StructType | None = None) -> DataFrame:
-    """Paper corpus as Parquet, or CSV with a header and a given schema."""
+    """Paper corpus as Parquet, or CSV with a header and a given schema.
+    CSV follows RFC 4180: fields may span lines, a quote inside a field is
+    doubled (as the usual data-frame CSV writers do)."""
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt == "csv":
-        return spark.read.option("header", True).option("multiLine", True) \
+        return spark.read.option("header", True).option("multiLine", True).option("escape", '"') \
             .schema(schema or CORPUS_CSV_SCHEMA).csv(path)
     raise ValueError(fmt)
 
 
+def write_corpus_csv(df: DataFrame, dest: str) -> str:
+    """Corpus as RFC 4180 CSV with a header (the form :func:`read_corpus` reads)."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(dest)
+    return dest
+
+
 def read_json_document(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """A JSON file holding one document (or an array of records)."""
     r = spark.read.option("multiLine", True)
@@ -37,15 +45,28 @@ def read_json_document(spark: SparkSession, path: str, schema=None) -> DataFrame
     return r.json(path)
 
 
-def read_citation_edges(spark: SparkSession, path: str) -> DataFrame:
-    """Adjacency JSON object ``{paper: [cited, ...]}`` (gzip read natively)
-    -> distinct edges ``(src, dst)``. One object is one task, so convert it to
-    an edge table once and read that afterwards."""
-    raw = spark.read.text(path, wholetext=True)
+def read_citation_edges(spark: SparkSession, path: str, whole_file: bool = True) -> DataFrame:
+    """Adjacency JSON objects ``{paper: [cited, ...]}`` (gzip read natively)
+    -> distinct edges ``(src, dst)``.
+
+    ``whole_file``: each file is one object (the reference's form). One object
+    is one task, so convert it to an edge table once and read that afterwards.
+    Otherwise every line is an object: the lines of many files split across
+    tasks, and one paper may appear in several objects.
+    """
+    raw = spark.read.text(path, wholetext=whole_file)
     m = raw.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("src", "dsts"))
     return m.select("src", F.explode("dsts").alias("dst")).distinct()
 
 
+def write_citation_lines(edges: DataFrame, dest: str, src: str = "src", dst: str = "dst") -> str:
+    """Edges as gzip NDJSON adjacency objects, one ``{src: [dst]}`` per edge:
+    no grouping, so a citing paper with a huge fan-out never becomes one row."""
+    line = F.to_json(F.create_map(F.col(src).cast("string"), F.array(F.col(dst).cast("string"))))
+    edges.select(line.alias("value")).write.mode("overwrite").option("compression", "gzip").text(dest)
+    return dest
+
+
 def read_embeddings(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
     """``(key, vector)`` rows; vectors are keyed, never positional."""
     return spark.read.parquet(path)
@@ -79,6 +100,11 @@ def write_wide_csv(df: DataFrame, dest: str) -> str:
     return dest
 
 
+def read_wide_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """S7 for the wide table of S18: CSV with a header, typed by ``schema``."""
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
 def read_artefacts(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """Binary artefacts ``(path, id, format, content)``; id and format from
     the file name ``<versioned id>.<ext>``."""
