@@ -16,6 +16,8 @@ from ..operators import encode
 from ..session import scratch_path
 from ..sources import files
 from ..sources.tables import table
+from .catalogue_text import _lines_sql
+from .fetch import fetch_batch, snippets
 from .registry import register
 
 
@@ -76,3 +78,31 @@ def metadata_list(spark, d):
     first = F.col("categories")[0]
     return m.select("id", "title", cat.primary_category(first).alias("primary_category"),
                     cat.main_category(cat.primary_category(first)).alias("main_category"))
+
+
+@register("fetch_artefacts", f"""
+SELECT CAST(page_id AS VARCHAR) || 'v1' AS id,
+       array_to_string(l[1:3], chr(10)) AS abstract_head,
+       array_to_string(l[1:3], chr(10)) AS html_head,
+       CAST(len(l) AS BIGINT) AS html_lines,
+       hex(substr('%PDF-1.5 ' || url, 1, 50)) AS pdf_head
+FROM (SELECT page_id, url, {_lines_sql('html')} AS l FROM pages)
+WHERE regexp_matches(CAST(page_id AS VARCHAR), '^(?:1[0-9]*)')""")
+def fetch_artefacts(spark, d):
+    """E1 with binary formats: artefacts written from ``pages`` (S20) and read
+    back, then ``fetch_batch`` over a page index with abstract, HTML lines
+    (P19) and PDF bytes (P29) requested (P20, P21)."""
+    pg = table(spark, d, "pages")
+    papers = pg.select(F.col("page_id").cast("string").alias("base_id"), F.lit("web").alias("categories"),
+                       F.lit(None).cast("date").alias("created"), F.lit("").alias("authors"),
+                       F.col("url").alias("title"), F.col("html").alias("abstract"))
+    vid = F.concat(F.col("page_id").cast("string"), F.lit("v1"))
+    arts = pg.select(vid.alias("id"), F.lit("html").alias("format"), F.encode("html", "UTF-8").alias("content")) \
+        .unionByName(pg.select(vid.alias("id"), F.lit("pdf").alias("format"),
+                               F.encode(F.concat(F.lit("%PDF-1.5 "), "url"), "UTF-8").alias("content")))
+    stored = files.write_artefacts(arts, _dest(spark, d, "pages-artefacts"))
+    got = fetch_batch(papers, "1[0-9]*", formats=["abstract", "html", "pdf", "html"],
+                      artefacts=spark.read.parquet(stored))
+    s = snippets(got.withColumn("html_lines", F.size("html").cast("bigint")), keep=["html_lines"])
+    return s.select("id", "abstract_head", F.array_join("html_head", "\n").alias("html_head"),
+                    "html_lines", F.hex("pdf_head").alias("pdf_head"))

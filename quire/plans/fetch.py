@@ -98,10 +98,10 @@ def fetch_batch(papers: DataFrame, regex_id=None, start_date=None, end_date=None
     return out
 
 
-def snippets(fetched: DataFrame) -> DataFrame:
+def snippets(fetched: DataFrame, keep=()) -> DataFrame:
     """Printer columns: title, joined authors, first 3 abstract lines (P17, P18),
-    first 50 PDF bytes (P29), when present."""
-    cols = [F.col("id")]
+    first 50 PDF bytes (P29), when present; ``keep`` columns pass through."""
+    cols = [F.col("id"), *[F.col(c) for c in keep]]
     names = set(fetched.columns)
     if "metadata" in names:
         cols += [F.col("metadata.title").alias("title"), F.col("metadata.authors").alias("authors"),
