@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def cocitation_counts(edges: DataFrame, train_labels: DataFrame, src: str = "src",
                       dst: str = "dst", id_col: str = "id", label_col: str = "cat") -> DataFrame:
@@ -29,7 +31,9 @@ def cocitation_counts(edges: DataFrame, train_labels: DataFrame, src: str = "src
     categories with a non-zero count."""
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("paper")).distinct()
     lab = train_labels.select(F.col(id_col).alias("paper"), F.col(label_col).alias("own_cat"))
-    el = e.join(lab, on="paper", how="left")
+    # both branches below read the labelled distinct edges: store them once
+    # (one scan and one dedup shuffle of the edges, not two)
+    el = materialize(e.join(lab, on="paper", how="left"), "labelled-edges")
     per_src = (el.where(F.col("own_cat").isNotNull())
                .groupBy("src", F.col("own_cat").alias("cat"))
                .agg(F.count(F.lit(1)).alias("c")))
