@@ -2,10 +2,16 @@
 appended to the Parquet index (S2 / S16 as a Structured Streaming job).
 
 This is the streaming form of the reference's "refresh the local index"
-step: the file source remembers which files it has read (in the checkpoint),
-the Parquet sink commits each micro-batch exactly once, and a restarted job
-continues where it stopped. ``availableNow`` processes what is there and
-stops, which suits a scheduled refresh.
+step: the file source remembers which files it has read (in the checkpoint)
+and a restarted job continues where it stopped. ``availableNow`` processes
+what is there and stops, which suits a scheduled refresh.
+
+Each micro-batch is written by ``foreachBatch`` to its own folder
+``batch=<id>`` with overwrite, so a batch replayed after a failure replaces
+its own output (exactly once). Inside a micro-batch the rows form a batch
+DataFrame, so every record gets an exact source position ``(batch, file,
+block, row)``: the "first wins" / "last wins" rules of the batch index hold
+for records inside one dropped file and across drops.
 """
 
 from __future__ import annotations
@@ -16,37 +22,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from ..sources.snapshot import SNAPSHOT_SCHEMA, index_rows
+from ..sources.snapshot import POSITION, SNAPSHOT_SCHEMA, index_rows
 
 
 def snapshot_stream(spark: SparkSession, src_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming scan of NDJSON snapshot files: parsed records with an ``id``
-    and their position ``(file, block)`` inside the stream."""
+    and their file and block (the row ordinal is added per micro-batch)."""
     r = spark.readStream.format("text")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = r.load(src_dir)
     rec = F.from_json(F.col("value"), SNAPSHOT_SCHEMA, {"mode": "PERMISSIVE"}).alias("record")
-    # a streaming scan has no row ordinal: the position is (file, block) only,
-    # so duplicates inside one dropped file tie (files order by path)
-    pos = F.struct(F.col("_metadata.file_path").alias("file"),
-                   F.col("_metadata.file_block_start").alias("block"),
-                   F.lit(None).cast("long").alias("row")).alias("_pos")
-    parsed = raw.select(rec, pos)
+    parsed = raw.select(rec, F.col("_metadata.file_path").alias("_file"),
+                        F.col("_metadata.file_block_start").alias("_block"))
     return parsed.where(F.col("record.id").isNotNull() & (F.col("record.id") != ""))
 
 
+def _write_batch(dest: str):
+    def write(batch: DataFrame, batch_id: int) -> None:
+        pos = F.struct(F.lit(batch_id).cast("long").alias("batch"), F.col("_file").alias("file"),
+                       F.col("_block").alias("block"), F.monotonically_increasing_id().alias("row"))
+        rows = index_rows(batch.select("record", pos.alias(POSITION)))
+        rows.write.mode("overwrite").parquet(f"{dest.rstrip('/')}/batch={batch_id}")
+    return write
+
+
 def start_index_ingest(spark: SparkSession, src_dir: str, dest: str, checkpoint: str | None = None,
                        available_now: bool = True, processing_time: str | None = None):
     """Start the ingest query; returns the ``StreamingQuery``.
 
     The checkpoint goes under the session's shared checkpoint folder unless
     given. ``available_now=False`` with ``processing_time`` keeps it running.
+    Read the result with ``snapshot.load_index(spark, dest)`` (duplicates are
+    resolved by the stored positions).
     """
     cp = checkpoint or os.path.join(checkpoint_dir(spark), "ingest-" + os.path.basename(dest.rstrip("/")))
-    rows = index_rows(snapshot_stream(spark, src_dir))
-    w = (rows.writeStream.format("parquet").option("path", dest)
-         .option("checkpointLocation", cp).outputMode("append"))
+    w = (snapshot_stream(spark, src_dir).writeStream.foreachBatch(_write_batch(dest))
+         .option("checkpointLocation", cp))
     if available_now:
         w = w.trigger(availableNow=True)
     elif processing_time:

@@ -160,11 +160,16 @@ def test_stream_ingest(spark, tmp_path):
     dest = str(tmp_path / "idx")
     q = start_index_ingest(spark, str(src), dest, checkpoint=str(tmp_path / "cp"))
     q.awaitTermination(120)
-    (src / "b.json").write_text(json.dumps({"id": "2", "title": "t2"}) + "\n")
+    (src / "b.json").write_text("\n".join(json.dumps(r) for r in [
+        {"id": "2", "title": "t2"}, {"id": "1", "title": "t1 again"}, {"id": "1", "title": "t1 last"}]) + "\n")
     q = start_index_ingest(spark, str(src), dest, checkpoint=str(tmp_path / "cp"))
     q.awaitTermination(120)
     got = sorted((r.base_id, r.title) for r in spark.read.parquet(dest).collect())
-    assert got == [("1", "t1"), ("2", "t2")]          # each file read once
+    assert got == [("1", "t1"), ("1", "t1 again"), ("1", "t1 last"), ("2", "t2")]   # each file read once
+    last = sorted((r.base_id, r.title) for r in snapshot.load_index(spark, dest, ["title"], dedup="last").collect())
+    assert last == [("1", "t1 last"), ("2", "t2")]    # exact order inside one dropped file
+    first = sorted((r.base_id, r.title) for r in snapshot.load_index(spark, dest, ["title"], dedup="first").collect())
+    assert first == [("1", "t1"), ("2", "t2")]        # earlier drop wins
 
 
 TEXTS = [None, "", "word", "a short sentence here", "A paragraph.  With\ttabs\nand lines, word word word."]
