@@ -189,3 +189,23 @@ def test_hashed_encoder_forms_agree(spark):
     assert not any(dense[0]) and not any(dense[1])
     emb = encode.embed_columns(df.withColumn("t2", F.upper("text")), "k", ["text", "t2"], dim=8)
     assert emb.columns == ["k", "text_emb", "t2_emb"]
+
+
+def test_cli_job(spark, tmp_path, capsys):
+    from quire import job
+    snap = tmp_path / "snap.json"
+    recs = [{"id": "2104.00001", "title": "A", "categories": "cs.LG", "abstract": "x",
+             "versions": [{"created": "Thu, 1 Apr 2021 00:00:00 GMT"}]},
+            {"id": "2104.00002", "title": "B", "categories": "math.AG",
+             "versions": [{"created": "Thu, 1 Apr 2021 00:00:00 GMT"}]},
+            {"id": "2203.00001", "title": "C", "categories": "cs.LG",
+             "versions": [{"created": "Tue, 1 Mar 2022 00:00:00 GMT"}]}]
+    snap.write_text("\n".join(json.dumps(r) for r in recs))
+    out = tmp_path / "out"
+    rc = job.main(["--snapshot", str(snap), "--id", r"^2104\.\d+", "--start", "2021-01-01",
+                   "--end", "2021-12-31", "--category", "cs.LG", "--formats", "metadata",
+                   "--output-dir", str(out), "--verbose"])
+    assert rc == 0
+    rows = spark.read.parquet(str(out / "results")).collect()
+    assert [(r.id, r.title, r.published) for r in rows] == [("2104.00001v1", "A", "2021-04-01T00:00:00+00:00")]
+    assert str(out / "results") in capsys.readouterr().out
