@@ -41,18 +41,26 @@ def token_buckets(text, dim: int) -> Column:
     return F.transform(category_tokens(blank_if_null(text)), lambda t: token_bucket(t, dim))
 
 
-def hashed_term_weights(df: DataFrame, key: str, text_col: str, dim: int = 256) -> DataFrame:
-    """M1 sparse form: ``(key, bucket, tf, weight)`` for every non-empty bucket.
-
-    The rows are hash-partitioned by the (unique) key once; the per-(key,
-    bucket) counts and the per-key norm then both run inside that partitioning
-    with no further exchange. One shuffle of the text is smaller than the two
-    shuffles of sparse rows it replaces (one row per distinct bucket, each
-    wider than the token it came from).
+def hashed_term_weights(df: DataFrame, key: str, text_col: str, dim: int = 256,
+                        unique_key: bool = False) -> DataFrame:
+    """M1 sparse form: ``(key, bucket, tf, weight)`` for every non-empty bucket
+    (the counts of all rows sharing a key add up).
+
+    Default plan, safe for any key: explode, partial + final aggregate on
+    ``(key, bucket)`` (a hot key ships one row per bucket per map task), then
+    the per-key norm as a window over at most ``dim`` rows per key.
+
+    ``unique_key=True`` (one row per key, as a table's primary key): the rows
+    are hash-partitioned by the key once, and the counts and the norm both run
+    inside that partitioning with no further exchange. One shuffle of the text
+    is smaller than the two shuffles of sparse rows it replaces (one row per
+    distinct bucket, each wider than the token it came from). With a repeated
+    key this would put all its texts in one task, hence the flag.
     """
+    src = df.repartition(key) if unique_key else df
     # explode the tokens, then hash each as a plain column (inside whole-stage
     # codegen, not an interpreted lambda)
-    toks = df.repartition(key).select(key, F.explode(category_tokens(blank_if_null(text_col))).alias("_t"))
+    toks = src.select(key, F.explode(category_tokens(blank_if_null(text_col))).alias("_t"))
     toks = toks.select(key, token_bucket(F.col("_t"), dim).alias("bucket"))
     tf = toks.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("tf"))
     norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(key)))

@@ -24,7 +24,8 @@ SELECT doc_id, bucket, tf, round(tf / sqrt(sum(tf * tf) OVER (PARTITION BY doc_i
 @register("hash_embed", HASH_SQL)
 def hash_embed(spark, d):
     docs = table(spark, d, "documents")
-    w = encode.hashed_term_weights(docs, "doc_id", "text", HASH_DIM)
+    # doc_id is the documents key (one row each)
+    w = encode.hashed_term_weights(docs, "doc_id", "text", HASH_DIM, unique_key=True)
     return w.select("doc_id", "bucket", "tf", F.round("weight", 6).alias("weight"))
 
 

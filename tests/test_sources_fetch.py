@@ -179,6 +179,8 @@ def test_hashed_encoder_forms_agree(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "k long, text string")
     dense = {r.k: r.v for r in df.select("k", encode.hashed_embedding("text", 32).alias("v")).collect()}
     sparse = encode.hashed_term_weights(df, "k", "text", 32).collect()
+    keyed = encode.hashed_term_weights(df, "k", "text", 32, unique_key=True).collect()
+    assert sorted(sparse) == sorted(keyed)
     for k in range(len(TEXTS)):
         v = np.zeros(32)
         for r in sparse:
