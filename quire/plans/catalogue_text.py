@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import categories as cat
 from ..functions import dates, ids, text
-from ..operators import encode, filters, metrics, ordering
+from ..operators import encode, filters, lookup, metrics, ordering
 from ..sources.tables import table
 from . import standins as si
 from .registry import register
@@ -246,6 +246,25 @@ def stratified_split(spark, d):
 # --------------------------------------------------------------------------
 # Label codes
 # --------------------------------------------------------------------------
+@register("label_decode", """
+WITH c AS (SELECT lang AS label, CAST(row_number() OVER (ORDER BY lang) - 1 AS BIGINT) AS code
+           FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
+x AS (SELECT d.doc_id, c.code, (c.code + 1) % (SELECT count(*) FROM c) AS pcode
+      FROM documents d LEFT JOIN c ON c.label = d.lang)
+SELECT x.doc_id, a.label AS actual, p.label AS predicted
+FROM x LEFT JOIN c a ON a.code = x.code LEFT JOIN c p ON p.code = x.pcode""")
+def label_decode(spark, d):
+    """Codes back to names through the label dimension, for the true code
+    and a stand-in prediction (the next code, wrapping around)."""
+    docs = table(spark, d, "documents").select("doc_id", "lang")
+    codes = encode.label_codes(docs, "lang")
+    k = codes.agg(F.count(F.lit(1))).scalar()
+    coded = encode.encode_labels(docs, "lang").withColumn("pcode", (F.col("code") + 1) % k)
+    out = lookup.decode_labels(coded, codes, "code", out_col="actual")
+    out = lookup.decode_labels(out, codes, "pcode", out_col="predicted")
+    return out.select("doc_id", "actual", "predicted")
+
+
 @register("label_codes", """
 SELECT doc_id, lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS BIGINT) AS code FROM documents""")
 def label_codes(spark, d):
