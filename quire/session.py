@@ -85,15 +85,33 @@ def materialize(df: DataFrame, name: str = "stage", min_partition_bytes: int | N
     return out
 
 
+# Stored stages written by this driver, removed by :func:`release_stored`.
+_STORED: list[str] = []
+
+
 def store(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
     """:func:`materialize` without coalescing; also returns the stored size in
     bytes (one file-system call), which size checks use before a broadcast."""
     spark = df.sparkSession
     path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
     df.write.mode("errorifexists").parquet(path)
+    _STORED.append(path)
     return spark.read.parquet(path), stored_bytes(spark, path)
 
 
+def release_stored(spark: SparkSession) -> int:
+    """Delete the stages this driver stored (call once the results that read
+    them are written); returns how many folders were removed."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _STORED:
+        p = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
+        if p.getFileSystem(conf).delete(p, True):
+            n += 1
+    return n
+
+
 def stored_bytes(spark: SparkSession, path: str) -> int:
     """Total size of the files under ``path`` (one file-system call)."""
     jvm = spark.sparkContext._jvm

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.dates import rfc2822_date
 from ..functions.text import blank_if_null
 from ..operators.dedup import dedup_by_key
-from ..session import path_exists
+from ..session import path_exists, stored_bytes
 
 VERSION = T.StructType([T.StructField("version", T.StringType()),
                         T.StructField("created", T.StringType())])
@@ -41,6 +41,8 @@ SNAPSHOT_SCHEMA = T.StructType([
 ])
 
 INDEX_COLUMNS = ("categories", "created", "authors", "title", "abstract")
+# NDJSON input per output file of the date-sorted index (about 300 MB of Parquet)
+SORTED_INPUT_BYTES_PER_FILE = 1 << 30
 COMPACT_COLUMNS = ("categories", "created", "authors", "title")
 POSITION = "_pos"
 
@@ -84,18 +86,26 @@ def build_index(spark: SparkSession, src, dest: str, overwrite: bool = False,
 
     ``layout='sorted'`` range-partitions by (created, base_id) so each output
     file covers a narrow date range and date filters skip whole files and row
-    groups; it costs one shuffle at build time.
+    groups; it costs one shuffle at build time. The number of ranges follows
+    the snapshot's size (about ``SORTED_INPUT_BYTES_PER_FILE`` of NDJSON per
+    output file), never fewer than the cluster's cores.
     """
     if not overwrite and path_exists(spark, dest):
         return dest
     rows = index_rows(scan_snapshot(spark, src))
     if layout == "sorted":
-        n = partitions or spark.sparkContext.defaultParallelism
+        n = partitions or max(spark.sparkContext.defaultParallelism,
+                              -(-input_bytes(spark, src) // SORTED_INPUT_BYTES_PER_FILE))
         rows = rows.repartitionByRange(n, "created", "base_id").sortWithinPartitions("created", "base_id")
     rows.write.mode("overwrite" if overwrite else "ignore").parquet(dest)
     return dest
 
 
+def input_bytes(spark: SparkSession, src) -> int:
+    """Total size of the snapshot path(s) (one file-system call per path)."""
+    return sum(stored_bytes(spark, p) for p in ([src] if isinstance(src, str) else list(src)))
+
+
 def build_compact_index(spark: SparkSession, src, dest: str, overwrite: bool = False) -> str:
     """S3: first record per id wins; categories, created, authors, title."""
     if not overwrite and path_exists(spark, dest):

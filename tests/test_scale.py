@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import classify, encode, lookup
-from quire.session import materialize, store
+from quire.session import materialize, path_exists, release_stored, store
 from quire.sources import files
 from quire.sources.tables import spread
 
@@ -29,6 +29,9 @@ def test_store_and_materialize(spark):
     small = materialize(df.repartition(6), min_partition_bytes=1 << 30)
     assert small.rdd.getNumPartitions() == 1         # coalesced by stored size
     assert sorted(r.id for r in small.collect()) == list(range(1000))
+    paths = small.inputFiles()
+    assert release_stored(spark) >= 2
+    assert not any(path_exists(spark, p) for p in paths)
 
 
 def test_small_side_bounds(spark):
