@@ -73,7 +73,7 @@ def join_authors(author_list) -> Column:
 
 def vector_size(v) -> Column:
     """P25: vector length."""
-    return F.size(_col(v))
+    return F.size(_col(v)).cast("bigint")
 
 
 def vector_head(v, k: int = 3, digits: int = 6) -> Column:

@@ -136,4 +136,4 @@ def class_counts(df: DataFrame, label_col: str) -> DataFrame:
 
 def vector_shape(df: DataFrame, vec_col: str) -> DataFrame:
     """``(rows, dim)`` of a vector column (dim = longest vector)."""
-    return df.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size(vec_col)).alias("dim"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size(vec_col)).cast("bigint").alias("dim"))

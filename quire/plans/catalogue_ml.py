@@ -73,7 +73,7 @@ def zero_fill(spark, d):
     emb = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
     z = lookup.zero_fill(docs, emb, "doc_id", "embedding", 64)
     tot = F.aggregate(F.col("embedding"), F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return z.select("doc_id", F.size("embedding").alias("dim"), F.round(tot, 4).alias("total"))
+    return z.select("doc_id", F.size("embedding").cast("bigint").alias("dim"), F.round(tot, 4).alias("total"))
 
 
 @register("feature_concat", f"""
@@ -89,7 +89,7 @@ def feature_concat(spark, d):
     j = lookup.align(emb, docs, "doc_id").withColumn("h", encode.hashed_embedding("text", HASH_DIM))
     f = encode.concat_features("embedding", "h")
     tot = F.aggregate(f, F.lit(0.0), lambda a, x: a + x)
-    return j.select("doc_id", F.size(f).alias("dim"), F.round(tot, 4).alias("total"))
+    return j.select("doc_id", F.size(f).cast("bigint").alias("dim"), F.round(tot, 4).alias("total"))
 
 
 # --------------------------------------------------------------------------
