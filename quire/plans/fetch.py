@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import rfc2822_iso
 from ..functions.text import artefact_name, decoded_lines, head_bytes, normalise_formats, snippet
 from ..operators import filters
+from ..operators.lookup import small_side
 from ..operators.dedup import dedup_by_key
 from ..sources.files import source_lines
 from ..sources.snapshot import POSITION
@@ -83,7 +84,12 @@ def fetch_batch(papers: DataFrame, regex_id=None, start_date=None, end_date=None
     if binaries:
         if artefacts is None:
             raise ValueError(f"formats {binaries} need an artefacts table (see sources.files.read_artefacts)")
+        # only the selected papers' artefacts move: a semi join on the stored id
+        # list (broadcast when its size is checked small) runs before the pivot,
+        # so the shuffle carries their blobs, not the whole artefact store
+        wanted = small_side(out.select("id").distinct(), materialize_first=True)
         arts = (artefacts.where(F.col("format").isin(binaries))
+                .join(wanted, on="id", how="left_semi")
                 .groupBy("id").pivot("format", binaries).agg(F.first("content")))
         out = out.join(arts, on="id", how="left")
         if "html" in binaries:

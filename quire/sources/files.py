@@ -122,10 +122,11 @@ def read_artefacts(spark: SparkSession, path: str, glob: str | None = None) -> D
 
 def write_artefacts(df: DataFrame, dest: str) -> str:
     """Artefacts as Parquet ``(id, format, content, path)`` with the file
-    name ``<id>.<ext>`` the reference would have written."""
+    name ``<id>.<ext>`` the reference would have written. Stored in one folder
+    per format, so a request for some formats reads only their folders."""
     out = df.select("id", "format", "content",
                     F.concat(F.lit(dest.rstrip("/") + "/"), artefact_name("id", "format")).alias("path"))
-    out.write.mode("overwrite").parquet(dest)
+    out.write.mode("overwrite").partitionBy("format").parquet(dest)
     return dest
 
 
