@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import categories as cat
 from ..functions import dates, ids, text
-from ..operators import dedup, filters, lookup, metrics, ordering
+from ..operators import dedup, filters, lookup
 from ..sources.tables import table
 from . import standins as si
 from .registry import ORACLE, QUERIES, register  # noqa: F401
