@@ -72,4 +72,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_decontaminate, op3_pseudonyms, op4_packing, op5_topk, op6_tokenfile,
                             op7_classlm, op8_simhash, op9_licenses, op10_warc)}
 
-ORACLE: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+def _text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+#: Queries that learn a model, hash with XXH64, or depend on a tokenizer's
+#: file have no SQL form; they are tested against brute force.
+ORACLE: dict[str, str] = {
+    "op2_decontaminate": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS.format(_LOWER)} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(list_slice(w, k, k + least(len(w), 13) - 1), ' ') AS g
+       FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS k FROM b WHERE len(w) > 0)),
+dw AS (SELECT r, k, n, array_to_string(list_slice(w, k, k + n - 1), ' ') AS g
+       FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+f AS (SELECT dw.r, dw.k, dw.n, bw.item FROM dw JOIN bw ON dw.g = bw.g),
+h AS (SELECT r, count(DISTINCT k + j) AS n_hit FROM (SELECT r, k, unnest(range(0, n)) AS j FROM f) GROUP BY r),
+i AS (SELECT r, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM f) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)""",
+    "op5_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+q AS (SELECT DISTINCT vec_id AS query_id, v AS q FROM v WHERE vec_id % 50 = 0),
+s AS (SELECT query_id, vec_id, CAST(list_inner_product(q, v) AS BIGINT) AS score FROM q JOIN v ON vec_id <> query_id AND len(v) = len(q)),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM o WHERE rank <= 5""",
+    "op9_licenses": f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER} AS t, {_WORDS.format(_LOWER)} AS w FROM documents),
+p AS (SELECT unnest([{", ".join(_text(k) for k in licenses.PHRASES)}]) AS phrase, unnest([{", ".join(map(_text, licenses.PHRASES.values()))}]) AS label),
+a AS (SELECT r, k - 1 AS at, label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d), p
+      WHERE array_to_string(list_slice(w, k, k + len(string_split(phrase, ' ')) - 1), ' ') = phrase),
+base AS (SELECT r, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word FROM a GROUP BY r),
+m AS (SELECT list_distinct({_WORDS.format("lower(template)")}) AS t, label
+      FROM (SELECT unnest([{", ".join(map(_text, licenses.TEMPLATES))}]) AS template, unnest([{", ".join(map(_text, licenses.TEMPLATES.values()))}]) AS label)),
+l AS (SELECT r, list_distinct({_WORDS.format("line")}) AS b FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
+f AS (SELECT r, label, CAST(len(list_intersect(b, t)) AS DOUBLE) / len(t) AS c FROM l, m
+      WHERE len(list_intersect(b, t)) >= {licenses.CONTAINMENT} * len(t) AND len(b) <= len(t) / CAST({licenses.SHARE} AS DOUBLE)),
+best AS (SELECT r, max(c) AS c FROM f GROUP BY r),
+bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT r, label FROM a) GROUP BY r),
+al AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM a UNION SELECT r, label FROM f) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+       CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+       coalesce(c, CASE WHEN n_base > 0 THEN 0.5 ELSE 0 END) AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN best USING (r) LEFT JOIN bl USING (r) LEFT JOIN al USING (r)""",
+    "op10_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS h FROM pages),
+x AS (SELECT page_id, CAST(octet_length(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest FROM p),
+y AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM x)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM y""",
+}
