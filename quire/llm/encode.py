@@ -1,68 +1,176 @@
 """Token ids of the public byte-level BPE vocabularies, as ``tokenizers`` gives them.
 
-A text is cut where both tokenizers cut it for certain (a white-space
-character between two others), each piece is encoded once and kept in a
-bounded table of the Python worker; texts that do not allow it (runs of white
-space, text that looks like a special token) are encoded whole. The ids are
-those of ``Tokenizer.encode(text, add_special_tokens=False)``.
+Natural text repeats its words, so each distinct piece is encoded once. A text
+is cut only where both tokenizers cut it for certain: at a white-space
+character between two others, and between Latin letters and the ASCII
+punctuation that ends a piece. Such a run of letters or marks is one word of
+the tokenizers' own rule and goes straight to their merge model; other pieces
+go through the whole tokenizer. Arrow cuts the texts of a batch and numbers
+their distinct pieces, numpy puts the ids together. Known pieces are kept in a
+bounded table of the Python worker (once it is full, further pieces are
+encoded and not kept). Texts that can't be cut (runs of white space, text that
+looks like a special token) are encoded whole. The ids are those of
+``Tokenizer.encode(text, add_special_tokens=False)``.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import END_ID
 
 _HELD: dict[tuple[str, str], Encoder] = {}
-LIMIT = 300_000                       # pieces kept by a worker before the table is emptied
-LONGEST = 64                          # characters of a piece that is kept
+LIMIT = 400_000                       # pieces kept by a worker, and parts of pieces
+LONGEST = 64                          # characters of a part that is kept
+LOT = 8 << 20                         # bytes of text handled at once (or one text)
+
+#: Latin letters, then ASCII punctuation to the end that no contraction begins.
+_WORD_THEN_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?")
+#: Byte-level vocabularies write a byte as one character: printable ones as themselves, the others from U+0100 on in order.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARACTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 class Encoder:
-    """``pieces(text)`` gives packed little-endian ids of ``dtype``."""
+    """Ids of ``dtype`` (an unsigned little-endian numpy type)."""
 
     def __init__(self, path: str, dtype: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype)
-        self.known: dict[str, bytes] = {}
-        self.end = np.array([END_ID], self.dtype).tobytes()
-        # does white space belong to the tokens (byte-level), or is it dropped?
-        self.keeps_blanks = bool(self.tokenizer.encode("a b", add_special_tokens=False).ids
-                                 != [i for w in ("a", "b")
-                                     for i in self.tokenizer.encode(w, add_special_tokens=False).ids])
-        self.special = re.compile("|".join(re.escape(t.content) for t in
-                                           self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-        self.unsafe = re.compile(r"\s\s|\s$|\x00" if self.keeps_blanks else r"\x00")
-
-    def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        self.end = np.array([END_ID], self.dtype)
+        self.parts: dict[str, bytes] = {}                  # packed ids
+        self.number: dict[str, int] = {}                   # known pieces; their ids stand in flat[start:start + size]
+        self.flat, self.start, self.size = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def ids(self, text: str) -> bytes:
-        """The ids of one text, packed, without the end id."""
-        if self.unsafe.search(text) or self.special.search(text):
-            return self._encode(text)
+        def plain(text: str) -> list[int]:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+        # does white space belong to the tokens (byte-level), or is it dropped? does case count?
+        self.keeps_blanks = plain("a b") != plain("a") + plain("b")
+        self.folds_case = plain("ABC") == plain("abc")
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # pieces that show that the text can't be cut: a special token; white space beside white space
+        self.bad = re.compile("|".join(special + ([r"\A\Z", r"\A \Z", r"\A[^\S ](?s:.)", r"(?!\A)\s"] if self.keeps_blanks else []))
+                              or r"(?!)")
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text, from one call: the library numbers the texts its tokens come from."""
+        found = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
+        cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(texts) + 1)) * self.dtype.itemsize
+        packed = np.array(found.ids, self.dtype).tobytes()
+        return [packed[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+
+    def _merge(self, words: list[str]) -> list[bytes]:
+        """The packed ids of words that the tokenizer would not cut."""
+        tokenize = self.tokenizer.model.tokenize
+        ids, cuts = [], [0]
+        for w in words:
+            w = w.replace(" ", "\u0120") if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
+            ids += [t.id for t in tokenize(w)]
+            cuts.append(len(ids) * self.dtype.itemsize)
+        packed = np.array(ids, self.dtype).tobytes()
+        return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _new(self, pieces: list[str]) -> tuple[list[bytes], list[bool]]:
+        """The packed ids of pieces not known yet, and which of them show that a text can't be cut."""
+        parts, bad = self.parts, self.bad.search
+        cut: list[tuple[str, ...]] = []
+        other: list[int] = []
+        wrong = [False] * len(pieces)
+        for k, p in enumerate(pieces):
+            m = _WORD_THEN_MARKS.fullmatch(p)
+            if m is None:
+                cut.append(())
+                if bad(p):
+                    wrong[k] = True
+                else:
+                    other.append(k)
+            else:
+                w = m[1].lower() if self.folds_case else m[1]
+                cut.append((w, m[2]) if m[2] else (w,))
+        new = [x for x in {x for c in cut for x in c} if x not in parts]
+        fresh = dict(zip(new, self._merge(new), strict=True))
+        out = [b"".join([parts[x] if x in parts else fresh[x] for x in c]) for c in cut]
+        if other:
+            for k, v in zip(other, self._encode([pieces[k] for k in other]), strict=True):
+                out[k] = v
+        for x, v in fresh.items():
+            if len(parts) >= LIMIT:
+                break
+            if len(x) <= LONGEST:
+                parts[x] = v
+        return out, wrong
+
+    def _cut(self, texts: pa.Array) -> pa.ListArray:
         if self.keeps_blanks:         # " word" and a line end are pieces of their own
-            parts = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-        else:
-            parts = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        new = [p for p in dict.fromkeys(parts) if p not in known]
-        if len(known) + len(new) > LIMIT:
-            known.clear()
-            new = list(dict.fromkeys(parts))
-        found = dict(zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True))
-        packed = {p: np.array(e.ids, self.dtype).tobytes() for p, e in found.items()}
-        known.update((p, v) for p, v in packed.items() if len(p) <= LONGEST)
-        return b"".join([known.get(p) or packed.get(p, b"") for p in parts])
+            texts = pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n\x00")
+            return pc.split_pattern(texts, "\x00")
+        return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+
+    def many(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a string array (null as empty), without the end id."""
+        texts = pc.fill_null(texts, "")
+        upto = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
+        a = 0
+        while a < len(texts):
+            before = upto[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(upto, before + LOT, "right")))
+            yield from self._lot(texts.slice(a, b - a))
+            a = b
+
+    def _lot(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        lists = self._cut(texts)
+        ends = np.cumsum(np.asarray(pc.list_value_length(lists)).astype(np.int64))
+        pieces = lists.flatten().dictionary_encode()
+        at, distinct = np.asarray(pieces.indices), pieces.dictionary.to_pylist()
+        number = self.number
+        known = np.fromiter((number.get(p, -1) for p in distinct), np.int64, len(distinct))
+        missing = np.flatnonzero(known < 0)
+        new, wrong = self._new([distinct[k] for k in missing])
+        known[missing] = len(number) + np.arange(len(missing))
+        n_new = np.array([len(v) for v in new], np.int64) // self.dtype.itemsize
+        flat = np.concatenate([self.flat, np.frombuffer(b"".join(new), self.dtype)])
+        size = np.concatenate([self.size, n_new])
+        start = np.concatenate([self.start, len(self.flat) + np.cumsum(n_new) - n_new])
+        wrong = np.array([False] * len(number) + wrong, bool)
+        # ids of all pieces in a row, then of each text
+        k = known[at]
+        n = size[k]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        ids = flat[np.repeat(start[k] - upto[:-1], n) + np.arange(upto[-1])]
+        whole = np.zeros(len(texts), bool)
+        if wrong.any():
+            whole[np.searchsorted(ends, np.flatnonzero(wrong[k]), "right")] = True
+        if self.keeps_blanks:
+            whole |= np.asarray(pc.match_substring(texts, "\x00"))
+        first = 0
+        for i, (last, alone) in enumerate(zip(ends.tolist(), whole.tolist(), strict=True)):
+            if alone:
+                yield np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, self.dtype)
+            else:
+                yield ids[upto[first]:upto[last]]
+            first = last
+        kept = 0
+        for x, v in zip(missing.tolist(), wrong[len(number):].tolist(), strict=True):
+            if v or len(number) >= LIMIT:                  # kept pieces are the first of the new ones, in order
+                break
+            number[distinct[x]] = len(number)
+            kept += 1
+        if kept:
+            m = len(self.size) + kept
+            self.size, self.start = size[:m], start[:m]
+            self.flat = flat[:self.start[-1] + self.size[-1]]
+
+    def ids(self, text: str) -> bytes:
+        return next(iter(self.many(pa.array([text])))).tobytes()
 
 
 def encoder(path: str, dtype: str) -> Encoder:

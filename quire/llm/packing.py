@@ -121,8 +121,8 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, with_ids:
         enc, task, made = encoder(vocabulary, "<u4"), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for b in batches:
             at, out, ids = [], [], []
-            for i, t in enumerate(column(b, "text").to_pylist()):
-                packed = enc.ids(t or "") + enc.end
+            for i, x in enumerate(enc.many(column(b, "text"))):
+                packed = np.concatenate([x, enc.end]).tobytes()
                 for k, (s, n) in enumerate(cut(len(packed) // 4, capacity)):
                     x = packed[4 * s:4 * (s + n)]
                     at.append(i)

@@ -49,8 +49,8 @@ def train_dictionary(docs: DataFrame, vocabulary: str, dtype: str, size: int = D
         enc = encoder(vocabulary, dtype)
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([(enc.ids(t or "") + enc.end)[:TRAINING_BYTES // TRAINING_DOCUMENTS]
-                           for t in column(b, "text").to_pylist()], pa.binary())], names=["ids"])
+                [pa.array([np.concatenate([x, enc.end]).tobytes()[:TRAINING_BYTES // TRAINING_DOCUMENTS]
+                           for x in enc.many(column(b, "text"))], pa.binary())], names=["ids"])
 
     samples = [bytes(r.ids) for r in picked.mapInArrow(run, "ids binary").collect()]
     try:
@@ -88,13 +88,13 @@ def write(docs: DataFrame, vocabulary: str, dtype: str = "<u2", folder: str | No
         out, name, nth, at, before = None, f"part-{part:06d}-{uuid.uuid4().hex}.qtk", 0, 0, 0
         for b in batches:
             rows = []
-            for t in column(b, "text").to_pylist():
+            for x in enc.many(column(b, "text")):
                 if out is None:
                     files, top = open_fs(folder)
                     out = files.open_output_stream(f"{top}/{name}")
                     out.write(MAGIC + digest)
                     at = len(MAGIC) + len(digest)
-                ids = enc.ids(t or "") + enc.end
+                ids = np.concatenate([x, enc.end]).tobytes()
                 frame = packer.compress(ids)
                 out.write(frame)
                 rows.append((nth, at, len(frame), before, len(ids) // width))
