@@ -9,8 +9,8 @@ documents. The ``CLUSTERED`` most frequent words are moved between classes,
 one word at a time, as long as the likelihood of the class bigrams rises. All
 further words down to rank ``LISTED`` then join the class that fits their
 neighbours in the whole corpus best (one exchange step for all words at once,
-in Spark). Rarer words are one more class, whose words are told apart by their
-exact counts. Transitions are smoothed with the class frequencies; the rare
+in Spark). Rarer words, and all seen only once, are one more class, whose
+words are told apart by their exact counts. Transitions are smoothed with the class frequencies; the rare
 class keeps room for words never seen, so a text's probabilities sum to one.
 
 Word counts, bigrams, word contexts and class transitions come from all
@@ -38,6 +38,7 @@ from pyspark.sql import types as T
 from .common import ASCII_LOWER, column, store, text_bytes
 
 CLASSES, CLUSTERED, LISTED = 64, 1000, 200_000
+LEAST_COUNT = 2                       # words seen once stay in the class of rare words: they stand for the unseen ones
 SWEEPS = 6                            # passes of the exchange over the clustered words at most
 PRIOR = 20.0                          # weight of the class frequencies in a transition
 END = b""                             # the end token; no word is empty
@@ -244,11 +245,12 @@ class Model:
         self.base[-2] = 0.0                                # added per word: (c + 1) / base_size
 
 
-def train(docs: DataFrame, n_classes: int = CLASSES, clustered: int = CLUSTERED, listed: int = LISTED) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, n_classes: int = CLASSES, clustered: int = CLUSTERED, listed: int = LISTED,
+          least_count: int = LEAST_COUNT) -> tuple[Model, DataFrame]:
     """The model of the training ``docs``, and the stored exact counts of all their words."""
     vocabulary = store(count_words(docs), "vocabulary")
     r = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = vocabulary.where(F.octet_length("word") > 0).orderBy(F.desc("c"), "word").limit(listed).toArrow()
+    top = vocabulary.where((F.octet_length("word") > 0) & (F.col("c") >= least_count)).orderBy(F.desc("c"), "word").limit(listed).toArrow()
     words, counts = top["word"].to_pylist(), np.asarray(top["c"]).astype(np.int64)
     number = {w: i for i, w in enumerate(words)}
     ends = vocabulary.where(F.octet_length("word") == 0).select("c").first()
@@ -267,7 +269,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, keep: tuple[str,
     """``keep`` columns, n_tokens, n_known, train_tokens, base_score, score and perplexity per row."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col("text").cast("binary").alias("text"))
+    rows = docs.select(*keep, F.col("text").cast("binary").alias("_text"))
     rare = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("_row", T.LongType()),
                            T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()),
@@ -280,7 +282,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, keep: tuple[str,
         rest = end - 1
         for b in batches:
             out, rare = [], []
-            for t in text_bytes(b):
+            for t in text_bytes(b, "_text"):
                 words = words_of(t)
                 ids = np.array([get(w, rest) for w in words] + [end], np.int64)
                 cls = m.classes[ids]

@@ -222,18 +222,21 @@ def token(c: Cycle, m: re.Match, by: int) -> str | None:
             return m["head"] + (new if low else new.upper())
 
 
-#: One pass over a text; the first alternative that matches at a place is tried, and a value that fails its check stays.
-PATTERN = re.compile(
-    r"(?P<email>(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]+)@(?P<domain>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}))"
-    r"|(?P<token>(?P<head>(?i:key|token|secret|password)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<hex>[0-9a-f]{16,128}|[0-9A-F]{16,128})(?!\w)|(?<!\w)(?P<id>A[KS]IA[0-9A-Z]{16})(?!\w))"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9]))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))"
-    r"|(?P<date>(?<![\w./-])(?P<a>\d{1,4})(?P<s>[-/.])(?P<b>\d{1,2})(?P<s2>[-/.])(?P<c>\d{1,4})(?![\w]|[-/.]\d))"
-    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d))"
-    r"|(?P<phone>(?:(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}|(?<!\w)\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|(?<![\w.-])\d{3}(?P<q>[.-])\d{3}(?P=q)\d{4})(?![\w]|[-.]\d))"
-    r"|(?P<card>(?<![\w.-])(?:\d{13,19}|\d{4}(?P<g>[ -])\d{4}(?P=g)\d{4}(?P=g)\d{1,7}|\d{4}(?P<h>[ -])\d{6}(?P=h)\d{5})(?!\w))",
-    re.ASCII)
+#: What each kind of value looks like, in the order in which they are tried at a place.
+_LOOKS = {
+    "email": r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]+)@(?P<domain>[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})",
+    "token": r"(?P<head>(?i:key|token|secret|password)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<hex>[0-9a-f]{16,128}|[0-9A-F]{16,128})(?!\w)|(?<!\w)(?P<id>A[KS]IA[0-9A-Z]{16})(?!\w)",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
+    "date": r"(?<![\w./-])(?P<a>\d{4}|\d{1,2})(?P<s>[-/.])(?P<b>\d{1,2})(?P<s2>[-/.])(?P<c>\d{4}|\d{1,2})(?![\w]|[-/.]\d)",
+    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
+    "phone": r"(?:(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}|(?<!\w)\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|(?<![\w.-])\d{3}(?P<q>[.-])\d{3}(?P=q)\d{4})(?![\w]|[-.]\d)",
+    "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?P<g>[ -])\d{4}(?P=g)\d{4}(?P=g)\d{1,7}|\d{4}(?P<h>[ -])\d{6}(?P=h)\d{5})(?!\w)",
+}
+PATTERN = re.compile("|".join(f"(?P<{k}>{x})" for k, x in _LOOKS.items()), re.ASCII)
+_ALONE = {k: re.compile(x, re.ASCII) for k, x in _LOOKS.items()}
 _DO = {"card": card, "iban": iban, "ssn": ssn, "phone": phone, "ip": ip, "date": date, "email": email, "token": token}
+_WORD = re.compile(r"\w+", re.ASCII)
 _ANY = re.compile(r"[0-9@]|A[KS]IA")
 
 
@@ -244,12 +247,17 @@ def pseudonymise(text: str, cycle: Cycle, by: int = 1) -> tuple[str, list[tuple[
     out, at, shift, spans = [], 0, 0, []
     pos = 0
     while m := PATTERN.search(text, pos):
-        kind = m.lastgroup if m.lastgroup in _DO else next(k for k in KINDS if m[k] is not None)
+        kind = next(k for k in _LOOKS if m[k] is not None)
         new = _DO[kind](cycle, m, by)
-        if new is None:                                    # not a valid value: look on behind its first run of digits
-            skip = re.compile(r"\w+", re.ASCII).match(text, m.start())
-            pos = skip.end() if skip else m.start() + 1
-            continue
+        if new is None:                                    # not valid as this: as another kind at this place?
+            for kind in list(_LOOKS)[list(_LOOKS).index(kind) + 1:]:
+                if (m2 := _ALONE[kind].match(text, m.start())) and (new := _DO[kind](cycle, m2, by)) is not None:
+                    m = m2
+                    break
+            else:                                          # none: look on behind its first word
+                skip = _WORD.match(text, m.start())
+                pos = skip.end() if skip else m.start() + 1
+                continue
         out += [text[at:m.start()], new]
         spans.append((kind, m.start() + shift, m.start() + shift + len(new)))
         shift += len(new) - (m.end() - m.start())

@@ -98,9 +98,9 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (r) LEFT JOIN i USING (r)""",
     "op5_topk": """
-WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-             AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+             AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
 q AS (SELECT DISTINCT vec_id AS query_id, v AS q FROM v WHERE vec_id % 50 = 0),
 s AS (SELECT query_id, vec_id, CAST(list_inner_product(q, v) AS BIGINT) AS score FROM q JOIN v ON vec_id <> query_id AND len(v) = len(q)),
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
@@ -108,9 +108,9 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM o WHERE rank
     "op9_licenses": f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_LOWER} AS t, {_WORDS.format(_LOWER)} AS w FROM documents),
 p AS (SELECT unnest([{", ".join(_text(k) for k in licenses.PHRASES)}]) AS phrase, unnest([{", ".join(map(_text, licenses.PHRASES.values()))}]) AS label),
-a AS (SELECT r, k - 1 AS at, label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d), p
+a AS (SELECT r, k - 1 AS place, label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d), p
       WHERE array_to_string(list_slice(w, k, k + len(string_split(phrase, ' ')) - 1), ' ') = phrase),
-base AS (SELECT r, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word FROM a GROUP BY r),
+base AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM a GROUP BY r),
 m AS (SELECT list_distinct({_WORDS.format("lower(template)")}) AS t, label
       FROM (SELECT unnest([{", ".join(map(_text, licenses.TEMPLATES))}]) AS template, unnest([{", ".join(map(_text, licenses.TEMPLATES.values()))}]) AS label)),
 l AS (SELECT r, list_distinct({_WORDS.format("line")}) AS b FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),

@@ -172,7 +172,7 @@ def search(file: DataFrame, bounds: dict, is_query: Column, k: int = 5,
                     if n not in held.value:
                         continue
                     if n not in best:
-                        best[n] = _Best(*held.value[n], *limits.value[n], k)
+                        best[n] = _Best(*held.value[n], *limits.value.get(n, (np.zeros(0, np.int64),) * 2), k)
                     for a in range(0, len(rows), ROWS):
                         at = rows[a:a + ROWS]
                         c = np.frombuffer(b"".join(cells[i] for i in at), np.uint8).reshape(len(at), n)

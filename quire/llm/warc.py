@@ -12,9 +12,9 @@ incrementally, a member's end is where the decompressor ends, the block is cut
 by Content-Length, and block and payload digests are verified.
 
 Defined results: null html counts as empty; smaller payloads are all
-responses; where several rows share the smallest page_id of a payload, the
-first in scan order is the response; a null page_id comes last; an empty
-table gives no archives and no rows.
+responses; rows that share the smallest page_id of a payload are responses
+each; a null page_id is never the smallest (where a payload has no other, its
+rows are responses each); an empty table gives no archives and no rows.
 """
 
 from __future__ import annotations
@@ -67,16 +67,15 @@ def write(pages: DataFrame, folder: str | None = None, min_revisit: int = MIN_RE
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload"), F.monotonically_increasing_id().alias("nth"))
+    rows = pages.select("page_id", "url", payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256))
-    page = F.struct(F.col("page_id").isNull().alias("last"), F.col("page_id"), F.col("nth"))
     first = (rows.where(F.octet_length("payload") >= min_revisit).groupBy("digest")
-             .agg(F.min(page).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"))
+             .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first"))
     marked = rows.join(first, "digest", "left")
-    revisit = F.col("first").isNotNull() & (F.col("first.nth") != F.col("nth"))
+    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     marked = marked.select(
         "page_id", "url", F.when(~revisit, F.col("payload")).alias("payload"), F.octet_length("payload").alias("size"),
-        "digest", revisit.alias("revisit"), F.when(revisit, F.col("first.page_id")).alias("refers_to"))
+        "digest", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, n = f"pages-{uuid.uuid4().hex}.warc.gz", None, 0
