@@ -21,8 +21,8 @@ PY_SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u20
 # URL template per artefact format ({} = versioned id).
 FORMAT_URLS = {
     "abstract": "https://arxiv.org/abs/{}",
-    "pdf": "https://arxiv.org/pdf/{}",
-    "html": "https://arxiv.org/html/{}",
+    "pdf": "https://arxiv.org/pdf/{}.pdf",
+    "html": "https://arxiv.org/abs/{}",
     "source": "https://arxiv.org/e-print/{}",
 }
 # File extension per artefact format.
@@ -62,8 +62,13 @@ def decoded_lines(content) -> Column:
 
 
 def snippet(c, n: int = 3) -> Column:
-    """The first ``n`` lines joined with newlines."""
-    return F.array_join(F.slice(lines(c), 1, n), "\n")
+    """The first ``n`` lines joined with newlines. The text is split into
+    ``n + 1`` pieces at most, so a long text is not cut into all its lines."""
+    s = _col(c)
+    head = F.slice(F.split(s, LINE_BREAK, n + 1), 1, n)
+    # a text that ends in a line break has no line after it
+    last = (F.size(head) > 1) & (F.element_at(head, -1) == "") & (F.size(F.split(s, LINE_BREAK, n + 1)) <= n)
+    return F.array_join(F.when(last, F.slice(head, 1, F.size(head) - 1)).otherwise(head), "\n")
 
 
 def join_authors(author_list) -> Column:

@@ -25,9 +25,6 @@ TRAIN_PARTITION_BYTES = 32 * 1024 * 1024
 ABLATION_PARAMS = dict(loss="log_loss", tol=1e-6, max_iter=50, alpha=1e-7, fit_intercept=True)
 # summary classifier: loss 'log_loss', max_iter 1000, no intercept (default alpha 1e-4)
 SUMMARY_PARAMS = dict(loss="log_loss", tol=1e-3, max_iter=1000, alpha=1e-4, fit_intercept=False)
-# loss names listed by the reference (only the first two are built here)
-LOSSES = ["hinge", "log_loss", "modified_huber", "squared_hinge", "perceptron", "squared_error",
-          "huber", "epsilon_insensitive", "squared_epsilon_insensitive"]
 # ---------------------------------------------------------------------------
 
 
@@ -85,11 +82,15 @@ def predict_proba(model, df: DataFrame, spec: ClassifierSpec) -> DataFrame:
 
 
 def train_test(train: DataFrame, test: DataFrame, spec: ClassifierSpec, label: str = "code",
-               features: str = "features", n_classes: int | None = None) -> DataFrame:
+               features: str = "features") -> DataFrame:
     """M6: fit on ``train``, score ``test``; one row ``top1, top3, top5,
-    loglikelihood, perplexity, n``. A test class never seen in training gets
-    probability 0 (log-likelihood ``-inf``), counted in ``n_unseen``."""
+    loglikelihood, perplexity, n, n_unseen``. A test class that has no training
+    row (also one whose code lies between those of training classes) gets
+    probability 0, is in no top n, and is counted in ``n_unseen``."""
+    codes = [r[0] for r in train.select(F.col(label).cast("bigint")).distinct().collect()]   # one row per class
+    seen = F.array(*[F.lit(c) for c in sorted(codes)])
     model = fit(train, spec, features, label)
     scored = predict_proba(model, test, spec)
-    unseen = F.sum((F.col(label) >= F.size("probs")).cast("long")).alias("n_unseen")
-    return metrics.score_table(scored, "probs", label, pred="prediction", extra=[unseen])
+    scored = scored.withColumn("probs", metrics.mask_unseen("probs", seen))
+    unseen = F.sum((~metrics.is_label("probs", label, seen)).cast("long")).alias("n_unseen")
+    return metrics.score_table(scored, "probs", label, extra=[unseen], seen=seen)

@@ -11,10 +11,11 @@ citations per category (a partial aggregate), and
 
     count(x, c) = sum over s citing x of  C(s, c) - [x is training with category c]
 
-so the work is one row per (edge, category of that citing paper). A hub
-citing paper holding a third of all edges lands in one join key: the
-``edges x C`` join is a plain equi-join that AQE's skew-join splits, and both
-aggregates combine map-side.
+so the work is one row per (edge, category of that citing paper). ``C`` has one
+row per citing paper and category; it is broadcast when checked small. Beyond
+that the ``edges x C`` join is salted: a hub citing paper's edges go to
+``SALTS`` partitions, whose share of ``C`` is repeated. Both aggregates combine
+map-side.
 """
 
 from __future__ import annotations
@@ -22,11 +23,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, store
+from .lookup import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, DECODED_PER_STORED
+
+SALTS = 32
+
+
+def _with_categories(edges: DataFrame, per_src: DataFrame, max_rows: int) -> DataFrame:
+    per_src, nbytes = store(per_src, "per-source")
+    if nbytes * DECODED_PER_STORED <= BROADCAST_MAX_BYTES and per_src.count() <= max_rows:
+        return edges.join(F.broadcast(per_src), on="src")
+    salted = per_src.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("_s", F.pmod(F.hash("paper"), F.lit(SALTS))).join(salted, on=["src", "_s"]).drop("_s")
 
 
 def cocitation_counts(edges: DataFrame, train_labels: DataFrame, src: str = "src",
-                      dst: str = "dst", id_col: str = "id", label_col: str = "cat") -> DataFrame:
+                      dst: str = "dst", id_col: str = "id", label_col: str = "cat",
+                      max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """``(paper, cat, cnt, share)`` for every paper cited at least once, over
     categories with a non-zero count."""
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("paper")).distinct()
@@ -37,7 +50,7 @@ def cocitation_counts(edges: DataFrame, train_labels: DataFrame, src: str = "src
     per_src = (el.where(F.col("own_cat").isNotNull())
                .groupBy("src", F.col("own_cat").alias("cat"))
                .agg(F.count(F.lit(1)).alias("c")))
-    contrib = el.join(per_src, on="src", how="inner").select(
+    contrib = _with_categories(el, per_src, max_broadcast_rows).select(
         "paper", "cat",
         (F.col("c") - F.when(F.col("own_cat") == F.col("cat"), 1).otherwise(0)).alias("c"))
     agg = (contrib.groupBy("paper", "cat").agg(F.sum("c").alias("cnt"))

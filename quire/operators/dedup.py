@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,22 +17,21 @@ def dedup_by_key(df: DataFrame, key, ordinal, keep: str = "first") -> DataFrame:
     """A4: one row per key, the one with the smallest (``first``) or largest
     (``last``) ordinal.
 
-    ``min_by`` / ``max_by`` over a struct of the other columns is a partial
-    aggregate: each map task reduces its own rows first, so a key holding a
-    third of all rows ships one row per task, not all of them.
-    ``ordinal`` must be a total order (a column name, a list, or a Column).
+    The winning ordinal per key comes from a narrow projection (key and
+    ordinal only), reduced on the map side, so a key holding a third of all
+    rows ships one row per task. The wide rows are then semi-joined to the
+    winners on (key, ordinal): they move once, unsorted rows are never
+    aggregated. ``ordinal`` (a column name or a list) must be a total order of
+    a key's rows; nulls in it come first.
     """
-    keys = [key] if isinstance(key, str) else list(key)
-    if isinstance(ordinal, (list, tuple)):
-        ord_col = F.struct(*[F.col(c) for c in ordinal])
-    elif isinstance(ordinal, str):
-        ord_col = F.col(ordinal)
-    else:
-        ord_col = ordinal
-    rest = [c for c in df.columns if c not in keys]
-    pick = F.min_by if keep == "first" else F.max_by
     if keep not in ("first", "last"):
         raise ValueError("keep must be 'first' or 'last'")
-    row = F.struct(*[F.col(c) for c in rest])
-    return (df.groupBy(*keys).agg(pick(row, ord_col).alias("_row"))
-            .select(*keys, *[F.col("_row." + c).alias(c) for c in rest]))
+    keys = [key] if isinstance(key, str) else list(key)
+    order = [ordinal] if isinstance(ordinal, str) else list(ordinal)
+    pick = F.min if keep == "first" else F.max
+    best = (df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+            .agg(pick(F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])).alias("_best"))
+            .select("*", "_best.*").drop("_best"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    same += [F.col(c).eqNullSafe(F.col(f"_o{i}")) for i, c in enumerate(order)]
+    return df.join(best, reduce(lambda a, b: a & b, same), "left_semi")

@@ -2,16 +2,15 @@
 
 M1 is pluggable: an encoder is a function ``Column(text) -> Column(array)``
 or a ``mapInPandas`` batch function. The default encoder needs no model
-download: whitespace tokens, bucket = first 4 hex digits of ``md5(token)`` mod
+download: whitespace tokens, bucket = first 8 hex digits of ``md5(token)`` mod
 ``dim``, weight = term count / L2 norm of the counts.
 
-Two forms of the default encoder:
+Both forms of the default encoder work in the row, without any shuffle: the
+bucket ids are computed JVM-side (``transform`` + ``md5``), the counts of a
+whole Arrow batch are one ``bincount`` in a pandas UDF.
 
-* :func:`hashed_term_weights` - sparse ``(id, bucket, tf, weight)`` rows, a
-  word-count style explode + partial aggregate; also the SQL-checkable form.
-* :func:`hashed_embedding` - dense ``array<double>`` per row without any
-  shuffle: the bucket ids are computed JVM-side (``transform`` + ``md5``), only
-  the per-row bincount + normalisation is an Arrow-batched pandas UDF.
+* :func:`hashed_embedding` - dense ``array<double>`` per row;
+* :func:`hashed_term_weights` - sparse ``(id, bucket, tf, weight)`` rows.
 """
 
 from __future__ import annotations
@@ -31,9 +30,15 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Buckets come from 32 bits of a hash.
+MAX_DIM = 1 << 31
+
+
 def token_bucket(tok, dim: int) -> Column:
-    """Bucket of one token: first 4 hex digits of its md5, mod ``dim``."""
-    return F.pmod(F.conv(F.substring(F.md5(tok), 1, 4), 16, 10).cast("int"), F.lit(dim))
+    """Bucket of one token: first 8 hex digits of its md5, mod ``dim``."""
+    if not 0 < dim <= MAX_DIM:
+        raise ValueError(f"dim must be 1 to {MAX_DIM}, not {dim}")
+    return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
 
 
 def token_buckets(text, dim: int) -> Column:
@@ -41,52 +46,44 @@ def token_buckets(text, dim: int) -> Column:
     return F.transform(category_tokens(blank_if_null(text)), lambda t: token_bucket(t, dim))
 
 
-def hashed_term_weights(df: DataFrame, key: str, text_col: str, dim: int = 256,
-                        unique_key: bool = False) -> DataFrame:
+def hashed_term_weights(df: DataFrame, key: str, text_col: str, dim: int = 256) -> DataFrame:
     """M1 sparse form: ``(key, bucket, tf, weight)`` for every non-empty bucket
-    (the counts of all rows sharing a key add up).
-
-    Default plan, safe for any key: explode, partial + final aggregate on
-    ``(key, bucket)`` (a hot key ships one row per bucket per map task), then
-    the per-key norm as a window over at most ``dim`` rows per key.
-
-    ``unique_key=True`` (one row per key, as a table's primary key): the rows
-    are hash-partitioned by the key once, and the counts and the norm both run
-    inside that partitioning with no further exchange. One shuffle of the text
-    is smaller than the two shuffles of sparse rows it replaces (one row per
-    distinct bucket, each wider than the token it came from). With a repeated
-    key this would put all its texts in one task, hence the flag.
-    """
-    src = df.repartition(key) if unique_key else df
-    # explode the tokens, then hash each as a plain column (inside whole-stage
-    # codegen, not an interpreted lambda)
-    toks = src.select(key, F.explode(category_tokens(blank_if_null(text_col))).alias("_t"))
-    toks = toks.select(key, token_bucket(F.col("_t"), dim).alias("bucket"))
-    tf = toks.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("tf"))
-    norm = F.sqrt(F.sum(F.col("tf") * F.col("tf")).over(Window.partitionBy(key)))
-    return tf.withColumn("weight", F.col("tf") / norm)
+    of every row. The row is encoded where it stands and its non-zero buckets
+    exploded, so nothing is shuffled, however often a key occurs."""
+    tf = _bincount(dim, normalise=False)(token_buckets(text_col, dim))
+    x = df.select(key, tf.alias("_v"))
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, v: a + v * v))
+    x = x.select(key, norm.alias("_n"), F.posexplode("_v").alias("bucket", "_tf")).where(F.col("_tf") > 0)
+    return x.select(key, "bucket", F.col("_tf").cast("bigint").alias("tf"), (F.col("_tf") / F.col("_n")).alias("weight"))
 
 
-def _bincount_l2(dim: int):
+def _bincount(dim: int, normalise: bool):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def enc(buckets: pd.Series) -> pd.Series:
+        size = np.fromiter((0 if b is None else len(b) for b in buckets), np.int64, len(buckets))
         out = []
-        for b in buckets:
-            v = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64) \
-                if b is not None and len(b) else np.zeros(dim)
-            n = np.sqrt((v * v).sum())
-            out.append(v / n if n > 0 else v)
-        return pd.Series(out)
+        step = max(1, (1 << 22) // dim)                    # rows counted at once: 32 MB of counts
+        for a in range(0, len(buckets), step):
+            n = size[a:a + step]
+            cells = [np.asarray(b, dtype=np.int64) for b in buckets.iloc[a:a + step] if b is not None and len(b)]
+            flat = np.concatenate(cells) if cells else np.zeros(0, np.int64)
+            v = np.bincount(np.repeat(np.arange(len(n)), n) * dim + flat, minlength=len(n) * dim)
+            v = v.reshape(len(n), dim).astype(np.float64)
+            if normalise:
+                norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+                v /= np.where(norm > 0, norm, 1.0)
+            out += list(v)
+        return pd.Series(out, dtype=object)
     # Deterministic in fact; flagged so Catalyst never copies the Python call
     # into an inferred filter (posexplode adds ``size(v) > 0``), which would
-    # run the encoder twice, the first time below any repartition.
+    # run the encoder twice.
     return enc.asNondeterministic()
 
 
 def hashed_embedding(text, dim: int = 256) -> Column:
     """M1 dense form: L2-normalised hashed term counts, ``array<double>[dim]``;
     an empty text gives the zero vector."""
-    return _bincount_l2(dim)(token_buckets(text, dim))
+    return _bincount(dim, normalise=True)(token_buckets(text, dim))
 
 
 def embed_columns(df: DataFrame, key: str, text_cols, dim: int = 256, encoder=None,
@@ -98,10 +95,20 @@ def embed_columns(df: DataFrame, key: str, text_cols, dim: int = 256, encoder=No
     return df.select(key, *[enc(blank_if_null(c), dim).alias(c + suffix) for c in cols])
 
 
-def widen(df: DataFrame, vec_col: str, dim: int, prefix: str | None = None, keep=()) -> DataFrame:
-    """``vec`` -> ``vec_0 .. vec_{dim-1}`` scalar columns."""
+def widen(df: DataFrame, vec_col: str, dim: int | None = None, prefix: str | None = None, keep=()) -> DataFrame:
+    """``vec`` -> ``vec_0 .. vec_{dim-1}`` scalar columns. The width is
+    that of the data; a vector of another length raises (with a given ``dim``
+    when its row is read). A null vector gives nulls."""
     p = prefix or vec_col
-    return df.select(*keep, *[F.col(vec_col)[i].alias(f"{p}_{i}") for i in range(dim)])
+    v = F.col(vec_col)
+    if dim is None:
+        r = df.where(v.isNotNull()).agg(F.min(F.size(v)), F.max(F.size(v))).first()
+        if r[0] != r[1]:
+            raise ValueError(f"{vec_col} has vectors of {r[0]} to {r[1]} values; a wide table needs one length")
+        dim = r[0] or 0
+    wrong = F.raise_error(F.format_string(f"{vec_col} has %d values, not {dim}", F.size(v)))
+    v = F.when(v.isNull() | (F.size(v) == dim), v).otherwise(wrong)
+    return df.select(*keep, v.alias("_v")).select(*keep, *[F.get("_v", i).alias(f"{p}_{i}") for i in range(dim)])
 
 
 def concat_features(*cols) -> Column:
@@ -110,16 +117,18 @@ def concat_features(*cols) -> Column:
 
 
 def label_codes(df: DataFrame, label_col: str) -> DataFrame:
-    """M3: ``(label, code)`` with codes 0..k-1 in ascending label order.
+    """M3: ``(label, code)`` with codes 0..k-1 in ascending label order, stored
+    once and marked for broadcast when checked small.
 
     Works on the distinct-label table (one row per class), never on the rows.
     """
     labels = df.where(F.col(label_col).isNotNull()).select(F.col(label_col).alias("label")).distinct()
-    return labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1).cast("bigint").alias("code"))
+    return small_side(labels.select(
+        "label", (F.row_number().over(Window.orderBy("label")) - 1).cast("bigint").alias("code")))
 
 
-def encode_labels(df: DataFrame, label_col: str, out: str = "code") -> DataFrame:
-    """M3 applied: attach the code of each row's label (broadcast of the class
-    table when its size is checked small)."""
-    codes = label_codes(df, label_col).withColumnRenamed("label", label_col).withColumnRenamed("code", out)
-    return df.join(small_side(codes, materialize_first=True), on=label_col, how="left")
+def encode_labels(df: DataFrame, label_col: str, out: str = "code", codes: DataFrame | None = None) -> DataFrame:
+    """M3 applied: attach the code of each row's label. ``codes``: a table of
+    :func:`label_codes` when there is one already."""
+    codes = label_codes(df, label_col) if codes is None else codes
+    return df.join(codes.select(F.col("label").alias(label_col), F.col("code").alias(out)), on=label_col, how="left")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.categories import category_tokens
 from ..functions.dates import date_in_range
 from ..functions.ids import regex_match, regex_search, split_versioned_pattern, with_version
+from .dedup import dedup_by_key
 
 
 def _as_list(v):
@@ -124,14 +125,16 @@ def min_class_filter(df: DataFrame, label_col: str, min_count: int = 2) -> DataF
     from .lookup import small_side
     keep = (df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n"))
             .where(F.col("_n") >= min_count).select(label_col))
-    return df.join(small_side(keep, materialize_first=True), on=label_col, how="left_semi")
+    return df.join(small_side(keep), on=label_col, how="left_semi")
 
 
 def feed_batch_filter(entries: DataFrame, regex_id, start_date, end_date, category,
                       id_col="id", created_col="published_date",
-                      categories_col="categories") -> DataFrame:
+                      categories_col="categories", position: str | None = None) -> DataFrame:
     """feed-batch filter with required start, end and category; the id
-    pattern is matched at the start of the id. ``categories_col`` is an array."""
+    pattern is matched at the start of the id. ``categories_col`` is an array.
+    With ``position`` (a total order of the entries), an id that overlapping
+    pages repeat keeps its last entry that passes."""
     if not (start_date and end_date and category):
         raise ValueError("start_date, end_date and category are required")
     cats = _as_list(category)
@@ -139,4 +142,5 @@ def feed_batch_filter(entries: DataFrame, regex_id, start_date, end_date, catego
             & F.arrays_overlap(F.col(categories_col), F.array(*[F.lit(c) for c in cats])))
     if regex_id:
         cond = cond & regex_match(id_col, regex_id)
-    return entries.where(cond)
+    out = entries.where(cond)
+    return dedup_by_key(out, id_col, position, keep="last") if position else out

@@ -7,54 +7,46 @@ from pyspark.sql import functions as F
 
 from ..session import store
 
-# Largest side that is broadcast: at most this many rows (a bounded count,
-# ``limit(n + 1).count()``, so a big side is never scanned fully) and, for a
-# side stored first, at most this many stored (compressed Parquet) bytes.
+# Largest side that is broadcast: at most this many rows, and at most this
+# many bytes when decoded. Both are read from the stored side: its rows from
+# the file footers, its bytes from the file system.
 BROADCAST_MAX_ROWS = 2_000_000
-BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+BROADCAST_MAX_BYTES = 256 * 1024 * 1024
+# Decoded bytes per stored (compressed, encoded) byte, assumed on the safe side.
+DECODED_PER_STORED = 8
 
 
-def has_at_most(df: DataFrame, n: int) -> bool:
-    """True when ``df`` has no more than ``n`` rows (stops reading after n + 1)."""
-    return df.limit(n + 1).count() <= n
-
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, materialize_first: bool = False,
+def small_side(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
                max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """``broadcast(df)`` when its size is proven small, else ``df`` unchanged
-    (the join then shuffles on the key; AQE may still broadcast at runtime).
+    """``broadcast(df)`` when its size is proven small, else ``df`` (the join
+    then shuffles on the key; AQE may still broadcast at runtime). The rows of
+    the join are the same either way.
 
-    ``materialize_first`` stores ``df`` before the check: use it when ``df`` is
-    derived from big data (an aggregate, a filtered list), so the check and the
-    join read the stored result instead of computing it twice. A stored side
-    is also bounded by its byte size, known without reading it.
+    The side is stored first, so that the check and the join read the stored
+    result and the plan behind it runs once.
     """
-    if materialize_first:
-        df, nbytes = store(df, "side")
-        if nbytes > max_bytes:
-            return df
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
+    df, nbytes = store(df, "side")
+    if nbytes * DECODED_PER_STORED > max_bytes or df.count() > max_rows:
+        return df
+    return F.broadcast(df)
 
 
 def lookup_by_id(papers: DataFrame, ids: DataFrame, key: str = "base_id",
                  max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Rows of ``papers`` whose key is in ``ids``; unknown ids drop out,
-    duplicate requested ids collapse. ``ids`` may carry extra columns
-    (e.g. ``versioned_id``) that are kept."""
-    req = small_side(ids.dropDuplicates([key]), max_broadcast_rows, materialize_first=True)
-    return papers.join(req, on=key, how="inner")
+    repeated requests collapse. ``ids`` may carry extra columns that are kept:
+    two versions of one id (``versioned_id``) are two requests."""
+    return papers.join(small_side(ids.dropDuplicates(), max_broadcast_rows), on=key, how="inner")
 
 
 def lookup_left_stub(ids: DataFrame, papers: DataFrame, columns, key: str = "base_id",
                      max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """One row per requested id with only the needed paper columns (NULL
-    when the id is unknown). Only ``columns`` are read from the paper scan."""
-    req, nbytes = store(ids.dropDuplicates([key]), "ids")
-    side = papers.select(key, *columns)
-    if nbytes <= BROADCAST_MAX_BYTES and has_at_most(req, max_broadcast_rows):
-        # the request list is small: keep it on the probe side, semi-reduce the
-        # paper scan with a broadcast semi join first
-        side = side.join(F.broadcast(req.select(key)), on=key, how="left_semi")
+    """One row per request with only the needed paper columns (NULL when
+    the id is unknown). Only ``columns`` are read from the paper scan, and the
+    scan is reduced to the requested ids first."""
+    req, _ = store(ids.dropDuplicates(), "ids")
+    wanted = small_side(req.select(key).distinct(), max_broadcast_rows)
+    side = papers.select(key, *columns).join(wanted, on=key, how="left_semi")
     return req.join(side, on=key, how="left")
 
 
@@ -63,8 +55,11 @@ def align(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> Da
     return left.join(right, on=key, how=how)
 
 
-def zero_fill(ids: DataFrame, vectors: DataFrame, key: str, vec_col: str, dim: int) -> DataFrame:
-    """Left join to vectors; a missing vector becomes ``dim`` zeros."""
+def zero_fill(ids: DataFrame, vectors: DataFrame, key: str, vec_col: str, dim: int | None = None) -> DataFrame:
+    """Left join to vectors; a missing vector becomes ``dim`` zeros (by
+    default the longest vector's length)."""
+    if dim is None:
+        dim = vectors.agg(F.coalesce(F.max(F.size(vec_col)), F.lit(0))).first()[0]
     zeros = F.array_repeat(F.lit(0.0).cast("float"), dim)
     return (ids.join(vectors.select(key, vec_col), on=key, how="left")
             .withColumn(vec_col, F.coalesce(F.col(vec_col), zeros)))
@@ -72,7 +67,8 @@ def zero_fill(ids: DataFrame, vectors: DataFrame, key: str, vec_col: str, dim: i
 
 def decode_labels(df: DataFrame, codes: DataFrame, code_col: str, label_col: str = "label",
                   out_col: str | None = None) -> DataFrame:
-    """Code -> label through the label dimension (one row per class;
-    broadcast when its size is checked small)."""
+    """Code -> label through the label dimension (one row per class). Pass
+    a table of :func:`encode.label_codes`, which is stored and marked for
+    broadcast once, however often it is used."""
     dim = codes.select(F.col("code").alias(code_col), F.col(label_col).alias(out_col or label_col))
-    return df.join(small_side(dim), on=code_col, how="left")
+    return df.join(dim, on=code_col, how="left")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -37,18 +39,39 @@ def true_prob(probs, label) -> Column:
     return F.coalesce(F.get(_col(probs), _col(label)), F.lit(0.0))
 
 
-def labels_ahead(probs, label) -> Column:
+def is_label(probs, label, seen=None) -> Column:
+    """Is ``label`` one of the labels the probabilities are for? False for NULL,
+    for a code out of range and, with ``seen`` (an array of the codes that
+    occurred in training), for a code not in it."""
+    t = _col(label)
+    ok = t.isNotNull() & (t >= 0) & (t < F.size(_col(probs)))
+    if seen is not None:
+        ok = ok & F.array_contains(_col(seen), t.cast("bigint"))
+    return F.coalesce(ok, F.lit(False))
+
+
+def labels_ahead(probs, label, seen=None) -> Column:
     """How many labels rank above the true one: higher probability, or equal
-    probability and higher index (a stable ascending sort keeps those last)."""
+    probability and higher index (a stable ascending sort keeps those last).
+    All labels are ahead of one the probabilities are not for."""
     p = _col(probs)
     t = _col(label)
     pt = true_prob(p, t)
-    return F.size(F.filter(p, lambda v, j: (v > pt) | ((v == pt) & (j > t))))
+    ahead = F.size(F.filter(p, lambda v, j: (v > pt) | ((v == pt) & (j > t))))
+    return F.when(is_label(p, t, seen), ahead).otherwise(F.size(p))
+
 
+def in_top_n(probs, label, n: int, seen=None) -> Column:
+    """True label among the ``n`` most probable (ties: higher index wins);
+    false for a label the probabilities are not for."""
+    return is_label(probs, label, seen) & (labels_ahead(probs, label, seen) < n)
 
-def in_top_n(probs, label, n: int) -> Column:
-    """True label among the ``n`` most probable (ties: higher index wins)."""
-    return labels_ahead(probs, label) < n
+
+def mask_unseen(probs, seen) -> Column:
+    """Probabilities with those of codes not in ``seen`` set to 0, rescaled to sum 1."""
+    kept = F.transform(_col(probs), lambda p, i: F.when(F.array_contains(_col(seen), i.cast("bigint")), p).otherwise(0.0))
+    tot = F.aggregate(kept, F.lit(0.0), lambda a, b: a + b)
+    return F.transform(kept, lambda p: F.when(tot > 0, p / tot).otherwise(0.0))
 
 
 def log_true_prob(probs, label) -> Column:
@@ -63,48 +86,58 @@ def accuracy(pred, label) -> Column:
 
 
 def score_table(df: DataFrame, probs: str, label: str, pred: str | None = None,
-                ns=(3, 5), extra=()) -> DataFrame:
+                ns=(3, 5), extra=(), seen=None) -> DataFrame:
     """M6 metrics in one aggregate: top1 (accuracy of ``pred`` or of the argmax),
     top-n for each n, log-likelihood, perplexity = exp(-LL / N), row count."""
-    top1 = accuracy(pred, label) if pred else F.avg(in_top_n(probs, label, 1).cast("double"))
+    top1 = accuracy(pred, label) if pred else F.avg(in_top_n(probs, label, 1, seen).cast("double"))
     aggs = [top1.alias("top1")]
     for n in ns:
-        aggs.append(F.avg(in_top_n(probs, label, n).cast("double")).alias(f"top{n}"))
+        aggs.append(F.avg(in_top_n(probs, label, n, seen).cast("double")).alias(f"top{n}"))
     ll = F.sum(log_true_prob(probs, label))
     aggs += [ll.alias("loglikelihood"), F.count(F.lit(1)).alias("n"), *extra]
     out = df.agg(*aggs)
     return out.withColumn("perplexity", F.exp(-F.col("loglikelihood") / F.col("n")))
 
 
-def confusion_cube(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """Crosstab with margins: ``(actual, predicted, cnt)``, totals labelled ``All``."""
-    a = F.col(actual).cast("string")
-    p = F.col(predicted).cast("string")
-    g = (df.select(a.alias("actual"), p.alias("predicted"))
+def pair_counts(df: DataFrame, actual: str, predicted: str) -> DataFrame:
+    """``(actual, predicted, cnt)``: the input of the confusion tables, read
+    once and stored; at most one row per pair of classes."""
+    pairs = df.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted"))
+    return materialize(pairs.agg(F.count(F.lit(1)).alias("cnt")), "pairs")
+
+
+def confusion_cube(counts: DataFrame) -> DataFrame:
+    """Crosstab with margins from :func:`pair_counts`: ``(actual,
+    predicted, cnt)``, totals labelled ``All``."""
+    g = (counts.select(F.col("actual").cast("string"), F.col("predicted").cast("string"), "cnt")
          .cube("actual", "predicted")
-         .agg(F.count(F.lit(1)).alias("cnt"), F.grouping("actual").alias("ga"),
+         .agg(F.sum("cnt").alias("cnt"), F.grouping("actual").alias("ga"),
               F.grouping("predicted").alias("gp")))
     return g.select(F.when(F.col("ga") == 1, F.lit("All")).otherwise(F.col("actual")).alias("actual"),
                     F.when(F.col("gp") == 1, F.lit("All")).otherwise(F.col("predicted")).alias("predicted"),
                     "cnt")
 
 
-def confusion_dense(df: DataFrame, actual: str, predicted: str,
-                    labels: str = "union") -> DataFrame:
-    """A10: long-form dense confusion matrix, zero cells included.
+# A dense table has the square of this many cells at most.
+DENSE_MAX_LABELS = 10_000
+
+
+def confusion_dense(counts: DataFrame, labels: str = "union", max_labels: int = DENSE_MAX_LABELS) -> DataFrame:
+    """A10: long-form dense confusion matrix from :func:`pair_counts`, zero
+    cells included.
 
     ``labels='union'``: rows and columns are every label seen as truth or
     prediction; ``'truth'``: only labels in the truth (other predictions drop).
-    The grid is built by exploding the (one-row) label array onto the label
-    table through a scalar subquery: no join of two data sides.
+    The grid is the label array (one row) exploded onto the label table; with
+    more than ``max_labels`` labels it raises rather than return a part.
     """
-    pairs = df.select(F.col(actual).alias("actual"), F.col(predicted).alias("predicted"))
-    counts = pairs.groupBy("actual", "predicted").agg(F.count(F.lit(1)).alias("cnt"))
+    lab = counts.select(F.col("actual").alias("l"))
     if labels == "union":
-        lab = pairs.select(F.col("actual").alias("l")).union(pairs.select(F.col("predicted").alias("l")))
-    else:
-        lab = pairs.select(F.col("actual").alias("l"))
+        lab = lab.union(counts.select(F.col("predicted").alias("l")))
     lab = lab.where(F.col("l").isNotNull()).distinct()
+    k = lab.count()
+    if k > max_labels:
+        raise ValueError(f"{k} labels make a dense table of {k * k} cells; the bound is {max_labels} labels")
     all_labels = lab.agg(F.array_sort(F.collect_list("l"))).scalar()
     grid = lab.select(F.col("l").alias("actual"), F.explode(all_labels).alias("predicted"))
     return (grid.join(counts, on=["actual", "predicted"], how="left")

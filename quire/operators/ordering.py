@@ -1,12 +1,12 @@
 """Seeded order, exact positions, paging and splits.
 
 The reference shuffles arrays with a seeded generator and slices them by
-position. Here the order is a hash of (seed, key), and a row's position in that
-order is computed without a single-partition sort: rows are bucketed by the
-leading hex digits of the hash, bucket sizes are counted (a small table),
-prefix-summed, and each row's position is its bucket offset plus its rank
-inside the bucket. A class holding a third of all rows is still spread over
-16^digits buckets, so no task receives a whole hot group.
+position. Here the order is a hash of (seed, key). Rows are bucketed by the
+leading hex digits of the hash and the buckets are counted (a small table).
+A split needs no position per row: the counts name the one bucket in which a
+group's threshold lies, the rows of that bucket alone are ranked, and the
+threshold row's (hash, key) then decides every row where it stands. A class
+holding a third of all rows is still spread over 16^digits buckets.
 """
 
 from __future__ import annotations
@@ -57,11 +57,51 @@ def dense_position(df: DataFrame, key: str, seed: int = 14850, partition_by=(),
             .drop("_h", "_b", "_off"))
 
 
+def thresholds(df: DataFrame, key: str, counts: DataFrame, quotas: DataFrame, seed: int,
+               group: str, digits: int = 4) -> DataFrame:
+    """Per group of ``quotas`` (the group column and ``_take``, how many rows
+    to take from the front of the seeded order): ``_limit``, the (hash, key)
+    of the last row taken, NULL when none is.
+
+    ``counts`` are the groups' bucket counts. Only the rows of the bucket in
+    which a quota ends are ranked; all others are decided by their bucket.
+    """
+    w = Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    steps = counts.withColumn("_upto", F.sum("_n").over(w)).join(quotas, on=group)
+    edge = (steps.where((F.col("_upto") - F.col("_n") < F.col("_take")) & (F.col("_take") <= F.col("_upto")))
+            .select(group, "_b", (F.col("_take") - F.col("_upto") + F.col("_n")).alias("_rest")))
+    rows = (df.select(group, key, seeded_hash(key, seed).alias("_h"))
+            .withColumn("_b", F.substring("_h", 1, digits))
+            .join(small_side(edge), on=[group, "_b"]))                     # one bucket of each group
+    at = F.row_number().over(Window.partitionBy(group, "_b").orderBy("_h", key))
+    last = (rows.withColumn("_at", at).where(F.col("_at") == F.col("_rest"))
+            .select(group, F.struct(F.col("_h").alias("h"), F.col(key).alias("k")).alias("_limit")))
+    return quotas.join(last, on=group, how="left").drop("_take")
+
+
+def _split_by(limit: Column, key: str, seed: int) -> Column:
+    mine = F.struct(seeded_hash(key, seed).alias("h"), F.col(key).alias("k"))
+    return F.when(limit.isNotNull() & (mine <= limit), "train").otherwise("test")
+
+
 def positional_split(df: DataFrame, key: str, train_size: int, seed: int = 14850,
-                     out: str = "split") -> DataFrame:
-    """First ``train_size`` rows of the seeded order are ``train``, the rest ``test``."""
-    p = dense_position(df, key, seed)
-    return p.withColumn(out, F.when(F.col("position") <= train_size, "train").otherwise("test"))
+                     out: str = "split", digits: int = 4) -> DataFrame:
+    """First ``train_size`` rows of the seeded order are ``train``, the
+    rest ``test`` (``key`` unique). The rows are not shuffled: all are compared
+    with the (hash, key) of the last training row, one row on the driver."""
+    counts = bucket_counts(df, key, seed, (), digits)
+    upto = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))   # at most 16^digits rows
+    n = counts.agg(F.sum("_n")).first()[0] or 0
+    take = min(int(train_size), n)
+    edge = (counts.withColumn("_upto", upto)
+            .where((F.col("_upto") - F.col("_n") < take) & (F.col("_upto") >= take)).first()) if take > 0 else None
+    if edge is None:
+        return df.withColumn(out, F.lit("test"))
+    rows = df.select(key, seeded_hash(key, seed).alias("_h")).where(F.substring("_h", 1, digits) == edge["_b"])
+    rest = take - edge["_upto"] + edge["_n"]
+    last = rows.orderBy("_h", key).offset(rest - 1).limit(1).first()       # rows of one bucket
+    limit = F.struct(F.lit(last["_h"]).alias("h"), F.lit(last[key]).cast(df.schema[key].dataType).alias("k"))
+    return df.withColumn(out, _split_by(limit, key, seed))
 
 
 def quotas_from_counts(counts: DataFrame, label_col: str, test_size: float = 0.2) -> DataFrame:
@@ -99,52 +139,62 @@ def stratified_split(df: DataFrame, key: str, label_col: str, test_size: float =
                      digits: int = 4, min_count: int | None = None,
                      code_col: str | None = None) -> DataFrame:
     """Exact-size stratified split; inside each class, rows are taken in the
-    seeded hash order. With ``check`` a class of fewer than 2 rows raises.
+    seeded hash order (``key`` unique). With ``check`` a class of fewer than 2
+    rows raises.
 
     ``min_count`` also drops classes with fewer rows (F11) and ``code_col``
     attaches the label code (M3: 0..k-1 in ascending label order over the kept
-    classes), so the whole preparation of a training table costs:
-
-    1. one narrow pass counting rows per (class, hash bucket), stored once;
-    2. small-table work on those counts only: class sizes, kept classes,
-       codes, quotas and bucket offsets, joined into one stored per-(class,
-       bucket) plan;
-    3. one pass joining the rows to that plan (an inner join, so dropped
-       classes leave here) and ranking them inside (class, bucket) groups.
+    classes). The preparation of a training table costs one narrow pass that
+    counts rows per (class, hash bucket), small-table work on those counts,
+    one narrow pass that ranks the rows of one bucket per class (see
+    :func:`thresholds`), and a join of the rows with one row per class, which
+    is broadcast when checked small: the rows themselves are not shuffled.
     """
     counts = bucket_counts(df, key, seed, [label_col], digits)
     per_class = counts.groupBy(label_col).agg(F.sum("_n").alias("n_class"))
     if min_count is not None:
         per_class = per_class.where(F.col("n_class") >= min_count)
-    quotas = quotas_from_counts(per_class, label_col, test_size)
+    quotas = materialize(quotas_from_counts(per_class, label_col, test_size), "quotas")
     if check:
         m = quotas.agg(F.min("n_class")).first()[0]
         if m is not None and m < 2:
             raise ValueError("The least populated class has only 1 member; need at least 2")
-    extra = []
+    limits = thresholds(df, key, counts, quotas.select(label_col, F.col("n_train").alias("_take")), seed, label_col, digits)
     if code_col:
-        quotas = quotas.withColumn(code_col, (F.row_number().over(Window.orderBy(label_col)) - 1).cast("bigint"))
-        extra = [code_col]
-    w = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    plan = (counts.join(quotas.select(label_col, "n_train", *extra), on=label_col, how="inner")
-            .select(label_col, "_b", (F.sum("_n").over(w) - F.col("_n")).alias("_off"), "n_train", *extra))
-    plan = small_side(plan, materialize_first=True)
-    x = df.withColumn("_h", seeded_hash(key, seed)).withColumn("_b", F.substring("_h", 1, digits))
-    x = x.join(plan, on=[label_col, "_b"], how="inner")
-    pos = F.col("_off") + F.row_number().over(Window.partitionBy(label_col, "_b").orderBy("_h", key))
-    return (x.withColumn(out, F.when(pos <= F.col("n_train"), "train").otherwise("test"))
-            .drop("_h", "_b", "_off", "n_train"))
+        codes = quotas.select(label_col, (F.row_number().over(Window.orderBy(label_col)) - 1).cast("bigint").alias(code_col))
+        limits = limits.join(codes, on=label_col)
+    return (df.join(small_side(limits), on=label_col, how="inner")
+            .withColumn(out, _split_by(F.col("_limit"), key, seed)).drop("_limit"))
 
 
 def page(df: DataFrame, order_cols, start: int = 0, max_results: int | None = None) -> DataFrame:
-    """O2 / O3: sorted page ``[start, start + max_results)``. With a limit the
-    plan is a TakeOrderedAndProject (per-task top-k, then merge)."""
-    out = df.orderBy(*order_cols)
-    if start:
-        out = out.offset(start)
-    if max_results is not None:
-        out = out.limit(max_results)
-    return out
+    """O2 / O3: sorted page ``[start, start + max_results)``.
+
+    The first page is a TakeOrderedAndProject (per-task top-k, then merge).
+    For a later one the sorted rows are stored once in range partitions; the
+    counts per partition say where the page lies, and only its rows are read
+    back: no task holds the rows before the page.
+    """
+    order = [order_cols] if isinstance(order_cols, str) else list(order_cols)
+    if not start:
+        out = df.orderBy(*order)
+        return out if max_results is None else out.limit(max_results)
+    spark = df.sparkSession
+    ranged = (df.repartitionByRange(*order).sortWithinPartitions(*order)
+              .withColumn("_at", F.monotonically_increasing_id()))         # (partition << 33) + row, rising with the order
+    ranged = materialize(ranged, "sorted")
+    sizes = (ranged.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+             .orderBy("p").collect())                                      # one row per partition
+    stop = math.inf if max_results is None else start + max_results
+    wanted, before = F.lit(False), 0
+    for r in sizes:
+        low, high = max(start - before, 0), min(stop - before, r.n)
+        if low < high:
+            first = r.p << 33
+            wanted = wanted | ((F.col("_at") >= first + low) & (F.col("_at") < first + int(high)))
+        before += r.n
+    out = ranged.where(wanted).drop("_at").orderBy(*order)
+    return out if sizes else spark.createDataFrame([], df.schema)
 
 
 def top_labels(probs, n: int) -> Column:

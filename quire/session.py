@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,8 +50,10 @@ def get_session(master: str | None = None, app: str = "quire",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a scratch folder is made and registered.
+    ``spark.checkpoint.dir`` is read from the session. Only where it is unset
+    and the driver is the single executor (master ``local`` or ``local[..]``,
+    as in tests) a scratch folder is made and registered; with executors of
+    their own an unset folder is an error.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -55,13 +61,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         d = tempfile.mkdtemp(prefix="quire-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
+# Stages stored by the run this thread is in; None outside of :func:`stored_stages`.
+_RUN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("quire-run", default=None)
+
+
+@contextlib.contextmanager
+def stored_stages(spark: SparkSession) -> Iterator[list[str]]:
+    """One run: the stages and staged files written inside the ``with`` block
+    are deleted at its end, so write the results before. Every run has its own
+    list; other threads, sessions and nested runs are not touched. Stages
+    stored outside of a run stay in the checkpoint folder, whose clean-up is
+    the cluster's."""
+    token = _RUN.set([])
+    try:
+        yield _RUN.get()
+    finally:
+        paths = _RUN.get()
+        _RUN.reset(token)
+        for p in paths:
+            delete_path(spark, p)
+
+
 def materialize(df: DataFrame, name: str = "stage", min_partition_bytes: int | None = None) -> DataFrame:
     """Cut lineage: write ``df`` once as a Parquet table in the shared
     checkpoint folder and read it back.
@@ -85,39 +112,22 @@ def materialize(df: DataFrame, name: str = "stage", min_partition_bytes: int | N
     return out
 
 
-# Stored stages written by this driver, removed by :func:`release_stored`.
-_STORED: list[str] = []
-
-
 def store(df: DataFrame, name: str = "stage") -> tuple[DataFrame, int]:
     """:func:`materialize` without coalescing; also returns the stored size in
     bytes (one file-system call), which size checks use before a broadcast."""
     spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    path = staged_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
-    _STORED.append(path)
-    return spark.read.parquet(path), stored_bytes(spark, path)
-
+    return spark.read.schema(df.schema).parquet(path), stored_bytes(spark, path)
 
-def release_stored(spark: SparkSession) -> int:
-    """Delete the stages this driver stored (call once the results that read
-    them are written); returns how many folders were removed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    n = 0
-    while _STORED:
-        p = jvm.org.apache.hadoop.fs.Path(_STORED.pop())
-        if p.getFileSystem(conf).delete(p, True):
-            n += 1
-    return n
 
-
-def stored_bytes(spark: SparkSession, path: str) -> int:
-    """Total size of the files under ``path`` (one file-system call)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return int(fs.getContentSummary(p).getLength())
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared checkpoint folder, never used before, that
+    the current run (see :func:`stored_stages`) deletes at its end."""
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    if _RUN.get() is not None:
+        _RUN.get().append(path)
+    return path
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -126,9 +136,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(base, name)
 
 
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) handles of the cluster's own file system client."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Total size of the files under ``path``, which may be a glob (one file-system call per match)."""
+    fs, p = hadoop_path(spark, path)
+    found = fs.globStatus(p)
+    return sum(int(fs.getContentSummary(s.getPath()).getLength()) for s in found or [])
+
+
+def delete_path(spark: SparkSession, path: str) -> bool:
+    fs, p = hadoop_path(spark, path)
+    return bool(fs.delete(p, True))
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop file system of ``path`` (any scheme)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, p = hadoop_path(spark, path)
     return bool(fs.exists(p))
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Was the table at ``path`` written to its end? A writer leaves ``_SUCCESS`` when its job commits."""
+    return path_exists(spark, os.path.join(path, "_SUCCESS"))

@@ -14,6 +14,9 @@ from pyspark.sql import types as T
 from ..functions.dates import date_in_range, iso_day
 from ..functions.ids import base_id, id_from_url
 from ..functions.text import strip
+from ..operators.dedup import dedup_by_key
+from ..session import is_complete
+from .snapshot import POSITION, source_position
 
 _S = T.StringType()
 
@@ -44,11 +47,14 @@ HEADER_SCHEMA = T.StructType([
 ])
 
 
-def read_feed_entries(spark: SparkSession, path, schema: T.StructType = ENTRY_SCHEMA) -> DataFrame:
-    """``<entry>`` rows of staged Atom pages."""
-    return (spark.read.format("xml").schema(schema)
+def read_feed_entries(spark: SparkSession, path, schema: T.StructType = ENTRY_SCHEMA,
+                      position: bool = False) -> DataFrame:
+    """``<entry>`` rows of staged Atom pages; with ``position`` also their
+    place in the pages (:data:`snapshot.POSITION`)."""
+    rows = (spark.read.format("xml").schema(schema)
             .option("rowTag", "entry").option("ignoreNamespace", True)
             .load(path))
+    return rows.select("*", source_position()) if position else rows
 
 
 def project_entries(entries: DataFrame, full: bool = False, old_ids: bool = False) -> DataFrame:
@@ -67,17 +73,31 @@ def project_entries(entries: DataFrame, full: bool = False, old_ids: bool = Fals
                  F.col("comment"), F.col("journal_ref"), F.col("doi"),
                  F.transform("link", lambda lk: F.struct(lk["_rel"].alias("rel"),
                                                          lk["_href"].alias("href"))).alias("links")]
+    if POSITION in entries.columns:
+        cols.append(F.col(POSITION))
     return entries.select(*cols)
 
 
 def entries_as_papers(entries: DataFrame) -> DataFrame:
     """Feed rows in the papers layout (so one filter serves both sources)."""
     p = project_entries(entries, full=True)
+    if POSITION in p.columns:                              # overlapping pages: the last entry of an id
+        p = dedup_by_key(p, "id", POSITION, keep="last")
     return p.select("base_id", F.array_join("categories", " ").alias("categories"),
                     F.col("published_date").alias("created"),
                     F.array_join("authors", ", ").alias("authors"), "title", "abstract")
 
 
+def open_papers(spark: SparkSession, index: str | None = None, feed=None) -> DataFrame:
+    """The papers to filter: the local index when there is a finished
+    one, else the staged feed pages; one of them must be there."""
+    if index and is_complete(spark, index):
+        return spark.read.parquet(index)
+    if feed:
+        return entries_as_papers(read_feed_entries(spark, feed, position=True))
+    raise FileNotFoundError(f"no finished index at {index!r} and no feed pages given")
+
+
 def read_oai_headers(spark: SparkSession, path) -> DataFrame:
     """OAI-PMH ``<header>`` rows ``(identifier, datestamp, setSpec[])``."""
     return (spark.read.format("xml").schema(HEADER_SCHEMA)
@@ -85,24 +105,24 @@ def read_oai_headers(spark: SparkSession, path) -> DataFrame:
 
 
 def list_identifiers(headers: DataFrame, start=None, end=None, set_spec: str | None = None) -> DataFrame:
-    """Identifiers with a datestamp in range and, optionally, in a set."""
+    """Identifiers with a datestamp in range and, optionally, in a set or
+    in one of its subsets (``physics`` holds ``physics:hep-ph``)."""
     d = F.try_to_date(F.col("datestamp"), "yyyy-MM-dd")
     cond = date_in_range(d, start, end)
     if set_spec:
-        cond = cond & F.array_contains("setSpec", set_spec)
+        cond = cond & F.exists("setSpec", lambda s: (s == set_spec) | s.startswith(set_spec + ":"))
     return headers.where(cond).select("identifier", d.alias("datestamp"), "setSpec")
 
 
-# --- fixed values: the bulk loader's chosen columns and cap -------------------
+# --- fixed values: the bulk loader's chosen columns ----------------------------
 LOADER_COLUMNS = ["id", "title", "summary", "authors", "primary_category", "categories"]
-LOADER_CAP = 50_000
 # ---------------------------------------------------------------------------
 
 
 def load_entries(entries: DataFrame, start=None, end=None, ascending: bool = True,
-                 num: int = LOADER_CAP) -> DataFrame:
+                 num: int | None = None) -> DataFrame:
     """The loader's six columns in a date range, sorted by submission
-    date, capped at ``num`` rows (the cap is the feature: a top-k)."""
+    date; all rows, or the first ``num`` when a number is given (O3)."""
     p = entries.select(
         id_from_url("id").alias("id"), strip("title").alias("title"), strip("summary").alias("summary"),
         F.transform("author", lambda a: a["name"]).alias("authors"),
@@ -111,4 +131,5 @@ def load_entries(entries: DataFrame, start=None, end=None, ascending: bool = Tru
         F.col("published").alias("submitted"))
     p = p.where(date_in_range(iso_day("submitted"), start, end))
     order = F.col("submitted").asc() if ascending else F.col("submitted").desc()
-    return p.orderBy(order, F.col("id")).limit(num).select(*LOADER_COLUMNS)
+    p = p.orderBy(order, F.col("id"))
+    return (p if num is None else p.limit(num)).select(*LOADER_COLUMNS)

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.dates import rfc2822_date
 from ..functions.text import blank_if_null
 from ..operators.dedup import dedup_by_key
-from ..session import path_exists, stored_bytes
+from ..session import is_complete, stored_bytes
 
 VERSION = T.StructType([T.StructField("version", T.StringType()),
                         T.StructField("created", T.StringType())])
@@ -47,15 +47,27 @@ COMPACT_COLUMNS = ("categories", "created", "authors", "title")
 POSITION = "_pos"
 
 
+def natural_order(path) -> Column:
+    """A text that sorts paths with every run of digits as a number, so
+    ``part-100000`` comes after ``part-99999`` and ``snap-10`` after ``snap-2``."""
+    padded = F.regexp_replace(path, "([0-9]+)", "00000000000000000000$1")
+    return F.regexp_replace(padded, "[0-9]*([0-9]{20})", "$1")
+
+
+def source_position() -> Column:
+    """The place of a row in its source: file (in natural order), block, row.
+    Take it in the scan; it keeps the order of lines over any shuffle."""
+    return F.struct(natural_order(F.col("_metadata.file_path")).alias("file"),
+                    F.col("_metadata.file_block_start").alias("block"),
+                    F.monotonically_increasing_id().alias("row")).alias(POSITION)
+
+
 def scan_snapshot(spark: SparkSession, path, schema: T.StructType = SNAPSHOT_SCHEMA) -> DataFrame:
     """One row per decodable line with a non-empty ``id``: the parsed
     ``record`` struct and the line's position ``_pos``."""
     raw = spark.read.text(path)
-    pos = F.struct(F.col("_metadata.file_path").alias("file"),
-                   F.col("_metadata.file_block_start").alias("block"),
-                   F.monotonically_increasing_id().alias("row")).alias(POSITION)
     rec = F.from_json(F.col("value"), schema, {"mode": "PERMISSIVE"}).alias("record")
-    parsed = raw.select(rec, pos)
+    parsed = raw.select(rec, source_position())
     return parsed.where(F.col("record.id").isNotNull() & (F.col("record.id") != ""))
 
 
@@ -82,7 +94,8 @@ def index_rows(scan: DataFrame, with_metadata: bool = True) -> DataFrame:
 def build_index(spark: SparkSession, src, dest: str, overwrite: bool = False,
                 layout: str = "none", partitions: int | None = None) -> str:
     """Snapshot -> Parquet index (duplicates kept). ``overwrite=False`` and
-    an existing ``dest`` -> nothing is done (``mode('ignore')``).
+    a finished index at ``dest`` -> nothing is done; what an interrupted build
+    left there is replaced.
 
     ``layout='sorted'`` range-partitions by (created, base_id) so each output
     file covers a narrow date range and date filters skip whole files and row
@@ -90,14 +103,14 @@ def build_index(spark: SparkSession, src, dest: str, overwrite: bool = False,
     the snapshot's size (about ``SORTED_INPUT_BYTES_PER_FILE`` of NDJSON per
     output file), never fewer than the cluster's cores.
     """
-    if not overwrite and path_exists(spark, dest):
+    if not overwrite and is_complete(spark, dest):
         return dest
     rows = index_rows(scan_snapshot(spark, src))
     if layout == "sorted":
         n = partitions or max(spark.sparkContext.defaultParallelism,
                               -(-input_bytes(spark, src) // SORTED_INPUT_BYTES_PER_FILE))
         rows = rows.repartitionByRange(n, "created", "base_id").sortWithinPartitions("created", "base_id")
-    rows.write.mode("overwrite" if overwrite else "ignore").parquet(dest)
+    rows.write.mode("overwrite").parquet(dest)
     return dest
 
 
@@ -108,27 +121,24 @@ def input_bytes(spark: SparkSession, src) -> int:
 
 def build_compact_index(spark: SparkSession, src, dest: str, overwrite: bool = False) -> str:
     """S3: first record per id wins; categories, created, authors, title."""
-    if not overwrite and path_exists(spark, dest):
+    if not overwrite and is_complete(spark, dest):
         return dest
     rows = index_rows(scan_snapshot(spark, src), with_metadata=False)
     rows = rows.select("base_id", *COMPACT_COLUMNS, POSITION)
     first = dedup_by_key(rows, "base_id", POSITION, keep="first")
-    first.write.mode("overwrite" if overwrite else "ignore").parquet(dest)
+    first.write.mode("overwrite").parquet(dest)
     return dest
 
 
-VALID_COLUMNS = {"categories", "created", "authors", "title", "abstract", "metadata"}
-
-
 def load_index(spark: SparkSession, path: str, cols=None, dedup: str | None = "last") -> DataFrame:
-    """``base_id`` + chosen columns; unknown names raise. ``dedup='last'``
-    keeps the last record of a duplicated id (the reference's dict rule),
-    ``'first'`` the first, ``None`` keeps duplicates."""
-    if cols is None:
-        cols = [c for c in ("categories", "created", "authors", "title", "abstract")]
-    missing = set(cols) - VALID_COLUMNS
-    if missing:
-        raise ValueError(f"Unknown columns requested: {sorted(missing)}. Valid: {sorted(VALID_COLUMNS)}")
+    """``base_id`` + chosen columns (all of :data:`INDEX_COLUMNS` by
+    default); a name the index does not have raises. ``dedup='last'`` keeps
+    the last record of a repeated id (the reference's dict rule), ``'first'``
+    the first, ``None`` keeps duplicates."""
+    cols = list(INDEX_COLUMNS) if cols is None else list(cols)
+    for c in cols:
+        if c != "metadata" and c not in INDEX_COLUMNS:
+            raise ValueError(f"the index has no column {c!r}")
     df = spark.read.parquet(path)
     if dedup is None or POSITION not in df.columns:
         return df.select("base_id", *cols)

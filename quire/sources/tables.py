@@ -11,27 +11,10 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin repartition of an input that has fewer partitions than the
-    cluster has cores, so row-wise work after the scan runs on every core.
-
-    A Parquet split is at least one row group: a small table written as one
-    row group is one task however many cores wait. On a big input the scan
-    already has more splits than cores and this returns ``df`` unchanged, so
-    it never adds a shuffle at scale. Filters and column pruning still reach
-    the scan: Catalyst pushes them below a repartition.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """``spark.read.parquet`` of ``<sf_dir>/<name>.parquet``, spread over the
-    cores when it is stored in fewer splits (see :func:`spread`); projections
-    and filters applied later are pushed into the scan by Catalyst."""
-    return spread(spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet")))
+    """``spark.read.parquet`` of ``<sf_dir>/<name>.parquet``; projections and
+    filters applied later are pushed into the scan by Catalyst."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
-from ..sources.snapshot import POSITION, SNAPSHOT_SCHEMA, index_rows
+from ..sources.snapshot import POSITION, SNAPSHOT_SCHEMA, index_rows, natural_order
 
 
 def snapshot_stream(spark: SparkSession, src_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
@@ -33,7 +33,7 @@ def snapshot_stream(spark: SparkSession, src_dir: str, max_files_per_trigger: in
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = r.load(src_dir)
     rec = F.from_json(F.col("value"), SNAPSHOT_SCHEMA, {"mode": "PERMISSIVE"}).alias("record")
-    parsed = raw.select(rec, F.col("_metadata.file_path").alias("_file"),
+    parsed = raw.select(rec, natural_order(F.col("_metadata.file_path")).alias("_file"),
                         F.col("_metadata.file_block_start").alias("_block"))
     return parsed.where(F.col("record.id").isNotNull() & (F.col("record.id") != ""))
 
@@ -48,16 +48,18 @@ def _write_batch(dest: str):
 
 
 def start_index_ingest(spark: SparkSession, src_dir: str, dest: str, checkpoint: str | None = None,
-                       available_now: bool = True, processing_time: str | None = None):
+                       available_now: bool = True, processing_time: str | None = None,
+                       max_files_per_trigger: int | None = None):
     """Start the ingest query; returns the ``StreamingQuery``.
 
     The checkpoint goes under the session's shared checkpoint folder unless
-    given. ``available_now=False`` with ``processing_time`` keeps it running.
+    given. ``available_now=False`` with ``processing_time`` keeps it running;
+    ``max_files_per_trigger`` cuts a first run over many files into micro-batches.
     Read the result with ``snapshot.load_index(spark, dest)`` (duplicates are
     resolved by the stored positions).
     """
     cp = checkpoint or os.path.join(checkpoint_dir(spark), "ingest-" + os.path.basename(dest.rstrip("/")))
-    w = (snapshot_stream(spark, src_dir).writeStream.foreachBatch(_write_batch(dest))
+    w = (snapshot_stream(spark, src_dir, max_files_per_trigger).writeStream.foreachBatch(_write_batch(dest))
          .option("checkpointLocation", cp))
     if available_now:
         w = w.trigger(availableNow=True)

@@ -61,7 +61,9 @@ def test_base_id_and_url(spark):
 
 STAMPS = ["Fri, 1 Sep 2023 12:34:56 GMT", "Mon, 2 Apr 2007 19:18:42 GMT",
           "Tue, 2 Apr 2007 23:30:00 -0500", "2 Apr 2007 23:30:00 +0130", "garbage", "",
-          "Wed, 10 Jan 2001 05:06:07 -0000"]
+          "Wed, 10 Jan 2001 05:06:07 -0000", "Wed, 10 Jan 2001 05:06:07 EST", "10 Jan 2001 5:06 PDT",
+          "10 Jan 2001 05:06:07 Z", "10 Jan 2001 05:06:07 XYZ", "10 Jan 2001 99:99:99 GMT", "10 Jan 2001 24:00:00 GMT",
+          "10 Jan 2001 23:60:00 GMT", "10 Jan 2001 23:59:60 GMT", "31 Feb 2001 00:00:00 GMT"]
 
 
 def test_rfc2822(spark):

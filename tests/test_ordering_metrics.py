@@ -27,6 +27,10 @@ def test_positional_split(spark):
     df = spark.createDataFrame([(k,) for k in range(500)], "k long")
     got = ordering.positional_split(df, "k", 123, seed=14850).groupBy("split").count().collect()
     assert {r.split: r["count"] for r in got} == {"train": 123, "test": 377}
+    order = sorted(range(500), key=lambda k: (_h(14850, k), k))
+    for size, digits in ((0, 4), (1, 2), (250, 1), (499, 4), (500, 4), (9999, 2)):
+        rows = ordering.positional_split(df, "k", size, seed=14850, digits=digits).collect()
+        assert {r.k for r in rows if r.split == "train"} == set(order[:size])
 
 
 def _quotas(counts, test_size=0.2):
@@ -88,20 +92,45 @@ def test_top_n_ties_and_ll(spark):
 
 def test_confusion_tables(spark):
     pairs = [("a", "a"), ("a", "b"), ("b", "b"), ("b", "z"), ("c", "a"), ("a", "a")]
-    df = spark.createDataFrame(pairs, "y string, p string")
-    union = {(r.actual, r.predicted): r.cnt for r in metrics.confusion_dense(df, "y", "p").collect()}
+    df = metrics.pair_counts(spark.createDataFrame(pairs, "y string, p string"), "y", "p")
+    union = {(r.actual, r.predicted): r.cnt for r in metrics.confusion_dense(df).collect()}
     labs = sorted({x for pr in pairs for x in pr})
     assert union == {(a, b): sum(1 for pr in pairs if pr == (a, b)) for a in labs for b in labs}
-    truth = {(r.actual, r.predicted): r.cnt for r in metrics.confusion_dense(df, "y", "p", "truth").collect()}
+    truth = {(r.actual, r.predicted): r.cnt for r in metrics.confusion_dense(df, "truth").collect()}
     tl = sorted({a for a, _ in pairs})
     assert set(truth) == {(a, b) for a in tl for b in tl}
-    cube = {(r.actual, r.predicted): r.cnt for r in metrics.confusion_cube(df, "y", "p").collect()}
+    cube = {(r.actual, r.predicted): r.cnt for r in metrics.confusion_cube(df).collect()}
     assert cube[("All", "All")] == 6 and cube[("a", "All")] == 3 and cube[("All", "z")] == 1
     pct = {(r.actual, r.predicted): r.cell for r in
-           metrics.confusion_percent(metrics.confusion_dense(df, "y", "p", "truth")).collect()}
+           metrics.confusion_percent(metrics.confusion_dense(df, "truth")).collect()}
     assert pct[("a", "a")] == "%.1f%%\n%d/%d" % (200 / 3, 2, 3)
     assert pct[("a", "c")] == ""
     assert pct[("a", "b")] == "%.1f%%\n%d" % (100 / 3, 1)
+    with pytest.raises(ValueError):
+        metrics.confusion_dense(df, max_labels=2)
+
+
+def test_labels_the_probabilities_are_not_for(spark):
+    rows = [([1.0, 0.0, 0.0, 0.0], 7), ([0.5, 0.5], 5), ([0.5, 0.5], None), ([0.2, 0.8], -1), ([0.2, 0.8], 0)]
+    df = spark.createDataFrame(rows, "p array<double>, t int")
+    got = [r[0] for r in df.select(metrics.in_top_n("p", "t", 3)).collect()]
+    assert got == [False, False, False, False, True]
+    seen = F.array(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))
+    df = spark.createDataFrame([([0.2, 0.6, 0.2], 1), ([0.2, 0.6, 0.2], 2)], "p array<double>, t int")
+    r = df.select(metrics.mask_unseen("p", seen).alias("p"), "t").select("p", metrics.in_top_n("p", "t", 3, seen).alias("n"),
+                                                                         metrics.log_true_prob("p", "t").alias("l")).collect()
+    assert r[0].p == pytest.approx([0.5, 0.0, 0.5]) and (r[0].n, r[1].n) == (False, True)
+    assert r[0].l == float("-inf") and r[1].l == pytest.approx(math.log(0.5))
+
+
+def test_unseen_class_in_the_middle(spark):
+    from quire.operators import classify
+    rows = [(k, [float(k % 2), 1.0 - k % 2, 0.1 * (k % 3)], 2 * (k % 2)) for k in range(40)]
+    x = classify.to_vector(spark.createDataFrame(rows, "k long, f array<double>, code long"), "f")
+    test = classify.to_vector(spark.createDataFrame(rows[:8] + [(90, [0.5, 0.5, 0.0], 1)], "k long, f array<double>, code long"), "f")
+    m = classify.train_test(x, test, classify.ClassifierSpec(max_iter=20)).first()
+    assert m.n == 9 and m.n_unseen == 1 and m.loglikelihood == float("-inf")
+    assert m.top1 == m.top3 == m.top5 == pytest.approx(8 / 9)
 
 
 def test_percent_text_rounds_like_python(spark):
