@@ -3,8 +3,10 @@ fetch the requested formats, writing the result table to ``--output-dir``.
 
 Flags follow the batch script of the reference: ``--id --start --end
 --category --formats --output-dir --verbose``, plus ``--index`` (Parquet
-index) or ``--snapshot`` (NDJSON; the index is built next to it when absent)
-and ``--artefacts`` (folder of staged pdf/html/tar.gz files).
+index) or ``--snapshot`` (NDJSON; the index is built next to it when absent),
+``--feed`` (staged Atom pages, used when there is no finished index) and
+``--artefacts`` (folder of staged pdf/html/tar.gz files, exported to
+``--output-dir`` when their formats are asked for).
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ def parse(argv=None):
     ap.add_argument("--formats", nargs="*", default=["metadata"])
     ap.add_argument("--index", default=None)
     ap.add_argument("--snapshot", default=None)
+    ap.add_argument("--feed", default=None)
     ap.add_argument("--artefacts", default=None)
     ap.add_argument("--output-dir", required=True)
     ap.add_argument("--master", default=None)
@@ -36,21 +39,21 @@ def main(argv=None) -> int:
     a = parse(argv)
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     from quire.plans.fetch import fetch_batch, snippets
-    from quire.session import get_session
-    from quire.sources import files, snapshot
+    from quire.session import get_session, stored_stages
+    from quire.sources import feeds, files, snapshot
 
     spark = get_session(a.master, app="quire-fetch")
     index = a.index or (a.snapshot.rstrip("/") + ".index" if a.snapshot else None)
-    if index is None:
-        raise SystemExit("--index or --snapshot is required")
+    if index is None and a.feed is None:
+        raise SystemExit("--index, --snapshot or --feed is required")
     if a.snapshot:
-        snapshot.build_index(spark, a.snapshot, index, overwrite=False)   # no-op when present
-    papers = spark.read.parquet(index)
+        snapshot.build_index(spark, a.snapshot, index, overwrite=False)   # no-op when finished
+    papers = feeds.open_papers(spark, index, a.feed)
     arts = files.read_artefacts(spark, a.artefacts) if a.artefacts else None
-    out = fetch_batch(papers, a.regex_id, a.start, a.end, a.category, a.author, a.title,
-                      a.formats, artefacts=arts, output_dir=a.output_dir)
     dest = os.path.join(a.output_dir, "results")
-    out.write.mode("overwrite").parquet(dest)
+    with stored_stages(spark):
+        fetch_batch(papers, a.regex_id, a.start, a.end, a.category, a.author, a.title, a.formats,
+                    artefacts=arts, output_dir=a.output_dir).write.mode("overwrite").parquet(dest)
     if a.verbose:
         snippets(spark.read.parquet(dest)).show(20, truncate=80)
     print(dest)

@@ -36,17 +36,28 @@ def prepare(df: DataFrame, key: str, label_col: str, test_size: float = 0.2, see
                                      min_count=min_count, code_col="code")
 
 
+def prepare_positional(df: DataFrame, key: str, label_col: str, train_share: tuple[int, int] = (4, 5),
+                       seed: int = 14850) -> DataFrame:
+    """Every row with a label, its code over all labels (M3), and the
+    positional split (T1) of the seeded order: the first ``train_share`` of
+    the rows train. No class is dropped, so a test class may be unseen."""
+    labelled = df.where(F.col(label_col).isNotNull())
+    size = labelled.count() * train_share[0] // train_share[1]
+    return encode.encode_labels(ordering.positional_split(labelled, key, size, seed=seed), label_col)
+
+
 def run_ablation(table: DataFrame, feature_sets: dict, spec: classify.ClassifierSpec,
-                 label: str = "code", split_col: str = "split", parallelism: int = 5) -> DataFrame:
+                 label: str = "code", split_col: str = "split", binary_fits: int = 8) -> DataFrame:
     """M7: one metrics row per feature set.
 
     ``table`` holds one array column per feature block plus ``code`` and
     ``split``. It is checkpointed once (reliable storage, so a lost executor
     re-reads it instead of recomputing the encoders), then each set is a
     column concat + one fit. The loop is over configurations, not data: the
-    fits are submitted from ``parallelism`` driver threads (as
+    fits are submitted from driver threads (as
     ``CrossValidator(parallelism=...)`` does), so the scheduler runs their
-    small per-iteration jobs side by side instead of one after another.
+    small per-iteration jobs side by side. ``binary_fits`` bounds the binary
+    fits that run at once over all sets (sets side by side x classes side by side).
     """
     base = materialize(table, "features", min_partition_bytes=classify.TRAIN_PARTITION_BYTES)
 
@@ -59,8 +70,8 @@ def run_ablation(table: DataFrame, feature_sets: dict, spec: classify.Classifier
         return classify.train_test(tr, te, spec, label=label).select(F.lit(name).alias("feature_set"), "*")
 
     items = list(feature_sets.items())
-    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
-        parts = pool.map(inheritable_thread_target(one), items)
+    with ThreadPool(max(1, min(binary_fits // spec.parallelism, len(items)))) as pool:
+        parts = pool.map(inheritable_thread_target(base.sparkSession)(one), items)
     rows = parts[0]
     for r in parts[1:]:
         rows = rows.unionByName(r)

@@ -165,6 +165,28 @@ def lookup_by_id(spark, d):
     return lookup.lookup_by_id(docs, req, key="doc_id")
 
 
+@register("lookup_versions", """
+SELECT CAST(p_partkey AS VARCHAR) AS base_id, CAST(p_partkey AS VARCHAR) || v AS versioned_id, p_name AS title
+FROM part, (SELECT unnest(['v1', 'v2']) AS v) WHERE p_partkey % 10 = 0""")
+def lookup_versions(spark, d):
+    """J1 with two versions of an id requested, each repeatedly: both come back, once."""
+    papers = si.part_papers(spark, d).select("base_id", "title")
+    ids = papers.where(F.col("base_id").cast("long") % 10 == 0).select(
+        "base_id", F.explode(F.array(*[F.concat("base_id", F.lit(v)) for v in ("v1", "v2", "v1")])).alias("versioned_id"))
+    unknown = ids.select(F.concat(F.lit("x"), "base_id").alias("base_id"), "versioned_id")
+    return lookup.lookup_by_id(papers, ids.unionByName(unknown)).select("base_id", "versioned_id", "title")
+
+
+@register("archive_vocabulary", f"""
+SELECT doc_id, pool[1 + doc_id % {len(cat.ARCHIVES)}] AS archive, true AS known, false AS other FROM (
+  SELECT doc_id, [{", ".join(f"'{a}'" for a in cat.ARCHIVES)}] AS pool FROM documents)""")
+def archive_vocabulary(spark, d):
+    """Membership in the vocabulary of archives, for a member and for another word."""
+    pool = F.array(*[F.lit(a) for a in cat.ARCHIVES])
+    docs = table(spark, d, "documents").select("doc_id", F.element_at(pool, (F.col("doc_id") % len(cat.ARCHIVES)).cast("int") + 1).alias("archive"), "lang")
+    return docs.select("doc_id", "archive", cat.is_archive("archive").alias("known"), cat.is_archive("lang").alias("other"))
+
+
 @register("lookup_left_stub", """
 SELECT c.c_custkey AS doc_id, d.lang, d.n_chars
 FROM (SELECT DISTINCT c_custkey FROM customer) c LEFT JOIN documents d ON d.doc_id = c.c_custkey""")

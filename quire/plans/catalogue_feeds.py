@@ -6,25 +6,19 @@ two authors; its OAI header carries the date and the priority as set."""
 
 from __future__ import annotations
 
-import hashlib
-import os
-
 from pyspark.sql import functions as F
 
-from ..operators.filters import feed_batch_filter
-from ..session import scratch_path
+from ..operators.filters import feed_batch_filter, list_ids_sorted
+from ..session import staged_path
 from ..sources import feeds
+from ..sources.snapshot import POSITION
 from ..sources.tables import table
 from .registry import register
 
 _FEED_URL = "http://example.org/abs/"
 
 
-def _tag(d: str) -> str:
-    return hashlib.md5(os.path.abspath(d).encode()).hexdigest()[:10]
-
-
-def _orders_feed(spark, d) -> str:
+def _orders_feed(spark, d, pages_overlap: bool = False) -> str:
     """Atom pages (``<feed><entry>...``) written from ``orders``; text fields
     carry surrounding whitespace, as real pages do."""
     o = table(spark, d, "orders")
@@ -40,8 +34,16 @@ def _orders_feed(spark, d) -> str:
                 F.struct(F.lit("X Y").alias("name"))).alias("author"),
         F.array(F.struct(F.col("o_orderpriority").alias("_term")),
                 F.struct(F.concat(F.lit("status."), F.col("o_orderstatus")).alias("_term"))).alias("category"),
-        F.struct(F.col("o_orderpriority").alias("_term")).alias("primary_category"))
-    dest = scratch_path(spark, f"orders-feed-{_tag(d)}")
+        F.struct(F.col("o_orderpriority").alias("_term")).alias("primary_category"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("clerk "), key)).alias("comment"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("J. "), key)).alias("journal_ref"),
+        F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("10.1/"), key)).alias("doi"),
+        F.array(F.struct(F.lit("alternate").alias("_rel"), F.concat(F.lit(_FEED_URL), key, F.lit("v1")).alias("_href")),
+                F.struct(F.lit("related").alias("_rel"), F.concat(F.lit("http://example.org/pdf/"), key).alias("_href"))).alias("link"))
+    if pages_overlap:                                      # every fourth entry comes again, on a later page, retitled
+        again = entries.where(F.length("id") % 4 == 0).withColumn("title", F.lit("again"))
+        entries = entries.unionByName(again)
+    dest = staged_path(spark, "orders-feed")
     entries.write.format("xml").option("rowTag", "entry").option("rootTag", "feed").mode("overwrite").save(dest)
     return dest
 
@@ -53,7 +55,7 @@ def _orders_oai(spark, d) -> str:
         F.concat(F.lit("oai:example.org:"), F.col("o_orderkey").cast("string")).alias("identifier"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("datestamp"),
         F.array(F.col("o_orderpriority"), F.concat(F.lit("status."), F.col("o_orderstatus"))).alias("setSpec"))
-    dest = scratch_path(spark, f"orders-oai-{_tag(d)}")
+    dest = staged_path(spark, "orders-oai")
     headers.write.format("xml").option("rowTag", "header").option("rootTag", "ListIdentifiers") \
         .mode("overwrite").save(dest)
     return dest
@@ -87,21 +89,53 @@ def feed_batch(spark, d):
     return got.select("id", "published_date")
 
 
-@register("feed_loader", f"""
-SELECT id, title, summary, authors, primary_category, categories FROM (
-  SELECT CAST(o_orderkey AS VARCHAR) || 'v1' AS id, 'Order ' || CAST(o_orderkey AS VARCHAR) AS title,
-         'customer ' || CAST(o_custkey AS VARCHAR) AS summary,
-         'C' || CAST(o_custkey AS VARCHAR) || ', X Y' AS authors, o_orderpriority AS primary_category,
-         o_orderpriority || ' status.' || o_orderstatus AS categories,
-         strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS submitted
-  FROM orders
-  WHERE o_orderstatus <> 'P' AND CAST(o_orderdate AS DATE) >= DATE '1995-06-01'
-  ORDER BY submitted, id
-  LIMIT {feeds.LOADER_CAP})""")
+@register("feed_entry_full", """
+SELECT k || 'v1' AS id, CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') END AS updated,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'clerk ' || k END AS comment, CASE WHEN o_orderkey % 3 = 0 THEN 'J. ' || k END AS journal_ref,
+       CASE WHEN o_orderkey % 5 = 0 THEN '10.1/' || k END AS doi,
+       'alternate http://example.org/abs/' || k || 'v1, related http://example.org/pdf/' || k AS links
+FROM (SELECT *, CAST(o_orderkey AS VARCHAR) AS k FROM orders)""")
+def feed_entry_full(spark, d):
+    """P13 in full: the fields of a single entry, NULL where the page has none."""
+    e = feeds.project_entries(feeds.read_feed_entries(spark, _orders_feed(spark, d)), full=True)
+    links = F.array_join(F.transform("links", lambda x: F.concat_ws(" ", x["rel"], x["href"])), ", ")
+    return e.select("id", "updated", "comment", "journal_ref", "doi", links.alias("links"))
+
+
+@register("feed_batch_overlap", r"""
+SELECT k || 'v1' AS id, CASE WHEN length('http://example.org/abs/' || k || 'v1') % 4 = 0 THEN 'again' ELSE 'Order ' || k END AS title
+FROM (SELECT *, CAST(o_orderkey AS VARCHAR) AS k FROM orders)
+WHERE regexp_matches(k || 'v1', '^(?:1[0-9]*3)') AND o_orderstatus <> 'P'
+  AND CAST(o_orderdate AS DATE) BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'""")
+def feed_batch_overlap(spark, d):
+    """F10 over pages that overlap: of an id's entries the last one counts."""
+    e = feeds.read_feed_entries(spark, _orders_feed(spark, d, pages_overlap=True), position=True)
+    got = feed_batch_filter(feeds.project_entries(e), "1[0-9]*3", "1995-01-01", "1996-12-31",
+                            [f"status.{x}" for x in "FOP"], position=POSITION)
+    return got.select("id", "title")
+
+
+@register("feed_list_ids", """
+SELECT DISTINCT CAST(o_orderkey AS VARCHAR) AS base_id FROM orders
+WHERE o_orderstatus <> 'P' AND CAST(o_orderdate AS DATE) BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'
+  AND o_orderpriority IN ('1-URGENT', '3-MEDIUM') AND contains('C' || o_custkey || ', X Y', 'C1')
+ORDER BY base_id""")
+def feed_list_ids(spark, d):
+    """Without an index the staged feed pages are filtered, by the same filters."""
+    papers = feeds.open_papers(spark, index=None, feed=_orders_feed(spark, d, pages_overlap=True))
+    return list_ids_sorted(papers, start_date="1997-01-01", end_date="1997-12-31", categories=["1-URGENT", "3-MEDIUM"], author="C1")
+
+
+@register("feed_loader", """
+SELECT CAST(o_orderkey AS VARCHAR) || 'v1' AS id, 'Order ' || CAST(o_orderkey AS VARCHAR) AS title,
+       'customer ' || CAST(o_custkey AS VARCHAR) AS summary,
+       'C' || CAST(o_custkey AS VARCHAR) || ', X Y' AS authors, o_orderpriority AS primary_category,
+       o_orderpriority || ' status.' || o_orderstatus AS categories
+FROM orders
+WHERE o_orderstatus <> 'P' AND CAST(o_orderdate AS DATE) >= DATE '1995-06-01'""")
 def feed_loader(spark, d):
     e = feeds.read_feed_entries(spark, _orders_feed(spark, d))
-    # start bound only (the end side is open); past sf0.1 the 50,000-row cap binds
-    got = feeds.load_entries(e, start="1995-06-01")
+    got = feeds.load_entries(e, start="1995-06-01")        # the end side is open
     return got.select("id", "title", "summary", F.array_join("authors", ", ").alias("authors"),
                       "primary_category", F.array_join("categories", " ").alias("categories"))
 

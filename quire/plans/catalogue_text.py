@@ -143,8 +143,8 @@ def snippet3(spark, d):
 
 @register("artefact_names", """
 SELECT page_id, fmt,
-       CASE fmt WHEN 'pdf' THEN 'https://arxiv.org/pdf/' WHEN 'html' THEN 'https://arxiv.org/html/'
-                ELSE 'https://arxiv.org/e-print/' END || CAST(page_id AS VARCHAR) || 'v1' AS url,
+       CASE fmt WHEN 'pdf' THEN 'https://arxiv.org/pdf/' || page_id || 'v1.pdf' WHEN 'html' THEN 'https://arxiv.org/abs/' || page_id || 'v1'
+                ELSE 'https://arxiv.org/e-print/' || page_id || 'v1' END AS url,
        CAST(page_id AS VARCHAR) || 'v1.' || CASE fmt WHEN 'pdf' THEN 'pdf' WHEN 'html' THEN 'html'
                 ELSE 'tar.gz' END AS file_name
 FROM (SELECT page_id, unnest(['pdf', 'html', 'source']) AS fmt FROM pages)""")
@@ -212,16 +212,13 @@ def seeded_shuffle(spark, d):
     return ordering.dense_position(o, "o_orderkey", seed=14850)
 
 
-TRAIN_SIZE = 12000
-
-
-@register("positional_split", f"""
+@register("positional_split", """
 SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY md5('14850:' || CAST(o_orderkey AS VARCHAR)), o_orderkey)
-                         <= {TRAIN_SIZE} THEN 'train' ELSE 'test' END AS split
+                         <= (SELECT count(*) FROM orders) * 4 // 5 THEN 'train' ELSE 'test' END AS split
 FROM orders""")
 def positional_split(spark, d):
     o = table(spark, d, "orders").select("o_orderkey")
-    return ordering.positional_split(o, "o_orderkey", TRAIN_SIZE, seed=14850).drop("position")
+    return ordering.positional_split(o, "o_orderkey", o.count() * 4 // 5, seed=14850)
 
 
 STRATIFIED_SQL = """
@@ -257,9 +254,9 @@ def label_decode(spark, d):
     """Codes back to names through the label dimension, for the true code
     and a stand-in prediction (the next code, wrapping around)."""
     docs = table(spark, d, "documents").select("doc_id", "lang")
-    codes = encode.label_codes(docs, "lang")
-    k = codes.agg(F.count(F.lit(1))).scalar()
-    coded = encode.encode_labels(docs, "lang").withColumn("pcode", (F.col("code") + 1) % k)
+    codes = encode.label_codes(docs, "lang")               # stored once, used for both directions
+    k = codes.count()
+    coded = encode.encode_labels(docs, "lang", codes=codes).withColumn("pcode", (F.col("code") + 1) % k)
     out = lookup.decode_labels(coded, codes, "code", out_col="actual")
     out = lookup.decode_labels(out, codes, "pcode", out_col="predicted")
     return out.select("doc_id", "actual", "predicted")

@@ -13,11 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import rfc2822_iso
-from ..functions.text import artefact_name, decoded_lines, head_bytes, normalise_formats, snippet
+from ..functions.text import decoded_lines, head_bytes, normalise_formats, snippet
 from ..operators import filters
 from ..operators.lookup import small_side
 from ..operators.dedup import dedup_by_key
-from ..sources.files import source_lines
+from ..session import materialize
+from ..sources.files import export_artefact_files, source_lines
 from ..sources.snapshot import POSITION
 
 BINARY_FORMATS = ("pdf", "html", "source")
@@ -27,13 +28,15 @@ def select_papers(papers: DataFrame, regex_id=None, start_date=None, end_date=No
                   author=None, title=None) -> DataFrame:
     """F8 + F3 in one pass over the index: rows passing the filters and the
     (possibly versioned) id pattern, matched at the start of the id, with a
-    ``versioned_id`` column. An index that keeps duplicates (has ``_pos``)
-    yields one row per id: the last record among those that pass."""
-    pred = filters.paper_predicate(None, start_date, end_date, categories, author, title)
-    sel = filters.versioned_ids(papers.where(pred), regex_id, keep_columns=True)
+    ``versioned_id`` column. In an index that keeps duplicates (has ``_pos``)
+    only the last record of an id counts: the filters test that record, and an
+    id whose newest record fails them is not returned for an older one. Which
+    record is the last comes from a narrow scan (id and position); the filters
+    reach the other scan."""
+    sel = filters.versioned_ids(papers, regex_id, keep_columns=True)
     if POSITION in sel.columns:
         sel = dedup_by_key(sel, "base_id", POSITION, keep="last")
-    return sel
+    return sel.where(filters.paper_predicate(None, start_date, end_date, categories, author, title))
 
 
 def filter_ids(papers: DataFrame, regex_id=None, start_date=None, end_date=None, categories=None,
@@ -63,8 +66,9 @@ def fetch_batch(papers: DataFrame, regex_id=None, start_date=None, end_date=None
     filters already hold the requested fields). ``formats == ['metadata']``:
     the metadata rows themselves. Otherwise ``id`` plus one column per
     requested format: ``metadata`` struct, ``abstract`` text, ``pdf`` bytes,
-    ``html`` / ``source`` lines (NULL when the artefact is missing), and
-    ``<fmt>_path`` when ``output_dir`` is given.
+    ``html`` / ``source`` lines (NULL when the artefact is missing). With
+    ``output_dir`` the selected artefacts are written there as files before
+    this returns, and ``<fmt>_path`` names them (NULL where there is none).
     """
     fmts = normalise_formats(formats)
     unknown = [f for f in fmts if f not in ("metadata", "abstract", *BINARY_FORMATS)]
@@ -87,20 +91,21 @@ def fetch_batch(papers: DataFrame, regex_id=None, start_date=None, end_date=None
         # only the selected papers' artefacts move: a semi join on the stored id
         # list (broadcast when its size is checked small) runs before the pivot,
         # so the shuffle carries their blobs, not the whole artefact store
-        wanted = small_side(out.select("id").distinct(), materialize_first=True)
-        arts = (artefacts.where(F.col("format").isin(binaries))
-                .join(wanted, on="id", how="left_semi")
-                .groupBy("id").pivot("format", binaries).agg(F.first("content")))
+        wanted = small_side(out.select("id").distinct())
+        chosen = artefacts.where(F.col("format").isin(binaries)).join(wanted, on="id", how="left_semi")
+        if output_dir:
+            chosen = materialize(chosen, "artefacts")
+            paths = materialize(export_artefact_files(chosen, output_dir), "paths")
+            out = out.join(paths.groupBy("id").pivot("format", binaries).agg(F.first("path"))
+                           .select("id", *[F.col(f).alias(f"{f}_path") for f in binaries]), on="id", how="left")
+        arts = chosen.groupBy("id").pivot("format", binaries).agg(F.first("content"))
+        if "source" in binaries:
+            lines = source_lines(chosen.where("format = 'source'"))
+            arts = arts.drop("source").join(lines, on="id", how="left")
         out = out.join(arts, on="id", how="left")
         if "html" in binaries:
             out = out.withColumn("html", decoded_lines("html"))
-        if "source" in binaries:
-            out = source_lines(out, content="source", out="_src").drop("source") \
-                .withColumnRenamed("_src", "source")
-        if output_dir:
-            for f in binaries:
-                out = out.withColumn(f"{f}_path", F.when(F.col(f).isNotNull(), F.concat(
-                    F.lit(output_dir.rstrip("/") + "/"), artefact_name("id", F.lit(f)))))
+        out = out.select(*[c for c in out.columns if not c.endswith("_path")], *[c for c in out.columns if c.endswith("_path")])
     return out
 
 

@@ -14,8 +14,9 @@ from .ablation import prepare
 
 
 def run_summary(corpus: DataFrame, key: str, features: str, categories: str,
-                spec: classify.ClassifierSpec | None = None) -> dict[str, DataFrame]:
-    """``corpus`` has a key, an array feature column and a category string.
+                spec: classify.ClassifierSpec | None = None, encoder=None) -> dict[str, DataFrame]:
+    """``corpus`` has a key, a feature column and a category string. Features
+    are arrays, or what ``encoder`` makes arrays of; it runs after the split.
 
     Returns ``accuracy`` (one row), ``cube`` (crosstab with ``All`` margins),
     ``dense`` (zero cells included, truth labels) and ``percent`` (row
@@ -25,8 +26,10 @@ def run_summary(corpus: DataFrame, key: str, features: str, categories: str,
     x = corpus.select(key, features, normalised_category(categories).alias("label"))
     x = x.where(F.col("label").isNotNull())
     # reused by fit, predict and decode
-    prepared = materialize(prepare(x, key, "label"), "prepared",
-                           min_partition_bytes=classify.TRAIN_PARTITION_BYTES)
+    split = prepare(x, key, "label")
+    if encoder is not None:
+        split = split.withColumn(features, encoder(features))
+    prepared = materialize(split, "prepared", min_partition_bytes=classify.TRAIN_PARTITION_BYTES)
     v = classify.to_vector(prepared, features)
     model = classify.fit(v.where(F.col("split") == "train"), spec)
     scored = classify.predict_proba(model, v.where(F.col("split") == "test"), spec)
@@ -36,6 +39,7 @@ def run_summary(corpus: DataFrame, key: str, features: str, categories: str,
     pred = lookup.decode_labels(pred, codes, "pcode", out_col="predicted")
     acc = scored.agg(metrics.accuracy("prediction", "code").alias("accuracy"),
                      F.count(F.lit(1)).alias("n"))
-    dense = metrics.confusion_dense(pred, "actual", "predicted", labels="truth")
-    return {"accuracy": acc, "cube": metrics.confusion_cube(pred, "actual", "predicted"),
+    counts = metrics.pair_counts(pred, "actual", "predicted")
+    dense = metrics.confusion_dense(counts, labels="truth")
+    return {"accuracy": acc, "cube": metrics.confusion_cube(counts),
             "dense": dense, "percent": metrics.confusion_percent(dense)}

@@ -77,6 +77,15 @@ def test_feed_entries(spark, tmp_path):
         filters.feed_batch_filter(fb, None, None, "2023-12-31", ["cs.LG"])
     loaded = feeds.load_entries(e, num=1).collect()
     assert [r.id for r in loaded] == ["2104.00001v2"]
+    assert feeds.load_entries(e).count() == 2                     # no cap unless a number is given
+    (d / "page10.xml").write_text(FEED.replace("  T2 ", "  T10 ").replace("2104.00001v2", "2104.00009v1"))
+    again = feeds.read_feed_entries(spark, str(d), position=True)
+    last = filters.feed_batch_filter(feeds.project_entries(again), "2309", "2023-01-01", "2023-12-31", ["cs.LG"], position="_pos")
+    assert [(r.id, r.title) for r in last.collect()] == [("2309.00543v1", "T10")]      # page10 comes after page1
+    routed = feeds.open_papers(spark, index=str(tmp_path / "none"), feed=str(d))
+    assert [r.base_id for r in filters.list_ids_sorted(routed).collect()] == ["2104.00001", "2104.00009", "2309.00543"]
+    with pytest.raises(FileNotFoundError):
+        feeds.open_papers(spark, index=str(tmp_path / "none"))
 
 
 def test_oai_headers(spark, tmp_path):
@@ -85,6 +94,9 @@ def test_oai_headers(spark, tmp_path):
     h = feeds.read_oai_headers(spark, str(p))
     got = feeds.list_identifiers(h, start="2021-01-01").collect()
     assert [r.identifier for r in got] == ["oai:arXiv.org:0704.0001"]
+    got = feeds.list_identifiers(h, set_spec="physics").collect()
+    assert [r.identifier for r in got] == ["oai:arXiv.org:0704.0001"]
+    assert feeds.list_identifiers(h, set_spec="phys").count() == 0
     got = feeds.list_identifiers(h, set_spec="cs").collect()
     assert [r.identifier for r in got] == ["oai:arXiv.org:0704.0002"]
 
@@ -108,7 +120,9 @@ def test_artefacts_and_fetch(spark, tmp_path):
     (art / "2309.00543v1.html").write_bytes(b"<p>a</p>\r\n<p>b</p>\n")
     (art / "2309.00543v1.pdf").write_bytes(b"%PDF-1.5" + bytes(100))
     arts = files.read_artefacts(spark, str(art))
-    src = {r.id: r.source for r in files.source_lines(arts.where("format = 'source'")).collect()}
+    parsed = files.source_lines(arts.where("format = 'source'"))
+    assert parsed.columns == ["id", "source"]
+    src = {r.id: r.source for r in parsed.collect()}
     assert src == {"2309.00543v1": ["\\section{A}", "line 2"], "2104.00001v1": [], "2104.00003v1": None}
 
     # index from a snapshot, then the fetch plan
@@ -128,14 +142,19 @@ def test_artefacts_and_fetch(spark, tmp_path):
     assert [(r.id, r.title, r.published) for r in md] == [("2309.00543v1", "Good", "2023-09-01T12:34:56+00:00")]
 
     allf = fetch_batch(papers, r"^2\d+", category=["cs.LG"], formats=["metadata", "abstract", "pdf", "html", "latex"],
-                       artefacts=arts, output_dir="/out").collect()
+                       artefacts=arts, output_dir=str(tmp_path / "out")).collect()
     rows = {r.id: r for r in allf}
     assert set(rows) == {"2309.00543v1", "2104.00003v1"}
     r = rows["2309.00543v1"]
     assert r.metadata.id == "2309.00543v1" and r.abstract == "l1\nl2\nl3\nl4"
     assert r.html == ["<p>a</p>", "<p>b</p>"] and r.source == ["\\section{A}", "line 2"]
-    assert bytes(r.pdf)[:8] == b"%PDF-1.5" and r.pdf_path == "/out/2309.00543v1.pdf"
+    assert bytes(r.pdf)[:8] == b"%PDF-1.5" and r.pdf_path == str(tmp_path / "out" / "2309.00543v1.pdf")
     assert rows["2104.00003v1"].source is None and rows["2104.00003v1"].pdf is None
+    assert rows["2104.00003v1"].pdf_path is None
+    named = [p for x in allf for p in (x.pdf_path, x.html_path, x.source_path) if p]
+    assert len(named) == 4 and sorted(f.name for f in (tmp_path / "out").iterdir()) == sorted(p.rsplit("/", 1)[1] for p in named)
+    for p in named:                                      # every file that the result names has the artefact's bytes
+        assert (tmp_path / "out" / p.rsplit("/", 1)[1]).read_bytes() == (art / p.rsplit("/", 1)[1]).read_bytes()
     sn = {x.id: x for x in snippets(fetch_batch(papers, "2309", formats=["abstract"])).collect()}
     assert sn["2309.00543v1"].abstract_head == "l1\nl2\nl3"
 
@@ -146,6 +165,10 @@ def test_citation_edges_and_sinks(spark, tmp_path):
         json.dump({"a": ["b", "c", "b"], "d": ["a"]}, f)
     e = files.read_citation_edges(spark, str(p))
     assert sorted(tuple(r) for r in e.collect()) == [("a", "b"), ("a", "c"), ("d", "a")]
+    p = tmp_path / "pretty.json"
+    p.write_text(json.dumps({"a": ["b", "c"], "empty": [], "d": ["a"]}, indent=2))
+    e = files.read_citation_edges(spark, str(p))
+    assert sorted(tuple(r) for r in e.collect()) == [("a", "b"), ("a", "c"), ("d", "a")]
     df = spark.createDataFrame([("x", [1.0, 2.0]), ("y", [3.0, 4.0])], "id string, v array<double>")
     out = files.write_wide_csv(encode.widen(df, "v", 2, prefix="title_emb"), str(tmp_path / "wide"))
     back = spark.read.option("header", True).csv(out)
@@ -179,8 +202,6 @@ def test_hashed_encoder_forms_agree(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "k long, text string")
     dense = {r.k: r.v for r in df.select("k", encode.hashed_embedding("text", 32).alias("v")).collect()}
     sparse = encode.hashed_term_weights(df, "k", "text", 32).collect()
-    keyed = encode.hashed_term_weights(df, "k", "text", 32, unique_key=True).collect()
-    assert sorted(sparse) == sorted(keyed)
     for k in range(len(TEXTS)):
         v = np.zeros(32)
         for r in sparse:
@@ -193,6 +214,34 @@ def test_hashed_encoder_forms_agree(spark):
     assert emb.columns == ["k", "text_emb", "t2_emb"]
 
 
+def test_newest_record_decides(spark, tmp_path):
+    """An id whose last record left the category or the dates is not returned for an older record."""
+    snap = tmp_path / "snap.json"
+    v = lambda d: [{"created": f"{d} 00:00:00 GMT"}]
+    recs = [{"id": "1", "categories": "cs.LG", "versions": v("1 Apr 2021")}, {"id": "2", "categories": "cs.LG", "versions": v("1 Apr 2021")},
+            {"id": "1", "categories": "math.CO", "versions": v("1 Apr 2021")}, {"id": "2", "categories": "cs.LG x.Y", "versions": v("2 Apr 2021")}]
+    snap.write_text("\n".join(json.dumps(r) for r in recs))
+    for layout in ("none", "sorted"):
+        papers = spark.read.parquet(snapshot.build_index(spark, str(snap), str(tmp_path / layout), layout=layout))
+        got = fetch_batch(papers, None, category=["cs.LG"], formats="metadata").collect()
+        assert [(r.id, r.categories) for r in got] == [("2v1", "cs.LG x.Y")]
+        assert fetch_batch(papers, None, end_date="2021-04-01", category="cs.LG").count() == 0
+
+
+def test_cli_job_from_feed_with_files(spark, tmp_path, capsys):
+    from quire import job
+    (tmp_path / "pages").mkdir()
+    (tmp_path / "pages" / "p1.xml").write_text(FEED)
+    (tmp_path / "art").mkdir()
+    (tmp_path / "art" / "2309.00543v1.html").write_bytes(b"<p>a</p>")
+    out = tmp_path / "out"
+    assert job.main(["--feed", str(tmp_path / "pages"), "--id", "2309", "--formats", "html", "--artefacts", str(tmp_path / "art"),
+                     "--output-dir", str(out)]) == 0
+    r = spark.read.parquet(str(out / "results")).first()
+    assert r.html == ["<p>a</p>"] and r.html_path == str(out / "2309.00543v1.html")
+    assert (out / "2309.00543v1.html").read_bytes() == b"<p>a</p>"
+
+
 def test_cli_job(spark, tmp_path, capsys):
     from quire import job
     snap = tmp_path / "snap.json"
