@@ -42,19 +42,27 @@ LEAST_COUNT = 2                       # words seen once stay in the class of rar
 SWEEPS = 6                            # passes of the exchange over the clustered words at most
 PRIOR = 20.0                          # weight of the class frequencies in a transition
 END = b""                             # the end token; no word is empty
-FLUSH = 400_000                       # words a task counts before it hands them on
+FLUSH = 200_000                       # words a task counts before it hands them on
+TOKENS = 1_000_000                    # tokens a task holds as numbers at once
+ROWS = 500                            # documents scored before they are handed on
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(ASCII_LOWER).split()
 
 
+def texts_of(batch: pa.RecordBatch) -> Iterator[bytes]:
+    """The texts of a batch, a few at a time."""
+    for a in range(0, batch.num_rows, ROWS):
+        yield from text_bytes(batch.slice(a, ROWS))
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """word (binary), c: how often each word and the end token occur in ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
         for b in batches:
-            for t in text_bytes(b):
+            for t in texts_of(b):
                 total.update(words_of(t))
                 total[END] += 1
                 if len(total) >= FLUSH:
@@ -76,10 +84,10 @@ def _sequences(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], rest
     get = number.get
     for b in batches:
         ids = [end]
-        for t in text_bytes(b):
+        for t in texts_of(b):
             ids += [get(w, rest) for w in words_of(t)]
             ids.append(end)
-            if len(ids) > 4_000_000:
+            if len(ids) > TOKENS:
                 yield np.array(ids, np.int64)
                 ids = [end]
         if len(ids) > 1:
@@ -280,7 +288,7 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, keep: tuple[str,
         m: Model = held.value
         get, nth, end = m.number.get, TaskContext.get().partitionId() << 40, len(m.classes) - 1
         rest = end - 1
-        for b in batches:
+        for b in (x.slice(a, ROWS) for x in batches for a in range(0, x.num_rows, ROWS)):
             out, rare = [], []
             for t in text_bytes(b, "_text"):
                 words = words_of(t)
