@@ -109,13 +109,10 @@ def _train_parts(spark, d):
 WITH e AS (SELECT DISTINCT CAST(l_orderkey AS VARCHAR) AS src, CAST(l_partkey AS VARCHAR) AS dst FROM lineitem),
 tr AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_type AS cat FROM part
        WHERE md5('14850:' || CAST(p_partkey AS VARCHAR)) < '{TRAIN_HASH_BOUND}'),
-el AS (SELECT e.src, e.dst AS paper, tr.cat AS own_cat FROM e LEFT JOIN tr ON tr.id = e.dst),
-ps AS (SELECT src, own_cat AS cat, count(*) AS c FROM el WHERE own_cat IS NOT NULL GROUP BY src, own_cat),
-x AS (SELECT el.paper, ps.cat,
-             CAST(sum(ps.c - CASE WHEN el.own_cat = ps.cat THEN 1 ELSE 0 END) AS BIGINT) AS cnt
-      FROM el JOIN ps ON ps.src = el.src GROUP BY el.paper, ps.cat)
+x AS (SELECT a.dst AS paper, tr.cat, count(*) AS cnt
+      FROM e a JOIN e b ON b.src = a.src AND b.dst <> a.dst JOIN tr ON tr.id = b.dst GROUP BY a.dst, tr.cat)
 SELECT paper, cat, cnt, round(cnt / sum(cnt) OVER (PARTITION BY paper), 6) AS share
-FROM x WHERE cnt > 0""")
+FROM x""")
 def cocitation_features(spark, d):
     c = cocitation.cocitation_counts(si.citation_edges(spark, d), _train_parts(spark, d))
     return c.select("paper", "cat", "cnt", F.round("share", 6).alias("share"))
