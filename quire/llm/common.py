@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import scratch_path
+from ..session import staged_path
+from ..sources.storage import open_fs
 
 END_ID = 2                       # the id appended to every encoded document
 
@@ -34,7 +36,7 @@ def fold(doc_id: Column, mod: int, held: int) -> Column:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it
     back: lineage ends there and lost executors cost nothing."""
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    path = staged_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -43,9 +45,22 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
-def text_bytes(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
-    """The texts of a batch as UTF-8, null as empty."""
-    return [b or b"" for b in column(batch, name).cast(pa.binary()).to_pylist()]
+def text_bytes(batch: pa.RecordBatch, name: str = "text", rows: int = 500) -> Iterator[bytes]:
+    """The texts of a batch as UTF-8, null as empty; a few are held as Python objects at a time."""
+    texts = column(batch, name).cast(pa.binary())
+    for a in range(0, len(texts), rows):
+        for t in texts.slice(a, rows).to_pylist():
+            yield t or b""
+
+
+def lots(batch: pa.RecordBatch, name: str = "text", size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in consecutive parts whose texts have at most ``size`` bytes together (or that are one row)."""
+    upto = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column(batch, name)), 0)).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + size, "right")))
+        yield batch.slice(a, b - a)
+        a = b
 
 
 def with_columns(batch: pa.RecordBatch, **values: pa.Array) -> pa.RecordBatch:
@@ -60,17 +75,9 @@ def with_columns(batch: pa.RecordBatch, **values: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    """File system and path of a URI (local, hdfs, s3, gs); the URI is one
-    below the shared checkpoint folder, which all executors see."""
-    if uri.startswith("file:"):
-        uri = "/" + uri[5:].lstrip("/")
-    return (pafs.LocalFileSystem(), uri) if uri.startswith("/") else pafs.FileSystem.from_uri(uri)
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A new, empty folder below the shared checkpoint folder."""
-    uri = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+    uri = staged_path(spark, name)
     fs, path = open_fs(uri)
     fs.create_dir(path, recursive=True)
     return uri

@@ -234,7 +234,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataF
     smallest. Rows with a null doc_id are kept if their whole component has none."""
     names = docs.columns
     marked = docs.select(*[f"`{c}`" for c in names])
-    row = F.xxhash64(*[F.to_json(F.struct(*[F.col(f"`{c}`") for c in names]))])
+    row = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes])
     tag = "_row"
     while tag in names:
         tag += "_"

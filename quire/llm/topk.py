@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged_path
 from .common import column, store
 
 CELLS = 256
@@ -158,39 +159,55 @@ def search(file: DataFrame, bounds: dict, is_query: Column, k: int = 5,
     file where ``is_query`` holds."""
     spark = file.sparkSession
     queries = store(file.where(is_query).select("vec_id", "v").distinct(), "queries")
-    found = None
+    limits = spark.sparkContext.broadcast(bounds)
+    held, folder, n = None, staged_path(spark, "nearest"), 0
     for rows in _blocks(queries, block_queries):
-        held = spark.sparkContext.broadcast(rows)
-        limits = spark.sparkContext.broadcast(bounds)
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, limits=limits) -> Iterator[pa.RecordBatch]:
-            best: dict[int, _Best] = {}
-            for b in batches:
-                ids = np.asarray(column(b, "vec_id"))
-                cells = column(b, "cells").to_pylist()
-                for n, (rows, x) in _by_length(b).items():
-                    if n not in held.value:
-                        continue
-                    if n not in best:
-                        best[n] = _Best(*held.value[n], *limits.value.get(n, (np.zeros(0, np.int64),) * 2), k)
-                    for a in range(0, len(rows), ROWS):
-                        at = rows[a:a + ROWS]
-                        c = np.frombuffer(b"".join(cells[i] for i in at), np.uint8).reshape(len(at), n)
-                        best[n].scan(ids[at], c, x[a:a + ROWS])
-            for t in best.values():
-                i, j = np.nonzero(t.score > LEAST)
-                yield pa.RecordBatch.from_arrays([pa.array(t.ids[i]), pa.array(t.vec[i, j]), pa.array(t.score[i, j])],
-                                                 names=["query_id", "vec_id", "score"])
-
-        part = file.mapInArrow(run, "query_id long, vec_id long, score long")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, vec_id long, score long")
+        if held is not None:                               # one of several blocks: stored before the next
+            _nearest(file, held, limits, k).write.parquet(f"{folder}/block={n}")
+            n += 1
+        held = rows
+    if held is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    last = _nearest(file, held, limits, k)
+    if not n:
+        return last
+    last.write.parquet(f"{folder}/block={n}")
+    found = spark.read.schema(last.schema).parquet(folder).select("query_id", "vec_id", "score")
+    return _ranked(found, k)                                 # a query id on several rows may stand in two blocks
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
 
+def _nearest(file: DataFrame, rows: dict, limits, k: int) -> DataFrame:
+    """The k best rows for one block of queries: k rows per query and partition, merged per query."""
+    held = file.sparkSession.sparkContext.broadcast(rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, _Best] = {}
+        for b in batches:
+            ids = np.asarray(column(b, "vec_id"))
+            cells = column(b, "cells").to_pylist()
+            for n, (rows, x) in _by_length(b).items():
+                if n not in held.value:
+                    continue
+                if n not in best:
+                    best[n] = _Best(*held.value[n], *limits.value.get(n, (np.zeros(0, np.int64),) * 2), k)
+                for a in range(0, len(rows), ROWS):
+                    at = rows[a:a + ROWS]
+                    c = np.frombuffer(b"".join(cells[i] for i in at), np.uint8).reshape(len(at), n)
+                    best[n].scan(ids[at], c, x[a:a + ROWS])
+        for t in best.values():
+            i, j = np.nonzero(t.score > LEAST)
+            yield pa.RecordBatch.from_arrays([pa.array(t.ids[i]), pa.array(t.vec[i, j]), pa.array(t.score[i, j])],
+                                             names=["query_id", "vec_id", "score"])
+
+    return _ranked(file.mapInArrow(run, "query_id long, vec_id long, score long"), k)
+
+
 def _blocks(queries: DataFrame, size: int) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
     """Length -> ids and matrix, at most ``size`` queries at a time on the driver."""
     def grouped(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
