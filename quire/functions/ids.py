@@ -18,12 +18,6 @@ def base_id(vid) -> Column:
     return F.regexp_replace(_col(vid), r"v[0-9]+$", "")
 
 
-def version_of(vid) -> Column:
-    """Trailing ``v<digits>`` of a versioned id, NULL when absent."""
-    v = F.regexp_extract(_col(vid), r"(v[0-9]+)$", 1)
-    return F.nullif(v, F.lit(""))
-
-
 def id_from_url(url, old_ids: bool = False) -> Column:
     """The id named by an abstract URL: its last path segment, or with
     ``old_ids`` everything after ``/abs/`` (keeps ``math/0309136``)."""

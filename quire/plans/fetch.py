@@ -91,6 +91,7 @@ def fetch_batch(papers: DataFrame, regex_id=None, start_date=None, end_date=None
         # only the selected papers' artefacts move: a semi join on the stored id
         # list (broadcast when its size is checked small) runs before the pivot,
         # so the shuffle carries their blobs, not the whole artefact store
+        out = materialize(out, "selected")                 # read by the semi join and by the last join
         wanted = small_side(out.select("id").distinct())
         chosen = artefacts.where(F.col("format").isin(binaries)).join(wanted, on="id", how="left_semi")
         if output_dir:
