@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, column, store, text_bytes
+from .common import WORD_BYTES, column, lots, store, text_bytes
 
 SPAN, GRAM = 13, 8
 WINDOW = SPAN - GRAM + 1
@@ -180,9 +180,7 @@ def _pass(docs: DataFrame, segments: list, hits: str, items: str, stateful: bool
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         known = ix.vocabulary.get
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (x for y in batches for x in lots(y)):
             docs_ids, sizes = [], []
             gap = np.zeros(SPAN, np.int32)                 # keeps neighbours apart
             for t in text_bytes(b):

@@ -23,12 +23,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .common import END_ID
+from .common import END_ID, lots
 
 _HELD: dict[tuple[str, str], Encoder] = {}
-LIMIT = 400_000                       # pieces kept by a worker, and parts of pieces
+LIMIT = 250_000                       # pieces kept by a worker, and parts of pieces
 LONGEST = 64                          # characters of a part that is kept
-LOT = 8 << 20                         # bytes of text handled at once (or one text)
+LOT = 4 << 20                         # bytes of text handled at once (or one text)
 
 #: Latin letters, then ASCII punctuation to the end that no contraction begins.
 _WORD_THEN_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?")
@@ -48,7 +48,7 @@ class Encoder:
         self.end = np.array([END_ID], self.dtype)
         self.parts: dict[str, bytes] = {}                  # packed ids
         self.number: dict[str, int] = {}                   # known pieces; their ids stand in flat[start:start + size]
-        self.flat, self.start, self.size = np.zeros(0, self.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.start, self.size = np.zeros(0, self.dtype), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
         def plain(text: str) -> list[int]:
             return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -117,40 +117,40 @@ class Encoder:
 
     def many(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of a string array (null as empty), without the end id."""
-        texts = pc.fill_null(texts, "")
-        upto = np.cumsum(np.asarray(pc.binary_length(texts)).astype(np.int64))
-        a = 0
-        while a < len(texts):
-            before = upto[a - 1] if a else 0
-            b = max(a + 1, int(np.searchsorted(upto, before + LOT, "right")))
-            yield from self._lot(texts.slice(a, b - a))
-            a = b
+        for part in lots(pa.RecordBatch.from_arrays([pc.fill_null(texts, "")], names=["text"]), "text", LOT):
+            yield from self._lot(part.column(0))
+            pa.default_memory_pool().release_unused()
 
     def _lot(self, texts: pa.Array) -> Iterator[np.ndarray]:
         lists = self._cut(texts)
         ends = np.cumsum(np.asarray(pc.list_value_length(lists)).astype(np.int64))
         pieces = lists.flatten().dictionary_encode()
-        at, distinct = np.asarray(pieces.indices), pieces.dictionary.to_pylist()
+        del lists
+        distinct = pieces.dictionary.to_pylist()
         number = self.number
-        known = np.fromiter((number.get(p, -1) for p in distinct), np.int64, len(distinct))
+        known = np.fromiter((number.get(p, -1) for p in distinct), np.int32, len(distinct))
         missing = np.flatnonzero(known < 0)
         new, wrong = self._new([distinct[k] for k in missing])
-        known[missing] = len(number) + np.arange(len(missing))
-        n_new = np.array([len(v) for v in new], np.int64) // self.dtype.itemsize
+        known[missing] = len(number) + np.arange(len(missing), dtype=np.int32)
+        n_new = (np.array([len(v) for v in new], np.int64) // self.dtype.itemsize).astype(np.int32)
         flat = np.concatenate([self.flat, np.frombuffer(b"".join(new), self.dtype)])
         size = np.concatenate([self.size, n_new])
-        start = np.concatenate([self.start, len(self.flat) + np.cumsum(n_new) - n_new])
+        start = np.concatenate([self.start, (len(self.flat) + np.cumsum(n_new) - n_new).astype(np.int32)])
         wrong = np.array([False] * len(number) + wrong, bool)
-        # ids of all pieces in a row, then of each text
-        k = known[at]
+        # ids of all pieces in a row (counted in 32 bits: a lot is LOT bytes or one text), then of each text
+        k = known[np.asarray(pieces.indices)]
         n = size[k]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        ids = flat[np.repeat(start[k] - upto[:-1], n) + np.arange(upto[-1])]
+        upto = np.zeros(len(k) + 1, np.int32)
+        np.cumsum(n, out=upto[1:])
+        at = np.repeat(start[k] - upto[:-1], n)
+        at += np.arange(upto[-1], dtype=np.int32)
+        ids = flat[at]
         whole = np.zeros(len(texts), bool)
         if wrong.any():
             whole[np.searchsorted(ends, np.flatnonzero(wrong[k]), "right")] = True
         if self.keeps_blanks:
             whole |= np.asarray(pc.match_substring(texts, "\x00"))
+        del pieces, k, n, at
         first = 0
         for i, (last, alone) in enumerate(zip(ends.tolist(), whole.tolist(), strict=True)):
             if alone:
