@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import store, text_bytes, with_columns
+from .common import store, text_bytes
 
 THRESHOLD = 0.7                  # predicted 1 from this score on
 FEATURES = ("words", "word_length", "upper", "digit", "symbol", "stop", "shout", "high", "blank", "types", "adjacent",
