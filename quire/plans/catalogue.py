@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import categories as cat
-from ..functions import dates, ids, text
+from ..functions import dates, ids
 from ..operators import dedup, filters, lookup
 from ..sources.tables import table
 from . import standins as si
