@@ -5,10 +5,10 @@ is cut only where both tokenizers cut it for certain: at a white-space
 character between two others, and between Latin letters and the ASCII
 punctuation that ends a piece. Such a run of letters or marks is one word of
 the tokenizers' own rule and goes straight to their merge model; other pieces
-go through the whole tokenizer. Arrow cuts the texts of a batch and numbers
-their distinct pieces, numpy puts the ids together. Known pieces are kept in a
-bounded table of the Python worker (once it is full, further pieces are
-encoded and not kept). Texts that can't be cut (runs of white space, text that
+go through the whole tokenizer. Arrow cuts the texts of a batch, numbers their
+distinct pieces and looks them up, numpy puts the ids together. Known pieces
+and words are kept in bounded Arrow tables of the Python worker, some 10 MB
+(once one is full, further entries are encoded and not kept). Texts that can't be cut (runs of white space, text that
 looks like a special token) are encoded whole. The ids are those of
 ``Tokenizer.encode(text, add_special_tokens=False)``.
 """
@@ -27,16 +27,49 @@ from .common import END_ID, lots
 
 _HELD: dict[tuple[str, str], Encoder] = {}
 LIMIT = 400_000                       # pieces kept by a worker, and parts of pieces
-LONGEST = 64                          # characters of a part that is kept
+LONGEST = 64                          # characters of an entry that is kept
 LOT = 8 << 20                         # bytes of text handled at once (or one text)
 
 #: Latin letters, then ASCII punctuation to the end that no contraction begins.
-_WORD_THEN_MARKS = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?")
+_WORD_THEN_MARKS = r"\A(?P<w> ?[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<m>[!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?\z"
 #: Byte-level vocabularies write a byte as one character: printable ones as themselves, the others from U+0100 on in order.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_CHARACTERS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+def _gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[start:start + size] one after another, and where each begins (with the end behind)."""
+    upto = np.zeros(len(size) + 1, np.int32)
+    np.cumsum(size, out=upto[1:])
+    at = np.repeat(start - upto[:-1], size)
+    at += np.arange(upto[-1], dtype=np.int32)
+    return flat[at], upto
+
+
+class _Table:
+    """Strings and their ids: those of string k stand in flat[start[k]:start[k] + size[k]]."""
+
+    def __init__(self, dtype: np.dtype):
+        self.strings = pa.array([], pa.string())
+        self.flat, self.start, self.size = np.zeros(0, dtype), np.zeros(0, np.int32), np.zeros(0, np.int32)
+
+    def find(self, strings: pa.Array) -> np.ndarray:
+        return np.array(pc.fill_null(pc.index_in(strings, value_set=self.strings), -1))
+
+    def extended(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The arrays with further entries behind those of the table."""
+        return (np.concatenate([self.flat, flat]), np.concatenate([self.start, (start + len(self.flat)).astype(np.int32)]),
+                np.concatenate([self.size, size.astype(np.int32)]))
+
+    def keep(self, strings: pa.Array, flat: np.ndarray, start: np.ndarray, size: np.ndarray, good: np.ndarray) -> None:
+        """Add the entries that are ``good`` and not too long, as many as the table still takes."""
+        rows = np.flatnonzero(good & (np.asarray(pc.utf8_length(strings)) <= LONGEST))[:max(0, LIMIT - len(self.strings))]
+        if len(rows):
+            flat, upto = _gather(flat, start[rows], size[rows])
+            self.flat, self.start, self.size = self.extended(flat, upto[:-1], size[rows])
+            self.strings = pa.concat_arrays([self.strings, strings.take(pa.array(rows))])
+
+
 class Encoder:
     """Ids of ``dtype`` (an unsigned little-endian numpy type)."""
 
@@ -46,9 +79,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype(dtype)
         self.end = np.array([END_ID], self.dtype)
-        self.parts: dict[str, bytes] = {}                  # packed ids
-        self.number: dict[str, int] = {}                   # known pieces; their ids stand in flat[start:start + size]
-        self.flat, self.start, self.size = np.zeros(0, self.dtype), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.pieces, self.words = _Table(self.dtype), _Table(self.dtype)
 
         def plain(text: str) -> list[int]:
             return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -61,53 +92,57 @@ class Encoder:
         self.bad = re.compile("|".join(special + ([r"\A\Z", r"\A \Z", r"\A[^\S ](?s:.)", r"(?!\A)\s"] if self.keeps_blanks else []))
                               or r"(?!)")
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        """The packed ids of each text, from one call: the library numbers the texts its tokens come from."""
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after another and how many each has, from one
+        call: the library numbers the texts its tokens come from."""
         found = self.tokenizer.encode(texts, is_pretokenized=True, add_special_tokens=False)
-        cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(texts) + 1)) * self.dtype.itemsize
-        packed = np.array(found.ids, self.dtype).tobytes()
-        return [packed[a:b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
+        return np.array(found.ids, self.dtype), np.bincount(np.array(found.word_ids, np.int64), minlength=len(texts))
 
-    def _merge(self, words: list[str]) -> list[bytes]:
-        """The packed ids of words that the tokenizer would not cut."""
+    def _merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words that the tokenizer would not cut."""
         tokenize = self.tokenizer.model.tokenize
-        ids, cuts = [], [0]
+        ids, sizes = [], []
         for w in words:
             w = w.replace(" ", "\u0120") if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
-            ids += [t.id for t in tokenize(w)]
-            cuts.append(len(ids) * self.dtype.itemsize)
-        packed = np.array(ids, self.dtype).tobytes()
-        return [packed[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
-
-    def _new(self, pieces: list[str]) -> tuple[list[bytes], list[bool]]:
-        """The packed ids of pieces not known yet, and which of them show that a text can't be cut."""
-        parts, bad = self.parts, self.bad.search
-        cut: list[tuple[str, ...]] = []
-        other: list[int] = []
-        wrong = [False] * len(pieces)
-        for k, p in enumerate(pieces):
-            m = _WORD_THEN_MARKS.fullmatch(p)
-            if m is None:
-                cut.append(())
-                if bad(p):
-                    wrong[k] = True
-                else:
-                    other.append(k)
-            else:
-                w = m[1].lower() if self.folds_case else m[1]
-                cut.append((w, m[2]) if m[2] else (w,))
-        new = [x for x in {x for c in cut for x in c} if x not in parts]
-        fresh = dict(zip(new, self._merge(new), strict=True))
-        out = [b"".join([parts[x] if x in parts else fresh[x] for x in c]) for c in cut]
-        if other:
-            for k, v in zip(other, self._encode([pieces[k] for k in other]), strict=True):
-                out[k] = v
-        for x, v in fresh.items():
-            if len(parts) >= LIMIT:
-                break
-            if len(x) <= LONGEST:
-                parts[x] = v
-        return out, wrong
+            found = [t.id for t in tokenize(w)]
+            ids += found
+            sizes.append(len(found))
+        return np.array(ids, self.dtype), np.array(sizes, np.int64)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """flat, start and size of each word."""
+        distinct = words.dictionary_encode()
+        known = self.words.find(distinct.dictionary)
+        missing = np.flatnonzero(known < 0)
+        new = distinct.dictionary.take(pa.array(missing))
+        flat, size = self._merge(new.to_pylist())
+        start = np.cumsum(size) - size
+        known[missing] = len(self.words.strings) + np.arange(len(missing))
+        everything = self.words.extended(flat, start, size)
+        self.words.keep(new, flat, start, size, np.ones(len(new), bool))
+        k = known[np.asarray(distinct.indices)]
+        return everything[0], everything[1][k], everything[2][k]
+
+    def _new(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """flat, start and size of pieces not known yet, and which of them show that a text can't be cut."""
+        cut = pc.extract_regex(pieces, _WORD_THEN_MARKS)
+        plain = np.asarray(cut.is_valid())
+        start, size, wrong = (np.zeros(len(pieces), t) for t in (np.int64, np.int64, bool))
+        both = cut.filter(pa.array(plain))
+        w, m = both.field("w"), pc.fill_null(both.field("m"), "")
+        flat, at, n = self._words(pa.concat_arrays([pc.utf8_lower(w) if self.folds_case else w, m]))
+        order = np.arange(2 * len(w)).reshape(2, -1).T.ravel()                 # each word, then its marks
+        flat, upto = _gather(flat, at[order], n[order])
+        start[plain], size[plain] = upto[:-1:2], upto[2::2] - upto[:-1:2]
+        rest = np.flatnonzero(~plain)
+        texts = pieces.take(pa.array(rest)).to_pylist()
+        wrong[rest] = [self.bad.search(t) is not None for t in texts]
+        rest, texts = rest[~wrong[rest]], [t for t, x in zip(texts, wrong[rest].tolist(), strict=True) if not x]
+        if texts:
+            more, size[rest] = self._encode(texts)
+            start[rest] = len(flat) + np.cumsum(size[rest]) - size[rest]
+            flat = np.concatenate([flat, more])
+        return flat, start, size, wrong
 
     def _cut(self, texts: pa.Array) -> pa.ListArray:
         if self.keeps_blanks:         # " word" and a line end are pieces of their own
@@ -126,31 +161,24 @@ class Encoder:
         ends = np.cumsum(np.asarray(pc.list_value_length(lists)).astype(np.int64))
         pieces = lists.flatten().dictionary_encode()
         del lists
-        distinct = pieces.dictionary.to_pylist()
-        number = self.number
-        known = np.fromiter((number.get(p, -1) for p in distinct), np.int32, len(distinct))
+        known = self.pieces.find(pieces.dictionary)
         missing = np.flatnonzero(known < 0)
-        new, wrong = self._new([distinct[k] for k in missing])
-        known[missing] = len(number) + np.arange(len(missing), dtype=np.int32)
-        n_new = (np.array([len(v) for v in new], np.int64) // self.dtype.itemsize).astype(np.int32)
-        flat = np.concatenate([self.flat, np.frombuffer(b"".join(new), self.dtype)])
-        size = np.concatenate([self.size, n_new])
-        start = np.concatenate([self.start, (len(self.flat) + np.cumsum(n_new) - n_new).astype(np.int32)])
-        wrong = np.array([False] * len(number) + wrong, bool)
+        new = pieces.dictionary.take(pa.array(missing))
+        flat, start, size, bad = self._new(new)
+        known[missing] = len(self.pieces.strings) + np.arange(len(missing))
+        wrong = np.zeros(len(self.pieces.strings) + len(missing), bool)
+        wrong[len(self.pieces.strings):] = bad
+        everything = self.pieces.extended(flat, start, size)
+        self.pieces.keep(new, flat, start, size, ~bad)
         # ids of all pieces in a row (counted in 32 bits: a lot is LOT bytes or one text), then of each text
         k = known[np.asarray(pieces.indices)]
-        n = size[k]
-        upto = np.zeros(len(k) + 1, np.int32)
-        np.cumsum(n, out=upto[1:])
-        at = np.repeat(start[k] - upto[:-1], n)
-        at += np.arange(upto[-1], dtype=np.int32)
-        ids = flat[at]
+        ids, upto = _gather(everything[0], everything[1][k], everything[2][k])
         whole = np.zeros(len(texts), bool)
-        if wrong.any():
+        if bad.any():
             whole[np.searchsorted(ends, np.flatnonzero(wrong[k]), "right")] = True
         if self.keeps_blanks:
             whole |= np.asarray(pc.match_substring(texts, "\x00"))
-        del pieces, k, n, at
+        del pieces, k, everything
         first = 0
         for i, (last, alone) in enumerate(zip(ends.tolist(), whole.tolist(), strict=True)):
             if alone:
@@ -158,16 +186,6 @@ class Encoder:
             else:
                 yield ids[upto[first]:upto[last]]
             first = last
-        kept = 0
-        for x, v in zip(missing.tolist(), wrong[len(number):].tolist(), strict=True):
-            if v or len(number) >= LIMIT:                  # kept pieces are the first of the new ones, in order
-                break
-            number[distinct[x]] = len(number)
-            kept += 1
-        if kept:
-            m = len(self.size) + kept
-            self.size, self.start = size[:m], start[:m]
-            self.flat = flat[:self.start[-1] + self.size[-1]]
 
     def ids(self, text: str) -> bytes:
         return next(iter(self.many(pa.array([text])))).tobytes()
