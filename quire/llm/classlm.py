@@ -25,67 +25,70 @@ doc_id is a training row; without training rows all counts are zero.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, column, store, text_bytes
+from .common import column, lots, store
 
 CLASSES, CLUSTERED, LISTED = 64, 1000, 200_000
 LEAST_COUNT = 2                       # words seen once stay in the class of rare words: they stand for the unseen ones
 SWEEPS = 6                            # passes of the exchange over the clustered words at most
 PRIOR = 20.0                          # weight of the class frequencies in a transition
-END = b""                             # the end token; no word is empty
-FLUSH = 200_000                       # words a task counts before it hands them on
-TOKENS = 1_000_000                    # tokens a task holds as numbers at once
-ROWS = 500                            # documents scored before they are handed on
+END = ""                              # the end token; no word is empty
+LOT = 4 << 20                         # bytes of text handled at once (or one text)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return text.translate(ASCII_LOWER).split()
+def split(batch: pa.RecordBatch, name: str = "text") -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The lower-cased words of a batch's texts in order, numbered among the
+    distinct ones, and the row of each."""
+    texts = pc.fill_null(column(batch, name).cast(pa.string()), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    words = lists.flatten()
+    row = np.repeat(np.arange(len(lists)), np.asarray(pc.list_value_length(lists)))
+    some = pc.greater(pc.binary_length(words), 0)          # white space at an end leaves an empty string
+    return words.filter(some).dictionary_encode(), row[np.asarray(some)]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """word (binary), c: how often each word and the end token occur in ``docs``."""
+    """word, c: how often each word and the end token occur in ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        for b in batches:
-            for t in text_bytes(b):
-                total.update(words_of(t))
-                total[END] += 1
-                if len(total) >= FLUSH:
-                    yield rows(total)
-                    total.clear()
-        if total:
-            yield rows(total)
-
-    def rows(total: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())],
-                                          names=["word", "c"])
-
-    return (docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "word binary, c long")
-            .groupBy("word").agg(F.sum("c").alias("c")))
-
-
-def _sequences(batches: Iterator[pa.RecordBatch], number: dict[bytes, int], rest: int, end: int) -> Iterator[np.ndarray]:
-    """Word numbers of the batches' documents, an end before, between and after them."""
-    get = number.get
-    for b in batches:
-        ids = [end]
-        for t in text_bytes(b):
-            ids += [get(w, rest) for w in words_of(t)]
-            ids.append(end)
-            if len(ids) > TOKENS:
-                yield np.array(ids, np.int64)
-                ids = [end]
-        if len(ids) > 1:
-            yield np.array(ids, np.int64)
+        ends = 0
+        for b in (x for y in batches for x in lots(y, size=LOT)):
+            words, _ = split(b)
+            n = np.bincount(np.asarray(words.indices), minlength=len(words.dictionary))
+            yield pa.RecordBatch.from_arrays([words.dictionary, pa.array(n, pa.int64())], names=["word", "c"])
+            ends += b.num_rows
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends], pa.int64())], names=["word", "c"])
+
+    return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+
+
+def numbers(words: pa.DictionaryArray, listed: pa.Array) -> np.ndarray:
+    """The place of each word in ``listed``, its length for the others."""
+    found = pc.fill_null(pc.index_in(words.dictionary, value_set=listed), len(listed))
+    return np.asarray(found).astype(np.int64)[np.asarray(words.indices)]
+
+
+def with_ends(ids: np.ndarray, row: np.ndarray, rows: int, end: int) -> np.ndarray:
+    """The numbers of all words with an end before, between and after the texts."""
+    out = np.full(len(ids) + rows + 1, end, np.int64)
+    out[np.arange(len(ids)) + row + 1] = ids
+    return out
+
+
+def _sequences(batches: Iterator[pa.RecordBatch], listed: pa.Array) -> Iterator[np.ndarray]:
+    """Word numbers of the batches' documents; other words are ``len(listed)``, an end is one more."""
+    for b in (x for y in batches for x in lots(y, size=LOT)):
+        words, row = split(b)
+        yield with_ends(numbers(words, listed), row, b.num_rows, len(listed) + 1)
 
 
 def _summed(docs: DataFrame, count, schema: str = "k long, n long") -> DataFrame:
@@ -95,7 +98,7 @@ def _summed(docs: DataFrame, count, schema: str = "k long, n long") -> DataFrame
             for a in range(0, len(k), 500_000):
                 yield pa.RecordBatch.from_arrays([pa.array(k[a:a + 500_000]), pa.array(n[a:a + 500_000])], names=["k", "n"])
 
-    return (docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+    return (docs.select("text").mapInArrow(run, schema)
             .groupBy("k").agg(F.sum("n").alias("n")))
 
 
@@ -107,15 +110,14 @@ def _matrix(counts: DataFrame, size: int) -> np.ndarray:
     return out.reshape(size, size)
 
 
-def _pair_counts(docs: DataFrame, number: dict[bytes, int], classes: np.ndarray | None, size: int) -> np.ndarray:
-    """Bigram counts of word numbers (or of their classes); words not listed are ``size - 2``, the end ``size - 1``."""
-    held = docs.sparkSession.sparkContext.broadcast((number, classes))
+def _pair_counts(docs: DataFrame, listed: pa.Array, classes: np.ndarray | None, size: int) -> np.ndarray:
+    """Bigram counts of word numbers (or of their classes); the last two are words not listed, and the end."""
+    held = docs.sparkSession.sparkContext.broadcast((listed, classes))
 
     def count(batches):
-        number, classes = held.value
-        rest, end = (size - 2, size - 1) if classes is None else (len(classes) - 2, len(classes) - 1)
+        listed, classes = held.value
         total = np.zeros(size * size, np.int64)
-        for ids in _sequences(batches, number, rest, end):
+        for ids in _sequences(batches, listed):
             x = ids if classes is None else classes[ids]
             total += np.bincount(x[:-1] * size + x[1:], minlength=size * size)
         k = np.flatnonzero(total)
@@ -182,22 +184,22 @@ def _transitions(g: np.ndarray, prior: float = PRIOR) -> np.ndarray:
     return (g + prior * often) / (g.sum(1, keepdims=True) + prior)
 
 
-def _join_classes(docs: DataFrame, number: dict[bytes, int], counts: np.ndarray, cls: np.ndarray,
+def _join_classes(docs: DataFrame, listed: pa.Array, counts: np.ndarray, cls: np.ndarray,
                   g: np.ndarray, n_classes: int) -> np.ndarray:
     """Classes of all listed words: those of the clustered ones, and for the
     others the class that makes their neighbours in the whole corpus likeliest."""
-    spark, n, c = docs.sparkSession, len(number), n_classes + 2
+    spark, n, c = docs.sparkSession, len(listed), n_classes + 2
     known = len(cls)
     full = np.concatenate([cls, np.full(n - known, n_classes), [n_classes, n_classes + 1]]).astype(np.int64)
     if n == known:
         return full
     trans = np.log(_transitions(g))
     weight = -np.log(g.sum(0)[:n_classes] + 1)
-    held = spark.sparkContext.broadcast((number, full, trans, weight, counts))
+    held = spark.sparkContext.broadcast((listed, full, trans, weight, counts))
 
     def count(batches):
-        number, full, *_ = held.value
-        for ids in _sequences(batches, number, n, n + 1):
+        listed, full, *_ = held.value
+        for ids in _sequences(batches, listed):
             new = (ids >= known) & (ids < n)
             at = np.flatnonzero(new)                       # an end stands at both sides of every sequence
             k = np.concatenate([ids[at] * 2 * c + full[ids[at + 1]], ids[at] * 2 * c + c + full[ids[at - 1]]])
@@ -232,14 +234,14 @@ class Model:
     """What scoring broadcasts: listed words, their classes, log probabilities.
     ``counts`` and ``classes`` end with two more entries: other words, the end."""
 
-    def __init__(self, number: dict[bytes, int], counts: np.ndarray, ends: int, classes: np.ndarray,
+    def __init__(self, listed: pa.Array, counts: np.ndarray, ends: int, classes: np.ndarray,
                  transitions: np.ndarray, total: int, distinct: int):
-        self.number, self.classes, self.ends = number, classes, ends
+        self.listed, self.classes, self.ends = listed, classes, ends
         self.transitions = np.log10(transitions)
         self.total, self.distinct = total, distinct                            # N and V
         n = np.append(counts, [0, ends]).astype(float)
         per_class = np.bincount(classes, weights=n, minlength=len(transitions))
-        self.other_size = (total - n.sum()) + (distinct - len(number) - (ends > 0)) + 1
+        self.other_size = (total - n.sum()) + (distinct - len(listed) - (ends > 0)) + 1
         self.emission = np.log10(np.maximum(n, 1) / np.maximum(per_class[classes], 1))
         self.emission[-2] = 0.0                            # added per word: (c + 1) / other_size
         self.base_size = total + distinct + 1
@@ -252,27 +254,26 @@ def train(docs: DataFrame, n_classes: int = CLASSES, clustered: int = CLUSTERED,
     """The model of the training ``docs``, and the stored exact counts of all their words."""
     vocabulary = store(count_words(docs), "vocabulary")
     r = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = vocabulary.where((F.octet_length("word") > 0) & (F.col("c") >= least_count)).orderBy(F.desc("c"), "word").limit(listed).toArrow()
-    words, counts = top["word"].to_pylist(), np.asarray(top["c"]).astype(np.int64)
-    number = {w: i for i, w in enumerate(words)}
+    top = (vocabulary.where((F.octet_length("word") > 0) & (F.col("c") >= least_count))
+           .orderBy(F.desc("c"), F.col("word").cast("binary")).limit(listed).toArrow())
+    words, counts = top["word"].combine_chunks().cast(pa.string()), np.asarray(top["c"]).astype(np.int64)
     ends = vocabulary.where(F.octet_length("word") == 0).select("c").first()
     ends = ends.c if ends else 0
     k = min(clustered, len(words))
-    few = dict(list(number.items())[:k])
-    bigrams = _pair_counts(docs, few, None, k + 2)
+    bigrams = _pair_counts(docs, words[:k], None, k + 2)
     cls = exchange(bigrams, k, n_classes)
     one = np.eye(n_classes + 2)[np.concatenate([cls, [n_classes, n_classes + 1]]).astype(int)]
-    full = _join_classes(docs, number, counts, cls, one.T @ bigrams @ one, n_classes)
-    g = _pair_counts(docs, number, full, n_classes + 2)
-    return Model(number, counts, ends, full, _transitions(g), r[0], r[1]), vocabulary
+    full = _join_classes(docs, words, counts, cls, one.T @ bigrams @ one, n_classes)
+    g = _pair_counts(docs, words, full, n_classes + 2)
+    return Model(words, counts, ends, full, _transitions(g), r[0], r[1]), vocabulary
 
 
 def score(docs: DataFrame, model: Model, vocabulary: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_tokens, n_known, train_tokens, base_score, score and perplexity per row."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col("text").cast("binary").alias("_text"))
-    rare = T.ArrayType(T.StructType([T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())]))
+    rows = docs.select(*keep, F.col("text").alias("_text"))
+    rare = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())]))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("_row", T.LongType()),
                            T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()),
                            T.StructField("base", T.DoubleType()), T.StructField("own", T.DoubleType()),
@@ -280,24 +281,28 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, keep: tuple[str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = held.value
-        get, nth, end = m.number.get, TaskContext.get().partitionId() << 40, len(m.classes) - 1
-        rest = end - 1
-        for b in (x.slice(a, ROWS) for x in batches for a in range(0, x.num_rows, ROWS)):
-            out, rare = [], []
-            for t in text_bytes(b, "_text"):
-                words = words_of(t)
-                ids = np.array([get(w, rest) for w in words] + [end], np.int64)
-                cls = m.classes[ids]
-                own = m.transitions[np.concatenate([[m.classes[end]], cls[:-1]]), cls].sum() + m.emission[ids].sum()
-                known = int((ids < rest).sum()) + (m.ends > 0)
-                out.append((nth, len(ids), known, m.base[ids].sum(), own))
-                rare.append(list(Counter(words[i] for i in np.flatnonzero(ids == rest)).items()))
-                nth += 1
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns[:-1], *(pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)),
-                     pa.array(rare, pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))], names=schema.names)
+        nth, end = TaskContext.get().partitionId() << 40, len(m.classes) - 1
+        for b in (x for y in batches for x in lots(y, "_text", LOT)):
+            words, row = split(b, "_text")
+            number = numbers(words, m.listed)
+            ids = with_ends(number, row, b.num_rows, end)
+            cls = m.classes[ids]
+            n = np.bincount(row, minlength=b.num_rows) + 1                     # tokens, the end included
+            first = np.cumsum(n) - n                                           # of each text, behind the end before it
+            own = np.add.reduceat(m.transitions[cls[:-1], cls[1:]] + m.emission[ids[1:]], first)
+            base = np.add.reduceat(m.base[ids[1:]], first)
+            other = number == end - 1
+            known = n - 1 - np.bincount(row[other], minlength=b.num_rows) + (m.ends > 0)
+            # rare words of each text with their counts
+            types = len(words.dictionary)
+            pairs, count = np.unique(row[other] * types + np.asarray(words.indices)[other], return_counts=True)
+            offsets = np.searchsorted(pairs, np.arange(b.num_rows + 1) * types)
+            rare = pa.StructArray.from_arrays([words.dictionary.take(pa.array(pairs % max(types, 1))), pa.array(count, pa.int64())],
+                                              names=["word", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:-1], pa.array(nth + np.arange(b.num_rows)), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
+                 pa.array(base), pa.array(own), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rare)], names=schema.names)
+            nth += b.num_rows
 
     part = store(rows.mapInArrow(run, schema), "scores")
     tail = (part.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.n")

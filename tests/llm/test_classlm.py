@@ -68,14 +68,15 @@ def test_probabilities_sum_to_one_and_rare_words_count_exactly(spark, clustered,
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     model, vocabulary = classlm.train(df, n_classes=3, clustered=clustered, listed=listed)
     counts = Counter(w for t in texts for w in words(t))
-    assert {bytes(r.word).decode(): r.c for r in vocabulary.collect()} == {**counts, "": len(texts)}
+    assert {r.word: r.c for r in vocabulary.collect()} == {**counts, "": len(texts)}
     # after any class: all known words, the end, and one unseen word
     every = [*counts, "never seen before"[:5]]
     one = spark.createDataFrame([(w,) for w in every], "text string")
     rows = classlm.score(one, model, vocabulary, keep=("text",)).collect()
     end = len(model.classes) - 1
     for r in rows:                                         # P(w | start) P(end | w): divide by the second factor
-        cls = model.classes[model.number.get(r.text.encode(), end - 1)]
+        listed = model.listed.to_pylist()
+        cls = model.classes[listed.index(r.text) if r.text in listed else end - 1]
         r_end = model.transitions[cls, model.classes[end]] + model.emission[end]
         every[every.index(r.text)] = 10 ** (r.score - r_end)
     total = sum(every) + 10 ** (model.transitions[model.classes[end], model.classes[end]] + model.emission[end])
