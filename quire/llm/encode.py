@@ -152,7 +152,7 @@ class Encoder:
 
     def many(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text of a string array (null as empty), without the end id."""
-        for part in lots(pa.RecordBatch.from_arrays([pc.fill_null(texts, "")], names=["text"]), "text", LOT):
+        for part in lots(pa.RecordBatch.from_arrays([pc.fill_null(texts.cast(pa.string()), "")], names=["text"]), "text", LOT):
             yield from self._lot(part.column(0))
             pa.default_memory_pool().release_unused()
 
