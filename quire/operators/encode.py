@@ -51,9 +51,9 @@ def hashed_term_weights(df: DataFrame, key: str, text_col: str, dim: int = 256)
     of every row. The row is encoded where it stands and its non-zero buckets
     exploded, so nothing is shuffled, however often a key occurs."""
     tf = _bincount(dim, normalise=False)(token_buckets(text_col, dim))
-    x = df.select(key, tf.alias("_v"))
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, v: a + v * v))
-    x = x.select(key, norm.alias("_n"), F.posexplode("_v").alias("bucket", "_tf")).where(F.col("_tf") > 0)
+    x = df.select(key, tf.alias("_v")).select(key, "_v", norm.alias("_n"))      # once per row, below the explode
+    x = x.select(key, "_n", F.posexplode("_v").alias("bucket", "_tf")).where(F.col("_tf") > 0)
     return x.select(key, "bucket", F.col("_tf").cast("bigint").alias("tf"), (F.col("_tf") / F.col("_n")).alias("weight"))
 
 

@@ -143,7 +143,8 @@ def tenths(vec):
 
 def _scored(spark, d):
     e = table(spark, d, "embeddings")
-    return e.select("vec_id", "label", metrics.softmax(tenths("embedding")).alias("probs"))
+    e = e.select("vec_id", "label", tenths("embedding").alias("s"))            # a column of its own: made once per row
+    return e.select("vec_id", "label", metrics.softmax("s").alias("probs"))
 
 
 @register("top_n", _SCORES_SQL + """
