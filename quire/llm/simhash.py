@@ -216,15 +216,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS,
                     keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns, ``fp`` and ``component_id`` (the smallest doc_id
-    reachable over links, its own included) per row of ``docs``."""
+    """``keep`` columns, ``fp``, ``root`` (the smallest fingerprint of the
+    component, which tells components apart) and ``component_id`` (the smallest
+    doc_id reachable over links, its own included) per row of ``docs``."""
     rows = store(fingerprints(docs, shingle, keep), "fingerprints")
     distinct = store(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct")
     linked = components(links(distinct, distinct.count(), bits))
     roots = linked.select(F.col("node").alias("fp"), "root")
     named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = store(named.join(least, "root").select("fp", "component_id"), "named")
+    named = store(named.join(least, "root").select("fp", "root", "component_id"), "named")
     return rows.join(named, "fp")
 
 
@@ -241,7 +242,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataF
     marked = marked.withColumn(tag, row)
     found = near_duplicates(marked.select("doc_id", "text", F.col(tag).alias("row_hash")), shingle, bits,
                             ("doc_id", "row_hash"))
-    least = (found.groupBy("component_id")
+    least = (found.groupBy("root")                         # components can share a component_id, null included
              .agg(F.min(F.struct(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).cast("int").alias("k") * -1,
                                  "doc_id", "row_hash")).alias("x")))
     least = least.select(F.col("x.doc_id").alias("_id"), F.col("x.row_hash").alias("_hash"))

@@ -197,6 +197,13 @@ def test_keep_one(spark):
     assert sorted((r.doc_id or -1, r.text[:5]) for r in got) == [(-1, "alone"), (2, "one t"), (7, "other")]
 
 
+def test_keep_one_of_components_that_share_an_id(spark):
+    one, two = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(None, "alone"), (None, "another text"), (5, one), (9, one), (5, two), (7, two)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == sorted([(-1, "alone"), (-1, "another text"), (5, one), (5, two)])
+
+
 def test_long_text_fingerprint():
     rng = np.random.default_rng(3)
     text = " ".join(map(str, rng.integers(0, 50, 5000)))
