@@ -7,16 +7,17 @@ The model of a text w1 .. wn followed by one end token is
 with classes from exchange clustering on the bigrams of all training
 documents. The ``CLUSTERED`` most frequent words are moved between classes,
 one word at a time, as long as the likelihood of the class bigrams rises. All
-further words down to rank ``LISTED`` then join the class that fits their
+further words seen twice or more then join the class that fits their
 neighbours in the whole corpus best (one exchange step for all words at once,
-in Spark). Rarer words, and all seen only once, are one more class, whose
-words are told apart by their exact counts. Transitions are smoothed with the class frequencies; the rare
+in Spark). Words seen once are one more class, whose words are told apart by
+their exact counts. Transitions are smoothed with the class frequencies; the rare
 class keeps room for words never seen, so a text's probabilities sum to one.
 
 Word counts, bigrams, word contexts and class transitions come from all
 training documents and are summed over shuffles; what the driver holds is
-bounded by ``CLUSTERED``, ``LISTED`` and ``CLASSES``. Counts of rare words
-are joined to the documents by word.
+bounded by ``CLUSTERED``, ``HELD`` and ``CLASSES``. Counts and classes of the
+words behind the ``HELD`` most frequent ones are a stored table, joined to the
+documents by word.
 
 Defined results: a null or empty text is one end token; ties in frequency go
 to the smaller word; repeated rows are scored (and learned from) each; a null
@@ -37,7 +38,8 @@ from pyspark.sql import types as T
 
 from .common import column, lots, store
 
-CLASSES, CLUSTERED, LISTED = 64, 1000, 200_000
+CLASSES, CLUSTERED = 64, 1000
+HELD = 200_000                        # the most frequent words, which tasks hold in memory; all others are joined by word
 LEAST_COUNT = 2                       # words seen once stay in the class of rare words: they stand for the unseen ones
 SWEEPS = 6                            # passes of the exchange over the clustered words at most
 PRIOR = 20.0                          # weight of the class frequencies in a transition
@@ -185,7 +187,7 @@ def _transitions(g: np.ndarray, prior: float = PRIOR) -> np.ndarray:
 
 
 def _join_classes(docs: DataFrame, listed: pa.Array, counts: np.ndarray, cls: np.ndarray,
-                  g: np.ndarray, n_classes: int) -> np.ndarray:
+                  trans: np.ndarray, weight: np.ndarray, n_classes: int) -> np.ndarray:
     """Classes of all listed words: those of the clustered ones, and for the
     others the class that makes their neighbours in the whole corpus likeliest."""
     spark, n, c = docs.sparkSession, len(listed), n_classes + 2
@@ -193,8 +195,6 @@ def _join_classes(docs: DataFrame, listed: pa.Array, counts: np.ndarray, cls: np
     full = np.concatenate([cls, np.full(n - known, n_classes), [n_classes, n_classes + 1]]).astype(np.int64)
     if n == known:
         return full
-    trans = np.log(_transitions(g))
-    weight = -np.log(g.sum(0)[:n_classes] + 1)
     held = spark.sparkContext.broadcast((listed, full, trans, weight, counts))
 
     def count(batches):
@@ -225,23 +225,167 @@ def _join_classes(docs: DataFrame, listed: pa.Array, counts: np.ndarray, cls: np
             value = m[:, :c] @ trans[:n_classes].T + m[:, c:] @ trans[:, :n_classes] + counts[words][:, None] * weight
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(value.argmax(1))], names=["w", "c"])
 
-    found = context.mapInArrow(run, "w long, c long").toArrow()                # at most LISTED rows
+    found = context.mapInArrow(run, "w long, c long").toArrow()                # at most HELD rows
     full[np.asarray(found["w"])] = np.asarray(found["c"])
     return full
 
 
+def _join_tail(docs: DataFrame, listed: pa.Array, full: np.ndarray, trans: np.ndarray, weight: np.ndarray,
+               n_classes: int, least_count: int) -> DataFrame:
+    """word, cls for the words that are not listed and seen ``least_count`` times:
+    the class that makes their neighbours likeliest, as for the listed ones."""
+    c = n_classes + 2
+    held = docs.sparkSession.sparkContext.broadcast((listed, full, trans, weight))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, full, *_ = held.value
+        for b in (x for y in batches for x in lots(y, size=LOT)):
+            words, row = split(b)
+            number = numbers(words, listed)
+            ids = with_ends(number, row, b.num_rows, len(listed) + 1)
+            other = np.flatnonzero(number == len(listed))
+            at = other + row[other] + 1
+            word = np.tile(np.asarray(words.indices)[other], 2)
+            k = np.concatenate([full[ids[at + 1]], c + full[ids[at - 1]]])
+            by = np.argsort(word, kind="stable")
+            types, starts = np.unique(word[by], return_index=True)
+            yield pa.RecordBatch.from_arrays(
+                [words.dictionary.take(pa.array(types)),
+                 pa.ListArray.from_arrays(pa.array(np.append(starts, len(by)), pa.int32()), pa.array(k[by], pa.int32()))], names=["word", "k"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, _, trans, weight = held.value
+
+        def best(words: pa.Array, m: np.ndarray) -> pa.RecordBatch:
+            n = m[:, :c].sum(1)
+            value = m[:, :c] @ trans[:n_classes].T + m[:, c:] @ trans[:, :n_classes] + n[:, None] * weight
+            often = n >= least_count
+            return pa.RecordBatch.from_arrays([words.filter(pa.array(often)), pa.array(value.argmax(1)[often], pa.int32())], names=["word", "cls"])
+
+        word, rest = None, None                            # the last word of a batch may go on in the next
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = column(b, "word").cast(pa.string()).dictionary_encode()
+            words, lists = rows.dictionary, column(b, "k")
+            of = np.repeat(np.asarray(rows.indices).astype(np.int64), np.asarray(pc.list_value_length(lists)))
+            m = np.bincount(of * 2 * c + np.asarray(lists.flatten()), minlength=len(words) * 2 * c).reshape(-1, 2 * c).astype(float)
+            if word is not None and word[0].as_py() == words[0].as_py():
+                m[0] += rest[0]
+            elif word is not None:
+                yield best(word, rest)
+            if len(words) > 1:
+                yield best(words[:-1], m[:-1])
+            word, rest = words[-1:], m[-1:].copy()
+        if word is not None:
+            yield best(word, rest)
+
+    return (docs.select("text").mapInArrow(contexts, "word string, k array<int>")
+            .repartition("word").sortWithinPartitions("word").mapInArrow(run, "word string, cls int"))
+
+
+def _others(words: pa.DictionaryArray, row: np.ndarray, number: np.ndarray, rows: int, n_listed: int) -> pa.ListArray:
+    """Per text: the words that are not listed, how often each stands there and at which word indices."""
+    first = np.searchsorted(row, np.arange(rows))
+    other = np.flatnonzero(number == n_listed)
+    types = max(len(words.dictionary), 1)
+    key = row[other] * types + np.asarray(words.indices)[other]
+    by = np.argsort(key, kind="stable")
+    pairs, starts, count = np.unique(key[by], return_index=True, return_counts=True)
+    places = (other - first[row[other]])[by]
+    at = pa.ListArray.from_arrays(pa.array(np.append(starts, len(by)), pa.int32()), pa.array(places, pa.int32()))
+    offsets = np.searchsorted(pairs, np.arange(rows + 1) * types)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(
+        [words.dictionary.take(pa.array(pairs % types)), pa.array(count, pa.int64()), at], names=["word", "n", "at"]))
+
+
+def _class_bytes(cls: np.ndarray, first: np.ndarray, needed: np.ndarray) -> pa.Array:
+    """The classes of each text, its end token included, as two bytes each; null where not ``needed``."""
+    cut = cls[1:].astype("<u2").tobytes()
+    upto = (2 * np.append(first, len(cls) - 1)).tolist()
+    return pa.array([cut[a:z] if x else None for a, z, x in zip(upto[:-1], upto[1:], needed.tolist(), strict=True)], pa.binary())
+
+
+def _refilled(batch: pa.RecordBatch, end: int) -> tuple[np.ndarray, ...]:
+    """Pairs of classes before and after the joined words got theirs: previous,
+    own, new previous, new own, and the row of each pair."""
+    texts = [x or b"" for x in column(batch, "seq").to_pylist()]
+    old = np.frombuffer(b"".join(texts), "<u2").astype(np.int64)
+    size = np.array([len(x) // 2 for x in texts], np.int64)
+    first = np.cumsum(size) - size
+    new = old.copy()
+    places = column(batch, "places")
+    per_row = np.asarray(pc.fill_null(pc.list_value_length(places), 0)).astype(np.int64)
+    flat = places.flatten()
+    at = flat.field("at")
+    n = np.asarray(pc.list_value_length(at)).astype(np.int64)
+    new[np.asarray(at.flatten()) + np.repeat(np.repeat(first, per_row), n)] = np.repeat(np.asarray(flat.field("cls")), n)
+    starts = first[size > 0]
+
+    def before(x: np.ndarray) -> np.ndarray:
+        out = np.concatenate([[end], x[:-1]])[:len(x)].astype(np.int64)
+        out[starts] = end
+        return out
+
+    return before(old), old, before(new), new, np.repeat(np.arange(len(size)), size)
+
+
+def _placed(part: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``_row`` and ``places``: the classes of the words joined by word, and where they stand."""
+    return (part.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.at")
+            .join(vocabulary.where("cls is not null").select("word", "cls"), "word")
+            .groupBy("_row").agg(F.collect_list(F.struct("cls", "at")).alias("places")))
+
+
+def _tail_pairs(docs: DataFrame, listed: pa.Array, full: np.ndarray, vocabulary: DataFrame, size: int) -> np.ndarray:
+    """What the classes of the words that are not listed change in the class bigrams."""
+    held = docs.sparkSession.sparkContext.broadcast((listed, full))
+    schema = "_row long, seq binary, rare array<struct<word: string, n: long, at: array<int>>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, full = held.value
+        nth = TaskContext.get().partitionId() << 40
+        for b in (x for y in batches for x in lots(y, size=LOT)):
+            words, row = split(b)
+            number = numbers(words, listed)
+            rare = _others(words, row, number, b.num_rows, len(listed))
+            n = np.bincount(row, minlength=b.num_rows) + 1
+            some = np.asarray(pc.list_value_length(rare)) > 0
+            seq = _class_bytes(full[with_ends(number, row, b.num_rows, len(listed) + 1)], np.cumsum(n) - n, some)
+            yield pa.RecordBatch.from_arrays([pa.array(nth + np.arange(b.num_rows)), seq, rare], names=["_row", "seq", "rare"])
+            nth += b.num_rows
+
+    part = store(docs.select("text").mapInArrow(run, schema), "places")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size * size, np.int64)
+        for b in batches:
+            a, x, new_a, new_x, _ = _refilled(b, size - 1)
+            total += np.bincount(new_a * size + new_x, minlength=size * size) - np.bincount(a * size + x, minlength=size * size)
+        k = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["k", "n"])
+
+    rows = part.select("_row", "seq").join(_placed(part, vocabulary), "_row").select("seq", "places")
+    return _matrix(rows.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), size)
+
+
 class Model:
     """What scoring broadcasts: listed words, their classes, log probabilities.
-    ``counts`` and ``classes`` end with two more entries: other words, the end."""
+    ``counts`` and ``classes`` end with two more entries: other words, the end.
+    ``tail`` has the count of each class in words that are not listed, and their number."""
 
     def __init__(self, listed: pa.Array, counts: np.ndarray, ends: int, classes: np.ndarray,
-                 transitions: np.ndarray, total: int, distinct: int):
+                 transitions: np.ndarray, total: int, distinct: int, tail: tuple[np.ndarray, int] | None = None):
         self.listed, self.classes, self.ends = listed, classes, ends
         self.transitions = np.log10(transitions)
         self.total, self.distinct = total, distinct                            # N and V
         n = np.append(counts, [0, ends]).astype(float)
         per_class = np.bincount(classes, weights=n, minlength=len(transitions))
-        self.other_size = (total - n.sum()) + (distinct - len(listed) - (ends > 0)) + 1
+        self.tail = tail is not None
+        in_tail, types = tail if self.tail else (np.zeros(len(transitions)), 0)
+        per_class = per_class + in_tail
+        self.log_class = np.log10(np.maximum(per_class, 1))
+        self.other_size = (total - n.sum() - in_tail.sum()) + (distinct - len(listed) - types - (ends > 0)) + 1
         self.emission = np.log10(np.maximum(n, 1) / np.maximum(per_class[classes], 1))
         self.emission[-2] = 0.0                            # added per word: (c + 1) / other_size
         self.base_size = total + distinct + 1
@@ -249,13 +393,16 @@ class Model:
         self.base[-2] = 0.0                                # added per word: (c + 1) / base_size
 
 
-def train(docs: DataFrame, n_classes: int = CLASSES, clustered: int = CLUSTERED, listed: int = LISTED,
-          least_count: int = LEAST_COUNT) -> tuple[Model, DataFrame]:
-    """The model of the training ``docs``, and the stored exact counts of all their words."""
+def train(docs: DataFrame, n_classes: int = CLASSES, clustered: int = CLUSTERED, listed: int | None = None,
+          least_count: int = LEAST_COUNT, held: int = HELD) -> tuple[Model, DataFrame]:
+    """The model of the training ``docs``, and the stored exact counts of all their words, with
+    the classes of those that the model doesn't list. All words seen ``least_count`` times have a
+    class, or the ``listed`` most frequent of them; the model lists ``held`` of them at most."""
     vocabulary = store(count_words(docs), "vocabulary")
     r = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = (vocabulary.where((F.octet_length("word") > 0) & (F.col("c") >= least_count))
-           .orderBy(F.desc("c"), F.col("word").cast("binary")).limit(listed).toArrow())
+    often = (vocabulary.where((F.octet_length("word") > 0) & (F.col("c") >= least_count))
+             .orderBy(F.desc("c"), F.col("word").cast("binary")))
+    top = often.limit(held if listed is None else min(held, listed)).toArrow()
     words, counts = top["word"].combine_chunks().cast(pa.string()), np.asarray(top["c"]).astype(np.int64)
     ends = vocabulary.where(F.octet_length("word") == 0).select("c").first()
     ends = ends.c if ends else 0
@@ -263,9 +410,40 @@ def train(docs: DataFrame, n_classes: int = CLASSES, clustered: int = CLUSTERED,
     bigrams = _pair_counts(docs, words[:k], None, k + 2)
     cls = exchange(bigrams, k, n_classes)
     one = np.eye(n_classes + 2)[np.concatenate([cls, [n_classes, n_classes + 1]]).astype(int)]
-    full = _join_classes(docs, words, counts, cls, one.T @ bigrams @ one, n_classes)
+    g = one.T @ bigrams @ one
+    trans, weight = np.log(_transitions(g)), -np.log(g.sum(0)[:n_classes] + 1)
+    full = _join_classes(docs, words, counts, cls, trans, weight, n_classes)
     g = _pair_counts(docs, words, full, n_classes + 2)
-    return Model(words, counts, ends, full, _transitions(g), r[0], r[1]), vocabulary
+    tail = None
+    if len(words) == held and (listed is None or listed > held):
+        found = _join_tail(docs, words, full, trans, weight, n_classes, least_count)
+        if listed is not None:
+            found = found.join(often.limit(listed).select("word"), "word", "left_semi")
+        vocabulary = store(vocabulary.join(found, "word", "left"), "classes")
+        in_tail, types = np.zeros(n_classes + 2), 0
+        for x in vocabulary.where("cls is not null").groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
+            in_tail[x.cls] = x.c
+            types += x.n
+        tail = in_tail, types
+        g = g + _tail_pairs(docs, words, full, vocabulary, n_classes + 2)
+    else:
+        vocabulary = vocabulary.withColumn("cls", F.lit(None).cast("int"))
+    return Model(words, counts, ends, full, _transitions(g), r[0], r[1], tail), vocabulary
+
+
+def _refined(part: DataFrame, vocabulary: DataFrame, held, size: int) -> DataFrame:
+    """``_row`` and ``fix``: what the classes of the words joined by word change in the score of a text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m: Model = held.value
+        for b in batches:
+            a, x, new_a, new_x, row = _refilled(b, size - 1)
+            change = m.transitions[new_a, new_x] - m.transitions[a, x]
+            change -= np.where(new_x != x, m.log_class[new_x], 0.0)            # the place of a joined word: P(word | class)
+            fix = np.bincount(row, weights=change, minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([column(b, "_row"), pa.array(fix)], names=["_row", "fix"])
+
+    rows = part.select("_row", "seq").join(_placed(part, vocabulary), "_row")
+    return rows.mapInArrow(run, "_row long, fix double")
 
 
 def score(docs: DataFrame, model: Model, vocabulary: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -273,11 +451,12 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, keep: tuple[str,
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(model)
     rows = docs.select(*keep, F.col("text").alias("_text"))
-    rare = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType())]))
+    rare = T.ArrayType(T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType()),
+                                     T.StructField("at", T.ArrayType(T.IntegerType()))]))
     schema = T.StructType([*rows.schema.fields[:-1], T.StructField("_row", T.LongType()),
                            T.StructField("n_tokens", T.LongType()), T.StructField("known", T.LongType()),
                            T.StructField("base", T.DoubleType()), T.StructField("own", T.DoubleType()),
-                           T.StructField("rare", rare)])
+                           T.StructField("seq", T.BinaryType()), T.StructField("rare", rare)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = held.value
@@ -293,26 +472,31 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, keep: tuple[str,
             base = np.add.reduceat(m.base[ids[1:]], first)
             other = number == end - 1
             known = n - 1 - np.bincount(row[other], minlength=b.num_rows) + (m.ends > 0)
-            # rare words of each text with their counts
-            types = len(words.dictionary)
-            pairs, count = np.unique(row[other] * types + np.asarray(words.indices)[other], return_counts=True)
-            offsets = np.searchsorted(pairs, np.arange(b.num_rows + 1) * types)
-            rare = pa.StructArray.from_arrays([words.dictionary.take(pa.array(pairs % max(types, 1))), pa.array(count, pa.int64())],
-                                              names=["word", "n"])
+            rare = _others(words, row, number, b.num_rows, end - 1)
+            some = (np.asarray(pc.list_value_length(rare)) > 0) & m.tail
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(nth + np.arange(b.num_rows)), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
-                 pa.array(base), pa.array(own), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rare)], names=schema.names)
+                 pa.array(base), pa.array(own), _class_bytes(cls, first, some), rare], names=schema.names)
             nth += b.num_rows
 
     part = store(rows.mapInArrow(run, schema), "scores")
+    log = F.col("n") * F.log10("c")
     tail = (part.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.n")
             .join(vocabulary, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
             .groupBy("_row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known2"), F.sum("n").alias("n2"),
-                                 F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log2")))
-    n2, log2 = F.coalesce("n2", F.lit(0)), F.coalesce("log2", F.lit(0.0))
-    both = part.drop("rare").join(tail, "_row", "left").select(
+                                 F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log2"),
+                                 # words with a class: P(word | class) has no room for new ones
+                                 F.sum(F.when(F.col("cls").isNotNull(), log).otherwise(F.col("n") * F.log10(F.col("c") + 1))).alias("log3"),
+                                 F.sum(F.when(F.col("cls").isNull(), F.col("n")).otherwise(0)).alias("n3")))
+    both = part.drop("rare", "seq").join(tail, "_row", "left")
+    if model.tail:
+        both = both.join(_refined(part, vocabulary, held, len(model.transitions)), "_row", "left")
+    else:
+        both = both.withColumn("fix", F.lit(0.0))
+    n2, log2, n3, log3 = (F.coalesce(k, F.lit(0.0) if k[0] == "l" else F.lit(0)) for k in ("n2", "log2", "n3", "log3"))
+    both = both.select(
         *keep, "n_tokens", (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"),
         F.lit(model.total).cast("long").alias("train_tokens"),
         (F.col("base") + log2 - n2 * F.lit(float(np.log10(model.base_size)))).alias("base_score"),
-        (F.col("own") + log2 - n2 * F.lit(float(np.log10(model.other_size)))).alias("score"))
+        (F.col("own") + F.coalesce("fix", F.lit(0.0)) + log3 - n3 * F.lit(float(np.log10(model.other_size)))).alias("score"))
     return both.withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")))

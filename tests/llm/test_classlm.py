@@ -87,6 +87,32 @@ def test_probabilities_sum_to_one_and_rare_words_count_exactly(spark, clustered,
         assert (r.n_tokens, r.n_known, r.train_tokens) == (tokens, known, n) and abs(r.base_score - score) < 1e-9
 
 
+@pytest.mark.parametrize("held", [5, 6])
+def test_repeated_words_have_classes_however_few_the_tasks_hold(spark, held):
+    texts = ["a b c d e f", "a b a b c g", "g h i a", "a a b h g h", "j k a b e f e", None, "", "E F  g\tH"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    all_held, v1 = classlm.train(df, n_classes=3, clustered=4)
+    some_held, v2 = classlm.train(df, n_classes=3, clustered=4, held=held)
+    assert len(some_held.listed) == held < len(all_held.listed)
+    classes = dict(zip(some_held.listed.to_pylist(), some_held.classes.tolist(), strict=False))
+    classes |= {r.word: r.cls for r in v2.collect() if r.cls is not None}
+    assert set(classes) == set(all_held.listed.to_pylist())                    # every word seen twice
+    # the model by hand: bigrams of classes, then each text's probabilities
+    c, end, counts = 5, 4, Counter(w for t in texts for w in words(t))
+    seqs = [[end, *(classes.get(w, 3) for w in words(t)), end] for t in texts]
+    g = np.zeros((c, c))
+    for x in seqs:
+        np.add.at(g, (x[:-1], x[1:]), 1)
+    trans, size = classlm._transitions(g), Counter(x for s in seqs for x in s[1:])
+    once = [w for w in counts if w not in classes]
+    for r in classlm.score(df, some_held, v2).collect():
+        t, s = words(texts[r.doc_id]), seqs[r.doc_id]
+        want = sum(math.log10(trans[a, b]) for a, b in zip(s[:-1], s[1:], strict=True))
+        want += sum(math.log10(counts[w] / size[classes[w]] if w in classes else 2 / (2 * len(once) + 1)) for w in t)
+        want += math.log10(len(texts) / size[end])
+        assert abs(r.score - want) < 1e-9 and r.n_known == r.n_tokens
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b", 1), (1, "a b", 1), (None, "c", 2), (2, None, 3), (3, "w " * 100_000, 4), (3, "", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
