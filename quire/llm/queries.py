@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classlm, decontaminate, licenses, packing, pseudonyms, quality, simhash, tokenfile, topk, warc, whitening
+from . import classlm, decontaminate, licenses, minhash, packing, pseudonyms, quality, simhash, tokenfile, topk, warc, whitening
 from .common import fold, read
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -68,13 +68,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).drop("url")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = minhash.near_duplicates(docs, minhash.fingerprints(docs))
+    return found.select("doc_id", "n_chars", *[F.lower(F.hex(c)).alias(n) for c, n in (
+        ("edited_sha256", "edited_sha256"), ("fp", "fingerprint"), ("edited_fp", "edited_fingerprint"))],
+        "near_edited", "near_next", "component_id")
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_decontaminate, op3_pseudonyms, op4_packing, op5_topk, op6_tokenfile,
-                            op7_classlm, op8_simhash, op9_licenses, op10_warc, op12_whitening)}
+                            op7_classlm, op8_simhash, op9_licenses, op10_warc, op11_minhash,
+                            op12_whitening)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
