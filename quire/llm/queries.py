@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classlm, decontaminate, licenses, minhash, packing, pseudonyms, quality, simhash, tokenfile, topk, warc, whitening
+from . import classlm, conversations, decontaminate, licenses, minhash, packing, pseudonyms, quality, simhash, tokenfile, topk, warc, whitening
 from .common import fold, read
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -80,10 +80,15 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damage(rows), rows)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality, op2_decontaminate, op3_pseudonyms, op4_packing, op5_topk, op6_tokenfile,
                             op7_classlm, op8_simhash, op9_licenses, op10_warc, op11_minhash,
-                            op12_whitening)}
+                            op12_whitening, op13_conversations)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
