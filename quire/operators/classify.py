@@ -1,8 +1,10 @@
 """Linear category classifiers and their evaluation (M4-M8).
 
-``pyspark.ml`` does the fitting: each L-BFGS iteration is one distributed
-``treeAggregate`` over the cached training table, so the data never moves to
-the driver; only the coefficient vectors do (k x dim doubles).
+One-vs-rest fits go through :mod:`.linear`: all classes share one scan of the
+training table per iteration, smooth losses by L-BFGS and the others by the
+stochastic solver. ``solver="ml"`` fits a ``pyspark.ml`` estimator per class
+instead (log loss and hinge); the multinomial strategy is ``pyspark.ml``'s.
+The data never moves to the driver; only the coefficients do (k x dim doubles).
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import metrics
+from . import linear, metrics
 
 # Smallest stored size per partition of a table that a fit scans once per
 # iteration: below it the per-task overhead of every iteration dominates.
@@ -36,11 +38,18 @@ class ClassifierSpec:
     alpha: float = 1e-4
     fit_intercept: bool = True
     strategy: str = "ovr"          # "ovr" (one-vs-rest, as the reference) or "multinomial"
-    parallelism: int = 4           # binary fits run concurrently in one-vs-rest
+    parallelism: int = 4           # binary fits run concurrently in one-vs-rest (solver "ml")
+    solver: str = "auto"           # "block" (L-BFGS), "sgd" (any loss), "ml", or "auto": block for smooth losses, else sgd
+    seed: int = 1234               # deals out the rows of the stochastic solver
+
+    def one_vs_rest_solver(self) -> str:
+        if self.solver not in ("auto", "block", "sgd", "ml"):
+            raise ValueError(f"solver {self.solver!r} is not 'auto', 'block', 'sgd' or 'ml'")
+        return self.solver if self.solver != "auto" else "block" if linear.LOSSES[linear.loss_name(self.loss)][2] else "sgd"
 
 
 def binary_estimator(spec: ClassifierSpec, features: str = "features", label: str = "code"):
-    """M4 / M8: the per-class estimator for a loss name."""
+    """M4 / M8: the per-class ``pyspark.ml`` estimator for a loss name."""
     if spec.loss in ("log_loss", "log"):
         return LogisticRegression(featuresCol=features, labelCol=label, regParam=spec.alpha,
                                   elasticNetParam=0.0, maxIter=spec.max_iter, tol=spec.tol,
@@ -50,7 +59,7 @@ def binary_estimator(spec: ClassifierSpec, features: str = "features", label: st
         return LinearSVC(featuresCol=features, labelCol=label, regParam=spec.alpha,
                          maxIter=spec.max_iter, tol=spec.tol, fitIntercept=spec.fit_intercept,
                          standardization=False)
-    raise ValueError(f"loss {spec.loss!r} is not built; use 'log_loss' or 'hinge'")
+    raise ValueError(f"pyspark.ml has no estimator for the loss {spec.loss!r}; use 'log_loss' or 'hinge', or another solver")
 
 
 def to_vector(df: DataFrame, array_col: str, out: str = "features") -> DataFrame:
@@ -67,6 +76,15 @@ def fit(train: DataFrame, spec: ClassifierSpec, features: str = "features", labe
                                  maxIter=spec.max_iter, tol=spec.tol, fitIntercept=spec.fit_intercept,
                                  standardization=False, family="multinomial")
         return est.fit(train)
+    solver = spec.one_vs_rest_solver()
+    if solver != "ml":
+        x, y = vector_to_array(features), F.col(label)
+        if solver == "sgd":
+            keyed = train.withColumn("_key", F.monotonically_increasing_id())
+            return linear.fit_sgd(keyed, F.col("_key"), x, y, [spec.loss], spec.alpha, spec.tol, spec.max_iter, spec.fit_intercept,
+                                  seed=spec.seed, name=features)[linear.loss_name(spec.loss)]
+        return linear.fit_block(linear.training_rows(train, x, y), spec.loss, spec.alpha, spec.tol, spec.max_iter, spec.fit_intercept,
+                                features=features)["all"]
     ovr = OneVsRest(classifier=binary_estimator(spec, features, label), featuresCol=features,
                     labelCol=label, parallelism=spec.parallelism)
     return ovr.fit(train)
@@ -88,9 +106,13 @@ def train_test(train: DataFrame, test: DataFrame, spec: ClassifierSpec, label: s
     row (also one whose code lies between those of training classes) gets
     probability 0, is in no top n, and is counted in ``n_unseen``."""
     codes = [r[0] for r in train.select(F.col(label).cast("bigint")).distinct().collect()]   # one row per class
-    seen = F.array(*[F.lit(c) for c in sorted(codes)])
     model = fit(train, spec, features, label)
-    scored = predict_proba(model, test, spec)
+    return score(predict_proba(model, test, spec), codes, label)
+
+
+def score(scored: DataFrame, codes: list[int], label: str = "code", by: tuple[str, ...] = ()) -> DataFrame:
+    """M6's row (one per ``by``) from ``probs`` of a fit on the classes ``codes``."""
+    seen = F.array(*[F.lit(c).cast("bigint") for c in sorted(codes)])
     scored = scored.withColumn("probs", metrics.mask_unseen("probs", seen))
     unseen = F.sum((~metrics.is_label("probs", label, seen)).cast("long")).alias("n_unseen")
-    return metrics.score_table(scored, "probs", label, extra=[unseen], seen=seen)
+    return metrics.score_table(scored, "probs", label, extra=[unseen], seen=seen, by=by)

@@ -5,9 +5,9 @@ or a ``mapInPandas`` batch function. The default encoder needs no model
 download: whitespace tokens, bucket = first 8 hex digits of ``md5(token)`` mod
 ``dim``, weight = term count / L2 norm of the counts.
 
-Both forms of the default encoder work in the row, without any shuffle: the
-bucket ids are computed JVM-side (``transform`` + ``md5``), the counts of a
-whole Arrow batch are one ``bincount`` in a pandas UDF.
+Both forms of the default encoder work in the row, without any shuffle: an
+Arrow UDF splits the texts, hashes each distinct token of a batch once and
+counts the buckets of many rows together.
 
 * :func:`hashed_embedding` - dense ``array<double>`` per row;
 * :func:`hashed_term_weights` - sparse ``(id, bucket, tf, weight)`` rows.
@@ -15,13 +15,15 @@ whole Arrow batch are one ``bincount`` in a pandas UDF.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.categories import category_tokens
 from ..functions.text import blank_if_null
 from .lookup import small_side
 
@@ -36,54 +38,88 @@ MAX_DIM = 1 << 31
 
 def token_bucket(tok, dim: int) -> Column:
     """Bucket of one token: first 8 hex digits of its md5, mod ``dim``."""
+    _check(dim)
+    return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+
+
+def _check(dim: int) -> None:
     if not 0 < dim <= MAX_DIM:
         raise ValueError(f"dim must be 1 to {MAX_DIM}, not {dim}")
-    return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
 
 
-def token_buckets(text, dim: int) -> Column:
-    """Bucket id of every whitespace token of ``text`` (NULL text -> no tokens)."""
-    return F.transform(category_tokens(blank_if_null(text)), lambda t: token_bucket(t, dim))
+class _Buckets(dict):
+    """Token -> bucket; a distinct token of a batch is hashed once."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        self[token] = b = int.from_bytes(hashlib.md5(token.encode()).digest()[:4], "big") % self.dim
+        return b
+
+
+def _counted(texts: pa.Array, dim: int, rows: int = 500) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For a few texts at a time: their number, and the row and bucket of every token."""
+    known = _Buckets(dim)
+    for a in range(0, len(texts), rows):
+        tokens = [t.split() for t in texts.slice(a, rows).to_pylist()]
+        size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        bucket = np.fromiter((known[w] for t in tokens for w in t), np.int64, int(size.sum()))
+        yield len(tokens), np.repeat(np.arange(len(tokens)), size), bucket
+
+
+# Both encoders are deterministic in fact; flagged otherwise so that Catalyst
+# never copies the Python call into an inferred filter (an explode adds
+# ``size(v) > 0``), which would run them twice.
+def _sparse(dim: int):
+    cells = pa.list_(pa.struct([("bucket", pa.int32()), ("tf", pa.int64()), ("weight", pa.float64())]))
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("tf", T.LongType()),
+                                           T.StructField("weight", T.DoubleType())])))
+    def enc(texts: pa.Array) -> pa.Array:
+        keys, counts, sizes = [], [], []
+        for n, row, bucket in _counted(texts, dim):
+            key, tf = np.unique(row * dim + bucket, return_counts=True)
+            sizes.append(np.bincount(key // dim, minlength=n))
+            keys.append(key % dim)
+            counts.append(tf)
+        if not keys:
+            return pa.array([], cells)
+        size, tf = np.concatenate(sizes), np.concatenate(counts)
+        row = np.repeat(np.arange(len(size)), size)
+        norm = np.sqrt(np.bincount(row, weights=tf.astype(float) ** 2, minlength=len(size)))
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate(keys), pa.int32()), pa.array(tf, pa.int64()), pa.array(tf / norm[row])],
+                                          names=["bucket", "tf", "weight"])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat)
+    return enc.asNondeterministic()
+
+
+def _dense(dim: int):
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def enc(texts: pa.Array) -> pa.Array:
+        parts, step = [np.zeros(0)], max(1, min(500, (1 << 22) // dim))        # rows counted at once: 32 MB of counts
+        for n, row, bucket in _counted(texts, dim, step):
+            v = np.bincount(row * dim + bucket, minlength=n * dim).reshape(n, dim).astype(np.float64)
+            norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+            parts.append((v / np.where(norm > 0, norm, 1.0)).ravel())
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dim, pa.int32()), pa.array(np.concatenate(parts)))
+    return enc.asNondeterministic()
 
 
 def hashed_term_weights(df: DataFrame, key: str, text_col: str, dim: int = 256) -> DataFrame:
     """M1 sparse form: ``(key, bucket, tf, weight)`` for every non-empty bucket
-    of every row. The row is encoded where it stands and its non-zero buckets
-    exploded, so nothing is shuffled, however often a key occurs."""
-    tf = _bincount(dim, normalise=False)(token_buckets(text_col, dim))
-    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda a, v: a + v * v))
-    x = df.select(key, tf.alias("_v")).select(key, "_v", norm.alias("_n"))      # once per row, below the explode
-    x = x.select(key, "_n", F.posexplode("_v").alias("bucket", "_tf")).where(F.col("_tf") > 0)
-    return x.select(key, "bucket", F.col("_tf").cast("bigint").alias("tf"), (F.col("_tf") / F.col("_n")).alias("weight"))
-
-
-def _bincount(dim: int, normalise: bool):
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def enc(buckets: pd.Series) -> pd.Series:
-        size = np.fromiter((0 if b is None else len(b) for b in buckets), np.int64, len(buckets))
-        out = []
-        step = max(1, (1 << 22) // dim)                    # rows counted at once: 32 MB of counts
-        for a in range(0, len(buckets), step):
-            n = size[a:a + step]
-            cells = [np.asarray(b, dtype=np.int64) for b in buckets.iloc[a:a + step] if b is not None and len(b)]
-            flat = np.concatenate(cells) if cells else np.zeros(0, np.int64)
-            v = np.bincount(np.repeat(np.arange(len(n)), n) * dim + flat, minlength=len(n) * dim)
-            v = v.reshape(len(n), dim).astype(np.float64)
-            if normalise:
-                norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
-                v /= np.where(norm > 0, norm, 1.0)
-            out += list(v)
-        return pd.Series(out, dtype=object)
-    # Deterministic in fact; flagged so Catalyst never copies the Python call
-    # into an inferred filter (posexplode adds ``size(v) > 0``), which would
-    # run the encoder twice.
-    return enc.asNondeterministic()
+    of every row. The row is encoded where it stands to its non-empty buckets
+    alone, which are exploded; nothing is shuffled, however often a key occurs."""
+    _check(dim)
+    return df.select(key, F.explode(_sparse(dim)(blank_if_null(text_col))).alias("_c")).select(key, "_c.bucket", "_c.tf", "_c.weight")
 
 
 def hashed_embedding(text, dim: int = 256) -> Column:
     """M1 dense form: L2-normalised hashed term counts, ``array<double>[dim]``;
     an empty text gives the zero vector."""
-    return _bincount(dim, normalise=True)(token_buckets(text, dim))
+    _check(dim)
+    return _dense(dim)(blank_if_null(text))
 
 
 def embed_columns(df: DataFrame, key: str, text_cols, dim: int = 256, encoder=None,

@@ -86,8 +86,8 @@ def accuracy(pred, label) -> Column:
 
 
 def score_table(df: DataFrame, probs: str, label: str, pred: str | None = None,
-                ns=(3, 5), extra=(), seen=None) -> DataFrame:
-    """M6 metrics in one aggregate: top1 (accuracy of ``pred`` or of the argmax),
+                ns=(3, 5), extra=(), seen=None, by=()) -> DataFrame:
+    """M6 metrics in one aggregate (a row per ``by``): top1 (accuracy of ``pred`` or of the argmax),
     top-n for each n, log-likelihood, perplexity = exp(-LL / N), row count."""
     top1 = accuracy(pred, label) if pred else F.avg(in_top_n(probs, label, 1, seen).cast("double"))
     aggs = [top1.alias("top1")]
@@ -95,7 +95,7 @@ def score_table(df: DataFrame, probs: str, label: str, pred: str | None = None,
         aggs.append(F.avg(in_top_n(probs, label, n, seen).cast("double")).alias(f"top{n}"))
     ll = F.sum(log_true_prob(probs, label))
     aggs += [ll.alias("loglikelihood"), F.count(F.lit(1)).alias("n"), *extra]
-    out = df.agg(*aggs)
+    out = df.groupBy(*by).agg(*aggs)
     return out.withColumn("perplexity", F.exp(-F.col("loglikelihood") / F.col("n")))
 
 

@@ -11,7 +11,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import classify, encode, ordering
+from ..operators import classify, encode, linear, metrics, ordering
 from ..session import materialize
 
 # --- fixed values: the reference's ablation feature sets ---------------------
@@ -51,14 +51,15 @@ def run_ablation(table: DataFrame, feature_sets: dict, spec: classify.Classifier
     """M7: one metrics row per feature set.
 
     ``table`` holds one array column per feature block plus ``code`` and
-    ``split``. It is checkpointed once (reliable storage, so a lost executor
-    re-reads it instead of recomputing the encoders), then each set is a
-    column concat + one fit. The loop is over configurations, not data: the
-    fits are submitted from driver threads (as
-    ``CrossValidator(parallelism=...)`` does), so the scheduler runs their
-    small per-iteration jobs side by side. ``binary_fits`` bounds the binary
-    fits that run at once over all sets (sets side by side x classes side by side).
+    ``split``. It is stored once (a lost executor re-reads it instead of
+    recomputing the encoders). With the block solver all classes of all sets
+    are then fitted and scored together: a scan per iteration, and one of the
+    test rows. With other solvers each set is a fit of its own; they are
+    submitted from driver threads, as ``CrossValidator(parallelism=...)`` does,
+    and ``binary_fits`` bounds the binary fits that run at once.
     """
+    if spec.strategy == "ovr" and spec.one_vs_rest_solver() == "block":
+        return _block_ablation(table, feature_sets, spec, label, split_col)
     base = materialize(table, "features", min_partition_bytes=classify.TRAIN_PARTITION_BYTES)
 
     def one(item):
@@ -78,6 +79,23 @@ def run_ablation(table: DataFrame, feature_sets: dict, spec: classify.Classifier
     return rows
 
 
+def _block_ablation(table: DataFrame, feature_sets: dict, spec: classify.ClassifierSpec, label: str, split_col: str) -> DataFrame:
+    blocks = list(dict.fromkeys(b for s in feature_sets.values() for b in s))
+    every = encode.concat_features(*blocks).alias("_x")
+    base = materialize(table.select(*[F.size(b).alias(f"_n{k}") for k, b in enumerate(blocks)], every, F.col(label).alias("code"),
+                                    F.col(split_col).alias("split")), "features", min_partition_bytes=classify.TRAIN_PARTITION_BYTES)
+    sizes = base.agg(*[F.max(f"_n{k}") for k in range(len(blocks))]).first()
+    ends = [sum(sizes[:k + 1]) for k in range(len(blocks))]
+    at = {b: (e - n, e) for b, e, n in zip(blocks, ends, sizes, strict=True)}
+    train = linear.training_rows(base.where("split = 'train'"), F.col("_x"), F.col("code"))
+    models = linear.fit_block(train, spec.loss, spec.alpha, spec.tol, spec.max_iter, spec.fit_intercept,
+                              sets={name: [at[b] for b in s] for name, s in feature_sets.items()})
+    test = base.where("split = 'test'").select("code", *[m.scores(F.col("_x")).alias(f"_s{k}") for k, m in enumerate(models.values())])
+    pairs = [F.struct(F.lit(name).alias("feature_set"), F.col(f"_s{k}").alias("raw")) for k, name in enumerate(models)]
+    scored = test.select("code", F.inline(F.array(*pairs))).withColumn("probs", metrics.ovr_probability("raw"))
+    return classify.score(scored, next(iter(models.values())).codes, by=("feature_set",))
+
+
 def write_results(results: DataFrame, out_dir: str, date: str | None = None) -> str:
     """Results as JSON under ``logistic-regression-classification-<date>``."""
     date = date or _dt.date.today().isoformat()

@@ -345,7 +345,7 @@ def ablation_scores(spark, d, feature_sets=None):
     from ..operators import classify
     from . import ablation
     prepared = materialize(ablation.prepare_positional(_documents(spark, d), "doc_id", "lang"), "prepared")
-    spec = classify.ClassifierSpec(**{**classify.ABLATION_PARAMS, "parallelism": 4})
+    spec = classify.ClassifierSpec(**classify.ABLATION_PARAMS)
     scores = ablation.run_ablation(doc_feature_table(prepared), feature_sets or ablation.FEATURE_SETS, spec)
     return scores, prepared.where(F.col("split") == "test")
 
@@ -381,3 +381,91 @@ def confusion_table(spark, d):
     corpus = table(spark, d, "documents").select(
         "doc_id", "text", F.concat(F.col("lang"), F.lit("."), F.col("source"), F.lit(" x.y")).alias("categories"))
     return run_summary(corpus, "doc_id", "text", "categories", encoder=lambda c: encode.hashed_embedding(c, 128))["percent"]
+
+
+# --------------------------------------------------------------------------
+# M4/M8: the stochastic solver with each loss. Shards, mini-batches and their
+# order follow from the hash of the key, so SQL can take the same steps: two
+# epochs of three mini-batches in two shards, ten classes at once.
+# --------------------------------------------------------------------------
+_SGD = dict(shards=2, batches=3, epochs=2, eta0=0.05, alpha=1e-3, seed=1234)
+_SLOPES_SQL = {
+    "hinge": "CASE WHEN 1 - y * p > 0 THEN -y ELSE 0 END",
+    "log_loss": "-y / (1 + exp(y * p))",
+    "modified_huber": "CASE WHEN y * p >= -1 THEN -2 * y * greatest(1 - y * p, 0) ELSE -4 * y END",
+    "squared_hinge": "-2 * y * greatest(1 - y * p, 0)",
+    "perceptron": "CASE WHEN y * p <= 0 THEN -y ELSE 0 END",
+    "squared_error": "p - y",
+    "huber": "greatest(least(p - y, 0.1::DOUBLE), -0.1::DOUBLE)",
+    "epsilon_insensitive": "CASE WHEN abs(p - y) > 0.1::DOUBLE THEN sign(p - y) ELSE 0 END",
+    "squared_epsilon_insensitive": "2 * sign(p - y) * greatest(abs(p - y) - 0.1::DOUBLE, 0)",
+}
+
+
+def _sgd_sql(loss: str) -> str:
+    """CTEs that end with ``w``: code, j (the intercept is the last one), v."""
+    shards, batches, epochs, eta0, alpha, seed = _SGD.values()
+    out = f"""
+WITH e AS (SELECT vec_id, label, CAST(('0x' || substr(md5('{seed}:' || vec_id), 1, 8)) AS BIGINT) % {shards} AS shard,
+                  CAST(('0x' || substr(md5('{seed}:' || vec_id), 9, 8)) AS BIGINT) % {batches} AS batch, embedding,
+                  (SELECT max(len(embedding)) FROM embeddings) AS d FROM embeddings),
+r AS MATERIALIZED (SELECT vec_id, label, shard, batch, d, unnest(range(0, d + 1)) AS j,
+                          CAST(unnest(list_append(embedding, 1)) AS DOUBLE) AS x FROM e),
+n AS (SELECT shard, count(*) AS n FROM e GROUP BY shard), m AS (SELECT shard, batch, count(*) AS m FROM e GROUP BY ALL),
+w0 AS MATERIALIZED (SELECT shard, code, j, 0::DOUBLE AS v FROM n, (SELECT DISTINCT label AS code FROM e), (SELECT DISTINCT j FROM r))"""
+    k = 0
+    for epoch in range(epochs):
+        for b in range(batches):
+            eta = f"({eta0}::DOUBLE / sqrt(1 + {epoch * batches + b}::DOUBLE / {batches}))"
+            out += f""",
+p{k} AS (SELECT vec_id, r.shard, code, CASE WHEN any_value(label) = code THEN 1::DOUBLE ELSE -1::DOUBLE END AS y, sum(x * v) AS p
+         FROM r JOIN w{k} w ON w.shard = r.shard AND w.j = r.j WHERE batch = {b} GROUP BY vec_id, r.shard, code),
+g{k} AS (SELECT r.shard, code, j, sum(x * s) / any_value(m) AS g, any_value(d) AS d
+         FROM r JOIN (SELECT vec_id, shard, code, {_SLOPES_SQL[loss]} AS s FROM p{k}) USING (vec_id, shard) JOIN m USING (shard, batch)
+         WHERE batch = {b} GROUP BY r.shard, code, j),
+w{k + 1} AS MATERIALIZED (SELECT shard, code, j, coalesce(v - {eta} * (g + CASE WHEN j < d THEN {alpha}::DOUBLE * v ELSE 0 END), v) AS v
+         FROM w{k} LEFT JOIN g{k} USING (shard, code, j))"""
+            k += 1
+        out += f""",
+a{epoch} AS MATERIALIZED (SELECT code, j, sum(v * n) / sum(n) AS v FROM w{k} JOIN n USING (shard) GROUP BY code, j),
+w{k + 1} AS MATERIALIZED (SELECT shard, code, j, v FROM a{epoch}, n)"""
+        k += 1
+    return out + f""",
+w AS (SELECT code, j, v FROM a{epochs - 1})"""
+
+
+def _sgd_model(spark, d, loss):
+    from ..operators import linear
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    models = linear.fit_sgd(e, F.col("vec_id"), F.col("x"), F.col("label"), [loss], alpha=_SGD["alpha"], max_iter=_SGD["epochs"],
+                            shards=_SGD["shards"], batches=_SGD["batches"], eta0=_SGD["eta0"], seed=_SGD["seed"])
+    return e, models[loss]
+
+
+def _register_sgd(loss):
+    @register(f"sgd_{loss}", _sgd_sql(loss) + """
+SELECT CAST(code AS INTEGER) AS code, CAST(j AS INTEGER) AS feature, round(v, 8) AS weight FROM w""")
+    def sgd_loss(spark, d):
+        m = _sgd_model(spark, d, loss)[1]
+        rows = [(c, j, float(v)) for c, w, b in zip(m.codes, m.weights, m.intercepts, strict=True) for j, v in enumerate([*w, b])]
+        return spark.createDataFrame(rows, "code int, feature int, weight double").withColumn("weight", F.round("weight", 8))
+
+
+for _loss in _SLOPES_SQL:
+    _register_sgd(_loss)
+
+
+@register("sgd_scores", _sgd_sql("log_loss") + """,
+s AS (SELECT vec_id, any_value(label) AS label, code AS i, 1 / (1 + exp(-sum(x * v))) AS g FROM r JOIN w USING (j) GROUP BY vec_id, code),
+q AS (SELECT vec_id, label, i, g / sum(g) OVER (PARTITION BY vec_id) AS p FROM s),
+t AS (SELECT vec_id, p AS pt FROM q WHERE i = label),
+k AS (SELECT q.vec_id, t.pt, count(*) FILTER (WHERE q.p > t.pt OR (q.p = t.pt AND q.i > q.label)) AS ahead FROM q JOIN t USING (vec_id) GROUP BY q.vec_id, t.pt)
+SELECT round(avg(CAST(ahead < 1 AS DOUBLE)), 6) AS top1, round(avg(CAST(ahead < 3 AS DOUBLE)), 6) AS top3,
+       round(avg(CAST(ahead < 5 AS DOUBLE)), 6) AS top5, round(sum(ln(pt)), 4) AS loglikelihood, count(*) AS n FROM k""")
+def sgd_scores(spark, d):
+    """M6 for the fixed-seed fit: its scores on all rows, not only bounds of them."""
+    from ..operators import classify
+    e, m = _sgd_model(spark, d, "log_loss")
+    scored = e.select(F.col("label").alias("code"), m.scores(F.col("x")).alias("raw"))
+    s = classify.score(scored.withColumn("probs", metrics.ovr_probability("raw")), m.codes)
+    return s.select(*[F.round(c, 6).alias(c) for c in ("top1", "top3", "top5")], F.round("loglikelihood", 4).alias("loglikelihood"), "n")
