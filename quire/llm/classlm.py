@@ -233,7 +233,8 @@ def _join_classes(docs: DataFrame, listed: pa.Array, counts: np.ndarray, cls: np
 def _join_tail(docs: DataFrame, listed: pa.Array, full: np.ndarray, trans: np.ndarray, weight: np.ndarray,
                n_classes: int, least_count: int) -> DataFrame:
     """word, cls for the words that are not listed and seen ``least_count`` times:
-    the class that makes their neighbours likeliest, as for the listed ones."""
+    the class that makes their neighbours likeliest, as for the listed ones.
+    ``full`` has the classes from before any word joined, which ``trans`` was made with."""
     c = n_classes + 2
     held = docs.sparkSession.sparkContext.broadcast((listed, full, trans, weight))
 
@@ -393,6 +394,22 @@ class Model:
         self.base[-2] = 0.0                                # added per word: (c + 1) / base_size
 
 
+def _most_frequent(often: DataFrame, n: int) -> pa.Table:
+    """The first ``n`` rows of the ordered word, c. The histogram of the counts names the count at which
+    they end, so only the words of that count are ranked and no task merges a part of all the others."""
+    taken, edge = 0, 0
+    # one row per distinct count: fewer than the square root of twice the tokens
+    for c, k in often.groupBy("c").count().orderBy(F.desc("c")).toLocalIterator():
+        if taken + k > n:
+            edge = c
+            break
+        taken += k
+    sure = often.where(F.col("c") > edge).toArrow()
+    if not edge or taken == n:
+        return sure
+    return pa.concat_tables([sure, often.where(F.col("c") == edge).limit(n - taken).toArrow()])
+
+
 def train(docs: DataFrame, n_classes: int = CLASSES, clustered: int = CLUSTERED, listed: int | None = None,
           least_count: int = LEAST_COUNT, held: int = HELD) -> tuple[Model, DataFrame]:
     """The model of the training ``docs``, and the stored exact counts of all their words, with
@@ -402,7 +419,7 @@ def train(docs: DataFrame, n_classes: int = CLASSES, clustered: int = CLUSTERED,
     r = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     often = (vocabulary.where((F.octet_length("word") > 0) & (F.col("c") >= least_count))
              .orderBy(F.desc("c"), F.col("word").cast("binary")))
-    top = often.limit(held if listed is None else min(held, listed)).toArrow()
+    top = _most_frequent(often, held if listed is None else min(held, listed))
     words, counts = top["word"].combine_chunks().cast(pa.string()), np.asarray(top["c"]).astype(np.int64)
     ends = vocabulary.where(F.octet_length("word") == 0).select("c").first()
     ends = ends.c if ends else 0
@@ -412,11 +429,12 @@ def train(docs: DataFrame, n_classes: int = CLASSES, clustered: int = CLUSTERED,
     one = np.eye(n_classes + 2)[np.concatenate([cls, [n_classes, n_classes + 1]]).astype(int)]
     g = one.T @ bigrams @ one
     trans, weight = np.log(_transitions(g)), -np.log(g.sum(0)[:n_classes] + 1)
+    before = np.concatenate([cls, np.full(len(words) - k, n_classes), [n_classes, n_classes + 1]]).astype(np.int64)
     full = _join_classes(docs, words, counts, cls, trans, weight, n_classes)
     g = _pair_counts(docs, words, full, n_classes + 2)
     tail = None
     if len(words) == held and (listed is None or listed > held):
-        found = _join_tail(docs, words, full, trans, weight, n_classes, least_count)
+        found = _join_tail(docs, words, before, trans, weight, n_classes, least_count)
         if listed is not None:
             found = found.join(often.limit(listed).select("word"), "word", "left_semi")
         vocabulary = store(vocabulary.join(found, "word", "left"), "classes")

@@ -113,6 +113,24 @@ def test_repeated_words_have_classes_however_few_the_tasks_hold(spark, held):
         assert abs(r.score - want) < 1e-9 and r.n_known == r.n_tokens
 
 
+def test_classes_and_scores_do_not_depend_on_how_many_words_tasks_hold(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+
+    def run(held):
+        model, vocabulary = classlm.train(docs, n_classes=16, clustered=100, held=held)
+        classes = dict(zip(model.listed.to_pylist(), model.classes.tolist(), strict=False))
+        classes |= {r.word: r.cls for r in vocabulary.where("cls is not null").collect()}
+        return len(model.listed), classes, {r.doc_id: (r.n_known, r.base_score, r.score) for r in classlm.score(docs, model, vocabulary).collect()}
+
+    n, classes, scores = run(classlm.HELD)
+    assert n == len(classes) > 3000
+    for held in (100, 500, 2500):
+        k, other, found = run(held)
+        assert k == held and other == classes
+        for i, (known, base, score) in scores.items():
+            assert found[i][0] == known and abs(found[i][1] - base) < 1e-7 and abs(found[i][2] - score) < 1e-9 * abs(score)
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b", 1), (1, "a b", 1), (None, "c", 2), (2, None, 3), (3, "w " * 100_000, 4), (3, "", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
