@@ -2,7 +2,8 @@
 
 Vectors of whole numbers are quantised per dimension into 256 equal cells
 between that dimension's smallest and largest value over all rows. The
-approximation file stores one byte per component. A search scans the cells,
+approximation has one byte per component, made from the stored exact vectors
+in each pass over them. A search scans the cells,
 which bounds every score from both sides, keeps what can still be among the k
 best, and then reads exact vectors in the order of their bounds until the kth
 exact score is above every bound that is left.
@@ -12,9 +13,11 @@ partitions of the file; a partition returns at most k rows per query, and the
 partitions' results are merged per query.
 
 Defined results: vectors that are null or hold null or non-finite components
-take no part, nor do rows with a null id, or with a component whose whole
-number does not fit 28 bits (the score could exceed a long); vectors meet
-only those of their own length; rows are candidates each, so a repeated row
+take no part, nor do rows with a null id; vectors with a whole number of more
+than 28 bits have no cells: their bounds come from double precision, their
+exact scores from Python integers, and a score beyond a long counts as the
+largest (smallest) one; vectors meet only those of their own length; rows are
+candidates each, so a repeated row
 is listed repeatedly; rows that share the query's id are its own; a query id
 on several different rows ranks the candidates of all of them together; ties
 go to the smaller id.
@@ -33,6 +36,7 @@ from ..session import staged_path
 from .common import column, store
 
 CELLS = 256
+LARGEST = float(np.finfo(float).max)
 BLOCK_QUERIES = 8192                  # queries in one broadcast block: 64 dimensions take 4 MB
 ROWS = 4096                           # file rows compared at once
 CHUNK = 512                           # queries compared at once
@@ -40,11 +44,17 @@ STEP = 32                             # exact vectors read at once for a query
 
 
 def whole_numbers(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and ``v``: floor(scale * x) of each component, of the rows that take part."""
+    """vec_id, and floor(scale * x) of each component of the rows that take part: as longs in ``v``, or
+    as doubles in ``wide`` where one has more than 28 bits."""
     v = F.transform("embedding", lambda x: x.cast("double"))
-    fits = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < (1 << 28) / scale))
-    return (vectors.where(F.col("vec_id").isNotNull() & F.coalesce(fits, F.lit(False)))
-            .select("vec_id", F.transform(v, lambda x: F.floor(x * scale)).alias("v")))
+    part = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    rows = vectors.where(F.col("vec_id").isNotNull() & part).select("vec_id", v.alias("x"))
+    fits = F.forall("x", lambda x: F.abs(x) < (1 << 28) / scale)
+    # a double of 2^53 or more is whole, so only numbers that fit a long need their floor; none reaches infinity
+    wide = F.transform("x", lambda x: F.when(F.abs(x) < 2.0 ** 53, F.floor(F.when(F.abs(x) < 2.0 ** 53, x * scale).otherwise(0.0)).cast("double"))
+                       .otherwise(F.greatest(F.least(x * scale, F.lit(LARGEST)), F.lit(-LARGEST))))
+    return rows.select("vec_id", F.when(fits, F.transform("x", lambda x: F.floor(F.when(fits, x * scale).otherwise(0.0)))).alias("v"),
+                       F.when(~fits, wide).alias("wide"))
 
 
 def ranges(file: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -68,8 +78,11 @@ def ranges(file: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def _by_length(b: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Length -> row numbers and matrix of the batch's vectors ``v``."""
+    """Length -> row numbers and matrix of the batch's vectors ``v`` (those without are passed over)."""
     v = column(b, "v")
+    if v.null_count:
+        some = np.flatnonzero(np.asarray(v.is_valid()))
+        return {n: (some[rows], x) for n, (rows, x) in _by_length(pa.RecordBatch.from_arrays([v.take(pa.array(some))], names=["v"])).items()}
     size = np.diff(np.asarray(v.offsets))
     if len(size) and (size == size[0]).all():
         return {int(size[0]): (np.arange(len(size)), np.asarray(v.flatten()).reshape(len(size), size[0]))}
@@ -90,7 +103,7 @@ def cell_centres(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def build_file(vectors: DataFrame, scale: int = 256) -> tuple[DataFrame, dict]:
-    """The stored table vec_id, v, cells (the approximation) and the ranges it was made with."""
+    """The table vec_id, v, wide, cells (the approximation of v, made in each pass over the stored vectors) and its ranges."""
     whole = store(whole_numbers(vectors, scale), "vectors")
     held = ranges(whole)
     bounds = whole.sparkSession.sparkContext.broadcast(held)
@@ -102,9 +115,9 @@ def build_file(vectors: DataFrame, scale: int = 256) -> tuple[DataFrame, dict]:
                 if n:
                     for i, c in zip(rows, approximate(x, *bounds.value[n]), strict=True):
                         cells[i] = c.tobytes()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.binary())], names=["vec_id", "v", "cells"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells, pa.binary())], names=["vec_id", "v", "wide", "cells"])
 
-    return whole.mapInArrow(run, "vec_id long, v array<long>, cells binary"), held
+    return whole.mapInArrow(run, "vec_id long, v array<long>, wide array<double>, cells binary"), held
 
 
 LEAST = np.iinfo(np.int64).min + 1       # no score yet; can be negated
@@ -153,12 +166,44 @@ class _Best:
             self.score[i], self.vec[i] = s[best], v[best]
 
 
+MOST = np.iinfo(np.int64).max
+
+
+class _Exact:
+    """The k best rows of each query among pairs with a wide vector: double precision bounds, Python integers decide."""
+
+    def __init__(self, ids: list[int], q: list[list], k: int):
+        self.ids, self.k = ids, k
+        self.whole = [[int(x) for x in v] for v in q]
+        self.q = np.array(q, float).reshape(len(q), -1)
+        self.best: list[list[tuple[int, int]]] = [[] for _ in ids]             # (-score, id), ascending
+
+    def scan(self, vec: list[int], vectors: list[list]) -> None:
+        x = np.array(vectors, float).reshape(len(vectors), -1)
+        for a in range(0, len(self.ids), CHUNK):
+            with np.errstate(over="ignore", invalid="ignore"):
+                near = self.q[a:a + CHUNK] @ x.T
+                slack = (np.abs(self.q[a:a + CHUNK]) @ np.abs(x.T)) * (x.shape[1] + 4) * 2.0 ** -52
+                upper = near + slack
+            for i in range(len(near)):
+                self._read(a + i, np.where(np.isnan(upper[i]), np.inf, upper[i]), vec, vectors)
+
+    def _read(self, i: int, upper: np.ndarray, vec: list[int], vectors: list[list]) -> None:
+        for j in np.argsort(-upper, kind="stable").tolist():
+            best = self.best[i]
+            if len(best) == self.k and upper[j] < float(-best[-1][0]) * (1 - 2.0 ** -52 if best[-1][0] < 0 else 1 + 2.0 ** -52):
+                return
+            if vec[j] != self.ids[i]:
+                score = sum(a * int(b) for a, b in zip(self.whole[i], vectors[j], strict=True))
+                self.best[i] = sorted([*best, (-min(max(score, int(LEAST)), int(MOST)), vec[j])])[:self.k]
+
+
 def search(file: DataFrame, bounds: dict, is_query: Column, k: int = 5,
            block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows for every row of the
     file where ``is_query`` holds."""
     spark = file.sparkSession
-    queries = store(file.where(is_query).select("vec_id", "v").distinct(), "queries")
+    queries = store(file.where(is_query).select("vec_id", "v", "wide").distinct(), "queries")
     limits = spark.sparkContext.broadcast(bounds)
     held, folder, n = None, staged_path(spark, "nearest"), 0
     for rows in _blocks(queries, block_queries):
@@ -182,20 +227,41 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
             .select("query_id", "rank", "vec_id", "score"))
 
 
-def _nearest(file: DataFrame, rows: dict, limits, k: int) -> DataFrame:
+def _nearest(file: DataFrame, rows: tuple[dict, dict], limits, k: int) -> DataFrame:
     """The k best rows for one block of queries: k rows per query and partition, merged per query."""
     held = file.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        narrow, wide = held.value
         best: dict[int, _Best] = {}
+        exact: dict[tuple, _Exact] = {}
+
+        def against(queries: dict, kind: str, n: int, vec: list[int], vectors: list[list]) -> None:
+            """Pairs with a wide vector on one side at least; a few rows at a time."""
+            if n in queries:
+                if (kind, n) not in exact:
+                    exact[kind, n] = _Exact([int(i) for i in queries[n][0]], [list(v) for v in queries[n][1]], k)
+                for a in range(0, len(vec), ROWS):
+                    exact[kind, n].scan(vec[a:a + ROWS], vectors[a:a + ROWS])
+
         for b in batches:
             ids = np.asarray(column(b, "vec_id"))
             cells = column(b, "cells").to_pylist()
+            if column(b, "wide").null_count < b.num_rows:
+                lists: dict[int, list] = {}
+                for i, v in zip(ids.tolist(), column(b, "wide").to_pylist(), strict=True):
+                    if v is not None:
+                        lists.setdefault(len(v), []).append((i, v))
+                for n, found in lists.items():
+                    for kind, queries in (("narrow", narrow), ("wide", wide)):
+                        against(queries, kind, n, [i for i, _ in found], [v for _, v in found])
             for n, (rows, x) in _by_length(b).items():
-                if n not in held.value:
+                if n in wide:
+                    against(wide, "wide", n, ids[rows].tolist(), x.tolist())
+                if n not in narrow:
                     continue
                 if n not in best:
-                    best[n] = _Best(*held.value[n], *limits.value.get(n, (np.zeros(0, np.int64),) * 2), k)
+                    best[n] = _Best(*narrow[n], *limits.value.get(n, (np.zeros(0, np.int64),) * 2), k)
                 for a in range(0, len(rows), ROWS):
                     at = rows[a:a + ROWS]
                     c = np.frombuffer(b"".join(cells[i] for i in at), np.uint8).reshape(len(at), n)
@@ -204,18 +270,24 @@ def _nearest(file: DataFrame, rows: dict, limits, k: int) -> DataFrame:
             i, j = np.nonzero(t.score > LEAST)
             yield pa.RecordBatch.from_arrays([pa.array(t.ids[i]), pa.array(t.vec[i, j]), pa.array(t.score[i, j])],
                                              names=["query_id", "vec_id", "score"])
+        for e in exact.values():
+            found = [(q, i, -s) for q, own in zip(e.ids, e.best, strict=True) for s, i in own]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
     return _ranked(file.mapInArrow(run, "query_id long, vec_id long, score long"), k)
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Length -> ids and matrix, at most ``size`` queries at a time on the driver."""
-    def grouped(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        by: dict[int, list] = {}
-        for r in rows:
-            by.setdefault(len(r.v), []).append(r)
-        return {n: (np.array([r.vec_id for r in x], np.int64), np.array([r.v for r in x], np.int64).reshape(len(x), n))
-                for n, x in by.items()}
+def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[dict, dict]]:
+    """Length -> ids and matrix of longs, and of doubles (wide vectors), at most ``size`` queries at a time on the driver."""
+    def grouped(rows: list) -> tuple[dict, dict]:
+        out = []
+        for name, kind in (("v", np.int64), ("wide", float)):
+            by: dict[int, list] = {}
+            for r in rows:
+                if r[name] is not None:
+                    by.setdefault(len(r[name]), []).append(r)
+            out.append({n: (np.array([r.vec_id for r in x], np.int64), np.array([r[name] for r in x], kind).reshape(len(x), n)) for n, x in by.items()})
+        return tuple(out)
 
     rows: list = []
     for r in queries.toLocalIterator(prefetchPartitions=False):

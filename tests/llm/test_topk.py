@@ -1,5 +1,7 @@
 """Operator 5 against all exact products."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,14 +10,15 @@ from quire.llm import queries, topk
 
 
 def plain(rows, k, every):
-    """(query, rank, id, score) by integer products, rows that share the id left out, ties to the smaller id."""
-    usable = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows
+    """(query, rank, id, score) by integer products held within longs, rows that share the id left out, ties to the smaller id."""
+    most = (1 << 63) - 1
+    usable = [(i, [math.floor(256 * float(x)) for x in v]) for i, v in rows
               if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q in sorted({i for i, _ in usable if i % every == 0}):
         found = []
         for vec in {tuple(v) for i, v in usable if i == q}:
-            found += [(-sum(a * b for a, b in zip(vec, v, strict=True)), i) for i, v in usable if i != q and len(v) == len(vec)]
+            found += [(max(-most, min(most, -sum(a * b for a, b in zip(vec, v, strict=True)))), i) for i, v in usable if i != q and len(v) == len(vec)]
         out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(found)[:k])]
     return out
 
@@ -40,8 +43,17 @@ def test_ties_repeats_and_odd_vectors(spark, block):
     rows += [(2000, [0.5] * 8), (2000, [0.5] * 8), (2000, [1.0] * 8), (2001, [1.0] * 8), (2001, [1.0] * 8)]
     rows += [(3000, None), (3050, [None] * 8), (3100, [float("nan")] * 8), (3150, [float("inf")] + [0.0] * 7), (None, [9.0] * 8),
              (3200, [1.0, 2.0]), (3201, [0.5, 0.5]), (3250, [1e30] * 8), (3300, []), (3301, []), (3350, [1.0] * 3)]
-    usable = [(i, v) for i, v in rows if i != 3250]
-    assert run(spark, rows, block_queries=block) == plain(usable, 5, 50)
+    assert run(spark, rows, block_queries=block) == plain(rows, 5, 50)
+
+
+def test_large_values_take_part(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=4) * float(rng.choice([1, 1e3, 3e6, 1e7]))).tolist()) for i in range(500)]
+    rows += [(501, [2.0 ** 21, 0.0, 0.0, 0.0]), (550, [2.0 ** 29, 0.5, 0.0, -1.0]), (551, [2.0 ** 29, 0.5, 0.0, -1.0]), (600, [1e300] * 4), (601, [-1e300] * 4),
+             (602, [2.0 ** 53 + 2, 0.1, -0.1, 2.0 ** 20 - 0.001])]
+    got = run(spark, rows)
+    assert got == plain(rows, 5, 50)
+    assert {r[2] for r in got if r[0] == 550} & {551} and any(r[2] == 501 for r in plain([(0, [3.0, 0.0, 0.0, 0.0]), rows[500]], 5, 50))
 
 
 def test_wide_cells_stay_exact(spark):
