@@ -107,12 +107,17 @@ def _dense(dim: int):
     return enc.asNondeterministic()
 
 
+def sparse_terms(text, dim: int = 256) -> Column:
+    """``array<struct<bucket, tf, weight>>`` of the non-empty buckets, ascending; of an empty text none."""
+    _check(dim)
+    return _sparse(dim)(blank_if_null(text))
+
+
 def hashed_term_weights(df: DataFrame, key: str, text_col: str, dim: int = 256) -> DataFrame:
     """M1 sparse form: ``(key, bucket, tf, weight)`` for every non-empty bucket
     of every row. The row is encoded where it stands to its non-empty buckets
     alone, which are exploded; nothing is shuffled, however often a key occurs."""
-    _check(dim)
-    return df.select(key, F.explode(_sparse(dim)(blank_if_null(text_col))).alias("_c")).select(key, "_c.bucket", "_c.tf", "_c.weight")
+    return df.select(key, F.explode(sparse_terms(text_col, dim)).alias("_c")).select(key, "_c.bucket", "_c.tf", "_c.weight")
 
 
 def hashed_embedding(text, dim: int = 256) -> Column:

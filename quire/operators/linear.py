@@ -164,20 +164,22 @@ def packed_rows(table: DataFrame, width: int) -> DataFrame:
     return materialize(table.select("_x", "_y").mapInArrow(run, "x binary, y binary"), "blocks", min_partition_bytes=PARTITION_BYTES)
 
 
-def tree_sum(rows: DataFrame, tasks: int) -> np.ndarray | None:
+def tree_sum(rows: DataFrame, tasks: int, fan: int | None = None) -> np.ndarray | None:
     """The sum of the float64 vectors ``v`` (binary) that ``tasks`` tasks yield with their number ``part``, in that order."""
+    fan = fan or FAN_IN
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, list] = {}
         for b in batches:
             for part, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                total.setdefault(part // FAN_IN, []).append((part, np.frombuffer(v)))
+                total.setdefault(part // fan, []).append((part, np.frombuffer(v)))
         for part, vs in sorted(total.items()):
             yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([_ordered(vs).tobytes()], pa.binary())], names=["part", "v"])
 
-    while tasks > FAN_IN:
-        tasks = -(-tasks // FAN_IN)
-        rows = rows.repartition(tasks, F.floor(F.col("part") / FAN_IN)).mapInArrow(add, "part long, v binary")
-    got = [(r.part, np.frombuffer(r.v)) for r in rows.collect()]               # FAN_IN matrices at most
+    while tasks > fan:
+        tasks = -(-tasks // fan)
+        rows = rows.repartition(tasks, F.floor(F.col("part") / fan)).mapInArrow(add, "part long, v binary")
+    got = [(r.part, np.frombuffer(r.v)) for r in rows.collect()]               # ``fan`` matrices at most
     return _ordered(got) if got else None
 
 

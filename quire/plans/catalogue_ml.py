@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import cocitation, encode, lookup, metrics, ordering
+from ..operators import cocitation, encode, lookup, lsa, metrics, ordering
 from ..sources.tables import table
 from . import standins as si
 from ..session import materialize
@@ -37,6 +37,27 @@ def hash_embed_dense(spark, d):
     return x.select("doc_id", "bucket", F.round("weight", 6).alias("weight"))
 
 
+_LSA_DIM = 1024
+
+
+@register("lsa_frequencies", f"""
+WITH t AS (SELECT doc_id, unnest({_TOKENS_SQL}) AS tok FROM documents),
+b AS (SELECT DISTINCT doc_id, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % {_LSA_DIM} AS INTEGER) AS bucket FROM t)
+SELECT bucket, count(*) AS df, round(ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))::DOUBLE) + 1, 9) AS idf FROM b GROUP BY bucket""")
+def lsa_frequencies(spark, d):
+    """M1, learned encoder: document frequencies of the hashed tokens."""
+    f = lsa.document_frequencies(table(spark, d, "documents"), "text", _LSA_DIM)
+    return f.withColumn("idf", F.round("idf", 9))
+
+
+@register("lsa_embed")
+def lsa_embed(spark, d):
+    """M1: every whole document in the learned encoder's 32 dimensions (no SQL form: a singular value decomposition)."""
+    docs = table(spark, d, "documents")
+    encoder = lsa.fit(docs, "text", _LSA_DIM, rank=32)
+    return docs.select("doc_id", encoder("text").alias("embedding"))
+
+
 _WIDE = 64                                   # the width of the driver's table; the query takes it from the data
 
 
