@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.categories import category_tokens
 from ..functions.dates import date_in_range
 from ..functions.ids import regex_match, regex_search, split_versioned_pattern, with_version
+from ..session import materialize
 from .dedup import dedup_by_key
 
 
@@ -143,4 +144,6 @@ def feed_batch_filter(entries: DataFrame, regex_id, start_date, end_date, catego
     if regex_id:
         cond = cond & regex_match(id_col, regex_id)
     out = entries.where(cond)
-    return dedup_by_key(out, id_col, position, keep="last") if position else out
+    if not position:
+        return out
+    return dedup_by_key(materialize(out, "entries"), id_col, position, keep="last")  # the pages are parsed once

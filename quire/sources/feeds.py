@@ -15,7 +15,7 @@ from ..functions.dates import date_in_range, iso_day
 from ..functions.ids import base_id, id_from_url
 from ..functions.text import strip
 from ..operators.dedup import dedup_by_key
-from ..session import is_complete
+from ..session import is_complete, materialize
 from .snapshot import POSITION, source_position
 
 _S = T.StringType()
@@ -82,7 +82,7 @@ def entries_as_papers(entries: DataFrame) -> DataFrame:
     """Feed rows in the papers layout (so one filter serves both sources)."""
     p = project_entries(entries, full=True)
     if POSITION in p.columns:                              # overlapping pages: the last entry of an id
-        p = dedup_by_key(p, "id", POSITION, keep="last")
+        p = dedup_by_key(materialize(p, "entries"), "id", POSITION, keep="last")     # the pages are parsed once
     return p.select("base_id", F.array_join("categories", " ").alias("categories"),
                     F.col("published_date").alias("created"),
                     F.array_join("authors", ", ").alias("authors"), "title", "abstract")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.dates import rfc2822_date
-from ..functions.text import blank_if_null
+from ..functions.text import blank_if_null, natural_order  # noqa: F401  (part of this module's interface)
 from ..operators.dedup import dedup_by_key
 from ..session import is_complete, stored_bytes
 
@@ -47,17 +47,11 @@ COMPACT_COLUMNS = ("categories", "created", "authors", "title")
 POSITION = "_pos"
 
 
-def natural_order(path) -> Column:
-    """A text that sorts paths with every run of digits as a number, so
-    ``part-100000`` comes after ``part-99999`` and ``snap-10`` after ``snap-2``."""
-    padded = F.regexp_replace(path, "([0-9]+)", "00000000000000000000$1")
-    return F.regexp_replace(padded, "[0-9]*([0-9]{20})", "$1")
-
-
 def source_position() -> Column:
-    """The place of a row in its source: file (in natural order), block, row.
-    Take it in the scan; it keeps the order of lines over any shuffle."""
-    return F.struct(natural_order(F.col("_metadata.file_path")).alias("file"),
+    """The place of a row in its source: file, block, row. Take it in the scan;
+    it keeps the order of lines over any shuffle (files in natural order, see
+    :func:`..operators.dedup.with_position_number`)."""
+    return F.struct(F.col("_metadata.file_path").alias("file"),
                     F.col("_metadata.file_block_start").alias("block"),
                     F.monotonically_increasing_id().alias("row")).alias(POSITION)
 

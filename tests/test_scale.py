@@ -211,3 +211,19 @@ def test_hinge_loss_classifier(spark):
     assert acc >= 0.95
     with pytest.raises(ValueError):
         classify.binary_estimator(classify.ClassifierSpec(loss="huber"))
+
+
+def test_positions_are_reduced_as_numbers(spark):
+    """A struct position (file, block, row) orders rows as its number does, and no aggregate sorts."""
+    rows = [(f"k{i % 7}", (f"part-{i % 3:05d}", (i * 37) % 5 * 100, i), f"t{i}") for i in range(200)] + [(None, ("part-1", 0, 3), "n"), (None, (None, None, 9), "o")]
+    df = spark.createDataFrame(rows, "k string, pos struct<file: string, block: long, row: long>, t string").repartition(6)
+    order = lambda p: tuple((x is not None, x) for x in p)
+    for keep, pick in (("first", min), ("last", max)):
+        want = {k: pick((order(p), t) for kk, p, t in rows[:200] if kk == k)[1] for k in {r[0] for r in rows[:200]}}
+        got = dedup.dedup_by_key(df.where("k is not null"), "k", "pos", keep)
+        assert got.columns == df.columns and {r.k: r.t for r in got.collect()} == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+    assert {r.t for r in dedup.dedup_by_key(df.where("k is null"), "k", "pos", "first").collect()} == {"o"}
+    plan = dedup.dedup_by_key(df.select("k", "t", df.pos.row.alias("o")), "k", "o")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
