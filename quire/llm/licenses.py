@@ -1,18 +1,22 @@
 """License scans: exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, a template a license notice; both become sets of
-lower-cased words. A block meets a template when it holds at least
-``CONTAINMENT`` of the template's words and the template's words make up at
-least ``SHARE`` of the block's. Tokens are ordered by how often they occur in
-the whole corpus, rarest first (only tokens of templates matter). A template
-of size s needs ``t = ceil(CONTAINMENT s)`` matches, so a matching block holds
-one of the template's s - t + 1 rarest tokens (prefix filter), has between t
-and ``s / SHARE`` distinct words (length filter), and at the first token
-shared, at least t tokens are left on both sides (positional filter). What
-passes is verified by exact intersection.
+A template is a license notice of m words; a block is any run of m consecutive
+words of a text, over line and paragraph breaks. Both become sets of
+lower-cased words, and a block meets the template when it holds at least
+``CONTAINMENT`` of the template's words. Tokens are ordered by how often they
+occur in the whole corpus, rarest first (only tokens of templates matter). A
+template of s distinct words needs ``t = ceil(CONTAINMENT s)`` matches, so a
+matching block holds one of the template's s - t + 1 rarest tokens (prefix
+filter): only the runs around such a token are looked at. The words less than
+m places from it must hold t distinct ones of the template (length filter),
+and a run counts only from the token's place back to m - 1 words before it
+(positional filter); of a run, the words from its first template word on
+decide. What passes is verified by exact counts of distinct words.
 
 Beside the sets, base phrases are found where their words stand
-consecutively, anywhere in the text. All of it is DataFrame expressions.
+consecutively, anywhere in the text. All of it is DataFrame expressions; a
+text's words near a rare token are at most 2 m, so no array grows with the
+text but its own words.
 
 Defined results: a null text counts as empty; without a phrase first_word and
 last_word are null; without a label the label strings are empty; repeated
@@ -27,7 +31,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CONTAINMENT, SHARE = 0.8, 0.5
+CONTAINMENT = 0.8
 
 #: Phrase -> label.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -86,28 +90,28 @@ def _frequencies(norm: DataFrame, known: list[str]) -> dict[str, int]:
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None,
-         containment: float = CONTAINMENT, share: float = SHARE) -> DataFrame:
+         containment: float = CONTAINMENT) -> DataFrame:
     """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels and
     labels (sorted arrays) and score: the highest containment of a template
     met; without one 0.5 where a base phrase stands, else 0."""
     spark = docs.sparkSession
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
-    sets = [(label, sorted(set(tokens_of(t)))) for t, label in templates.items() if tokens_of(t)]
-    known = sorted({w for _, t in sets for w in t})
+    sets = [(label, len(w), sorted(set(w))) for t, label in templates.items() if (w := tokens_of(t))]
+    known = sorted({w for _, _, t in sets for w in t})
+    longest = max((m for _, m, _ in sets), default=0)
     norm = docs.select("doc_id", normal(F.col("text")).alias("norm"))
 
     # global order, rarest first; then per template its tokens as ranks
     count = _frequencies(norm, known) if known else {}
     rank = {w: i for i, w in enumerate(sorted(known, key=lambda w: (count.get(w, 0), w)))}
     index = []
-    for k, (label, t) in enumerate(sets):
+    for label, m, t in sets:
         ranks = sorted(rank[w] for w in t)
         need = math.ceil(containment * len(t) - 1e-9)
-        for pos in range(len(t) - need + 1):               # prefix filter; need <= tokens from here on
-            index.append((ranks[pos], k, label, len(t), need, math.floor(len(t) / share + 1e-9), ranks))
-    index_table = spark.createDataFrame(
-        index, "r int, template int, label string, size int, need int, longest int, ranks array<int>")
+        for r in ranks[:len(t) - need + 1]:                # prefix filter
+            index.append((r, label, m, len(t), need, ranks))
+    index_table = spark.createDataFrame(index, "r int, label string, m int, size int, need int, ranks array<int>")
     first_tokens = sorted({w for w in known if rank[w] in {x[0] for x in index}})
 
     # base phrases
@@ -121,32 +125,42 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
         F.array(*[F.when(p["n"] > 0, F.lit(label)) for label, p in places], F.lit(None).cast("string")),
         lambda x: x.isNotNull())))
     if first_tokens:
+        # places of template words in the texts that hold a rare token, and around each rare one its neighbours
+        order = F.create_map(*[F.lit(x) for w, i in rank.items() for x in (w, i)])
         found = " (?:" + "|".join(map(re.escape, first_tokens)) + ") "
-        lines = F.filter(F.split(F.concat(F.lit(" "), F.regexp_replace("norm", "\n", " \n "), F.lit(" ")), "\n"),
-                         lambda x: x.rlike(found))
-        lines = F.when(F.col("one").rlike(found), lines)
+        words = F.when(F.col("one").rlike(found), F.split(F.trim("one"), " "))
+        rows = rows.withColumn("hits", F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), F.try_element_at(order, w).alias("r"))),
+                                                lambda h: h["r"].isNotNull()))
+        rare = [F.lit(rank[w]) for w in first_tokens]
+        near = F.transform("hits", lambda h, i: F.when(h["r"].isin(*rare), F.struct(
+            h["at"].alias("at"), h["r"].alias("r"),
+            F.slice("hits", F.greatest(i - longest + 2, F.lit(1)), F.lit(2 * longest)).alias("near"))))
+        anchors = F.filter(near, lambda x: x.isNotNull())
     else:
-        lines = F.lit(None).cast("array<string>")
+        anchors = F.lit(None).cast("array<struct<at: int, r: int, near: array<struct<at: int, r: int>>>>")
     rows = rows.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", "n_words",
         sum((p["n"] for _, p in places), F.lit(0).cast("long")).alias("n_base"),
         F.least(none, none, *[p["first"] for _, p in places]).alias("first_word"),
         F.greatest(none, none, *[p["last"] for _, p in places]).alias("last_word"),
-        base.alias("base"), lines.alias("lines"))
-
-    # blocks as sets: all distinct words, and the ranks of those in the order
-    order = F.create_map(*[F.lit(x) for w, i in rank.items() for x in (w, i)]) if rank else None
-    one = rows.withColumn("block", F.explode_outer("lines")).drop("lines")
-    one = one.withColumn("set", F.array_distinct(F.filter(F.split("block", " +"), lambda w: w != "")))
-    ranks = (F.sort_array(F.filter(F.transform("set", lambda w: F.try_element_at(order, w)), lambda x: x.isNotNull()))
-             if rank else F.lit(None).cast("array<int>"))
-    one = one.select("*", F.size("set").alias("length"), ranks.alias("own")).drop("block", "set")
-    one = one.select("*", F.posexplode_outer("own").alias("at", "r"))
+        base.alias("base"), anchors.alias("anchors"))
+
+    one = rows.withColumn("anchor", F.explode_outer("anchors")).drop("anchors").select("*", "anchor.*").drop("anchor")
     t = F.broadcast(index_table)                           # a row per token of a template's prefix
-    met = one.join(t, (one["r"] == t["r"]) & one["length"].between(t["need"], t["longest"])      # length filter
-                   & (F.size("own") - one["at"] >= t["need"]), "left")                            # positional filter
-    overlap = F.size(F.array_intersect("own", "ranks"))
-    ok = F.col("label").isNotNull() & (overlap >= F.col("need"))
+    met = one.join(t, one["r"] == t["r"], "left")
+    # template words in runs around the rare token
+    met = met.withColumn("near", F.filter("near", lambda h: (h["at"] > F.col("at") - F.col("m")) & (h["at"] < F.col("at") + F.col("m"))
+                                          & F.array_contains("ranks", h["r"])))
+    enough = F.size(F.array_distinct(F.transform("near", lambda h: h["r"]))) >= F.col("need")
+
+    def held(start: Column) -> Column:
+        """Distinct template words in the run of m words from ``start``."""
+        return F.size(F.array_distinct(F.transform(F.filter("near", lambda h: (h["at"] >= start) & (h["at"] < start + F.col("m"))), lambda h: h["r"])))
+
+    overlap = F.when(F.col("label").isNotNull() & enough,
+                     F.array_max(F.transform(F.filter("near", lambda h: h["at"] <= F.col("at")), lambda h: held(h["at"]))))
+    met = met.withColumn("overlap", overlap)
+    ok, overlap = F.col("overlap") >= F.col("need"), F.col("overlap")
     out = (met.groupBy("row", "doc_id", "n_words", "n_base", "first_word", "last_word", "base")
            .agg(F.collect_set(F.when(ok, F.col("label"))).alias("more"), F.max(F.when(ok, overlap / F.col("size"))).alias("best")))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.col("base").alias("base_labels"),

@@ -129,11 +129,15 @@ p AS (SELECT unnest([{", ".join(_text(k) for k in licenses.PHRASES)}]) AS phrase
 a AS (SELECT r, k - 1 AS place, label FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d), p
       WHERE array_to_string(list_slice(w, k, k + len(string_split(phrase, ' ')) - 1), ' ') = phrase),
 base AS (SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word FROM a GROUP BY r),
-m AS (SELECT list_distinct({_WORDS.format("lower(template)")}) AS t, label
-      FROM (SELECT unnest([{", ".join(map(_text, licenses.TEMPLATES))}]) AS template, unnest([{", ".join(map(_text, licenses.TEMPLATES.values()))}]) AS label)),
-l AS (SELECT r, list_distinct({_WORDS.format("line")}) AS b FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d)),
-f AS (SELECT r, label, CAST(len(list_intersect(b, t)) AS DOUBLE) / len(t) AS c FROM l, m
-      WHERE len(list_intersect(b, t)) >= {licenses.CONTAINMENT} * len(t) AND len(b) <= len(t) / CAST({licenses.SHARE} AS DOUBLE)),
+m AS (SELECT row_number() OVER () AS k, list_distinct(t) AS t, len(t) AS m, label FROM (SELECT {_WORDS.format("lower(template)")} AS t, label
+      FROM (SELECT unnest([{", ".join(map(_text, licenses.TEMPLATES))}]) AS template, unnest([{", ".join(map(_text, licenses.TEMPLATES.values()))}]) AS label))),
+x AS (SELECT r, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d),
+h AS (SELECT r, k, pos, word FROM x JOIN (SELECT k, unnest(t) AS word FROM m) USING (word)),
+e AS (SELECT r, k FROM h JOIN m USING (k) GROUP BY r, k HAVING count(DISTINCT word) >= {licenses.CONTAINMENT} * len(any_value(t))),
+v AS (SELECT r, k, a.pos, count(DISTINCT b.word) AS n FROM h a JOIN e USING (r, k) JOIN m USING (k) JOIN h b USING (r, k)
+      WHERE b.pos >= a.pos AND b.pos < a.pos + m GROUP BY r, k, a.pos),
+f AS (SELECT r, label, CAST(max(n) AS DOUBLE) / len(any_value(t)) AS c FROM v JOIN m USING (k) GROUP BY r, k, label
+      HAVING max(n) >= {licenses.CONTAINMENT} * len(any_value(t))),
 best AS (SELECT r, max(c) AS c FROM f GROUP BY r),
 bl AS (SELECT r, string_agg(label, ',' ORDER BY label) AS base_labels FROM (SELECT DISTINCT r, label FROM a) GROUP BY r),
 al AS (SELECT r, string_agg(label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM a UNION SELECT r, label FROM f) GROUP BY r)

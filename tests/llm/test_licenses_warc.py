@@ -24,13 +24,12 @@ def plain_scan(text):
         p = phrase.split()
         at = [k for k in range(len(w)) if w[k:k + len(p)] == p]
         places += [(k, label) for k in at]
-    for line in (text or "").split("\n"):
-        b = set(words(line))
-        for template, label in licenses.TEMPLATES.items():
-            t = set(words(template))
-            if len(b & t) >= licenses.CONTAINMENT * len(t) - 1e-9 and len(b) <= len(t) / licenses.SHARE + 1e-9:
-                labels.add(label)
-                best = max(best, len(b & t) / len(t))
+    for template, label in licenses.TEMPLATES.items():
+        t, m = set(words(template)), len(words(template))
+        held = max((len(t & set(w[k:k + m])) for k in range(max(1, len(w) - m + 1))), default=0)     # every run of m words
+        if held >= licenses.CONTAINMENT * len(t) - 1e-9:
+            labels.add(label)
+            best = max(best, held / len(t))
     base = {x for _, x in places}
     starts = [k for k, _ in places]
     return (len(w), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)),
@@ -67,6 +66,18 @@ def test_license_odd_rows(spark):
         licenses.scan(df, phrases={"a b a": "x"})
 
 
+def test_notices_wrapped_or_among_other_words(spark):
+    bsd = next(n for n, label in licenses.TEMPLATES.items() if label == "bsd")
+    more = " ".join(f"w{k}" for k in range(60))
+    wrapped = bsd.replace("without ", "without\n# ")
+    texts = [bsd + " " + more, more + " " + bsd, wrapped, bsd, f"{more}\n{wrapped}\n{more}", (bsd + " ") * 30, " ".join(f"x {w}" for w in bsd.split()),
+             f"{bsd.split('binary')[0]} {more} {bsd.split('binary')[1]}", "redistribution " * 3000 + bsd, "met " * 500 + wrapped + " met" * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows_of(licenses.scan(df))
+    assert got == sorted((k, *plain_scan(t)) for k, t in enumerate(texts))
+    assert [r[6] for r in got] == ["bsd"] * 6 + ["", "", "bsd", "bsd"] and got[3][7] == 1.0
+
+
 def test_license_plan_is_native(spark, sf):
     plan = licenses.scan(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
