@@ -449,8 +449,12 @@ def train(docs: DataFrame, n_classes: int = CLASSES, clustered: int = CLUSTERED,
     return Model(words, counts, ends, full, _transitions(g), r[0], r[1], tail), vocabulary
 
 
-def _refined(part: DataFrame, vocabulary: DataFrame, held, size: int) -> DataFrame:
-    """``_row`` and ``fix``: what the classes of the words joined by word change in the score of a text."""
+def _refined(rows: DataFrame, held, size: int) -> DataFrame:
+    """``rows`` with ``fix`` instead of ``seq`` and ``places``: what the classes of the words joined by word change in the score."""
+    kept = rows.drop("seq", "places")
+    schema = T.StructType([*kept.schema.fields, T.StructField("fix", T.DoubleType())])
+    names = kept.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = held.value
         for b in batches:
@@ -458,10 +462,9 @@ def _refined(part: DataFrame, vocabulary: DataFrame, held, size: int) -> DataFra
             change = m.transitions[new_a, new_x] - m.transitions[a, x]
             change -= np.where(new_x != x, m.log_class[new_x], 0.0)            # the place of a joined word: P(word | class)
             fix = np.bincount(row, weights=change, minlength=b.num_rows)
-            yield pa.RecordBatch.from_arrays([column(b, "_row"), pa.array(fix)], names=["_row", "fix"])
+            yield pa.RecordBatch.from_arrays([*[column(b, n) for n in names], pa.array(fix)], names=schema.names)
 
-    rows = part.select("_row", "seq").join(_placed(part, vocabulary), "_row")
-    return rows.mapInArrow(run, "_row long, fix double")
+    return rows.mapInArrow(run, schema)
 
 
 def score(docs: DataFrame, model: Model, vocabulary: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -499,18 +502,20 @@ def score(docs: DataFrame, model: Model, vocabulary: DataFrame, keep: tuple[str,
 
     part = store(rows.mapInArrow(run, schema), "scores")
     log = F.col("n") * F.log10("c")
-    tail = (part.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.n")
-            .join(vocabulary, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-            .groupBy("_row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known2"), F.sum("n").alias("n2"),
-                                 F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log2"),
-                                 # words with a class: P(word | class) has no room for new ones
-                                 F.sum(F.when(F.col("cls").isNotNull(), log).otherwise(F.col("n") * F.log10(F.col("c") + 1))).alias("log3"),
-                                 F.sum(F.when(F.col("cls").isNull(), F.col("n")).otherwise(0)).alias("n3")))
-    both = part.drop("rare", "seq").join(tail, "_row", "left")
+    # one join by word for the counts and, where there are some, the classes of the words that are not listed
+    words = part.select("_row", F.explode("rare").alias("r")).select("_row", "r.word", "r.n", *(["r.at"] if model.tail else []))
+    sums = [F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known2"), F.sum("n").alias("n2"),
+            F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("log2"),
+            # words with a class: P(word | class) has no room for new ones
+            F.sum(F.when(F.col("cls").isNotNull(), log).otherwise(F.col("n") * F.log10(F.col("c") + 1))).alias("log3"),
+            F.sum(F.when(F.col("cls").isNull(), F.col("n")).otherwise(0)).alias("n3")]
+    if model.tail:
+        sums.append(F.collect_list(F.when(F.col("cls").isNotNull(), F.struct("cls", "at"))).alias("places"))
+    tail = words.join(vocabulary, "word", "left").withColumn("c", F.coalesce("c", F.lit(0))).groupBy("_row").agg(*sums)
     if model.tail:
-        both = both.join(_refined(part, vocabulary, held, len(model.transitions)), "_row", "left")
+        both = _refined(part.drop("rare").join(tail, "_row", "left"), held, len(model.transitions))
     else:
-        both = both.withColumn("fix", F.lit(0.0))
+        both = part.drop("rare", "seq").join(tail, "_row", "left").withColumn("fix", F.lit(0.0))
     n2, log2, n3, log3 = (F.coalesce(k, F.lit(0.0) if k[0] == "l" else F.lit(0)) for k in ("n2", "log2", "n3", "log3"))
     both = both.select(
         *keep, "n_tokens", (F.col("known") + F.coalesce("known2", F.lit(0))).alias("n_known"),
