@@ -10,6 +10,7 @@ an empty table passes as an empty table, and extra columns pass unchanged.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import public_tokenizers
@@ -20,6 +21,9 @@ from quire.llm import decontaminate, packing, pseudonyms, quality, simhash
 from quire.llm.common import fold, read, store
 from quire.llm.queries import BYTE_BPE
 
+#: The session's setting that holds the secret key of the pseudonyms.
+PSEUDONYM_KEY = "spark.quire.pseudonymKey"
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the classifier predicts to be good, learned from the labels of the training fold."""
@@ -38,8 +42,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal values by pseudonyms of their format."""
-    return pseudonyms.protect(docs)
+    """Replace personal values by pseudonyms of their format, under the key in the session's setting PSEUDONYM_KEY."""
+    key = spark.conf.get(PSEUDONYM_KEY, None)
+    if not key:
+        warnings.warn(f"{PSEUDONYM_KEY} is not set: the public demonstration key is used, which anyone can undo", stacklevel=2)
+    return pseudonyms.protect(docs, key.encode() if key else pseudonyms.DEMO_KEY)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
