@@ -129,13 +129,20 @@ def ssn(c: Cycle, m: re.Match, by: int) -> str | None:
 
 
 def phone(c: Cycle, m: re.Match, by: int) -> str | None:
-    """North American form (ten digits) or a plus sign and 8 to 15 digits; a leading country code 1 stays."""
+    """North American form (ten digits, or 1 and ten digits) or a plus sign and
+    8 to 15 digits; a leading country code 1 stays, and so does whether an area
+    code can be one (2 or more in front): the form with blanks is read as a
+    telephone number only then, and equal numbers get equal pseudonyms in all forms."""
     d = re.sub(r"\D", "", m[0])
     plus = m[0].lstrip("(")[0] == "+"
-    if not (8 <= len(d) <= 15 if plus else len(d) == 10):
+    one = len(d) == 11 and d[0] == "1"
+    if not (8 <= len(d) <= 15 if plus else len(d) == 10 or one):
         return None
-    head = d[:1] if plus and len(d) == 11 and d[0] == "1" else d[:2] if plus else ""
-    return _refill(m[0], head + _digits(c, d[len(head):], b"phone", by))
+    head = d[:1] if one else d[:2] if plus else ""
+    rest = d[len(head):]
+    if len(rest) == 10:
+        return _refill(m[0], head + _walk(c, rest, b"phone", by, lambda x: (x[0] > "1") == (rest[0] > "1")))
+    return _refill(m[0], head + _digits(c, rest, b"phone", by))
 
 
 def ip(c: Cycle, m: re.Match, by: int) -> str | None:
@@ -230,14 +237,16 @@ _LOOKS = {
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
     "date": r"(?<![\w./-])(?P<a>\d{4}|\d{1,2})(?P<s>[-/.])(?P<b>\d{1,2})(?P<s2>[-/.])(?P<c>\d{4}|\d{1,2})(?![\w]|[-/.]\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w]|-\d)",
-    "phone": r"(?:(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}|(?<!\w)\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|(?<![\w.-])\d{3}(?P<q>[.-])\d{3}(?P=q)\d{4})(?![\w]|[-.]\d)",
+    "phone": r"(?:(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,5}(?:[ .-]?\d{2,5}){1,4}|(?<!\w)\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|(?<![\w.-])(?:1[.-])?\d{3}(?P<q>[.-])\d{3}(?P=q)\d{4}|(?<![\w.-])(?<!\d )(?:1 )?[2-9]\d{2} \d{3} \d{4}(?! \d))(?![\w]|[-.]\d)",
+    "long_card": r"(?<![\w.-])\d{4}(?P<l>[ -])(?:\d{4}(?P=l)){3}\d{3}(?!\w)",
     "card": r"(?<![\w.-])(?:\d{13,19}|\d{4}(?P<g>[ -])\d{4}(?P=g)\d{4}(?P=g)\d{1,7}|\d{4}(?P<h>[ -])\d{6}(?P=h)\d{5})(?!\w)",
 }
 PATTERN = re.compile("|".join(f"(?P<{k}>{x})" for k, x in _LOOKS.items()), re.ASCII)
 _ALONE = {k: re.compile(x, re.ASCII) for k, x in _LOOKS.items()}
-_DO = {"card": card, "iban": iban, "ssn": ssn, "phone": phone, "ip": ip, "date": date, "email": email, "token": token}
+_DO = {"long_card": card, "card": card, "iban": iban, "ssn": ssn, "phone": phone, "ip": ip, "date": date, "email": email, "token": token}
 _WORD = re.compile(r"\w+", re.ASCII)
-_ANY = re.compile(r"[0-9@]|A[KS]IA")
+#: Every value holds one of these.
+_ANY = re.compile(r"[0-9@]|A[KS]IA|(?i:key|token|secret|password)[\"']?\s{0,3}[:=]", re.ASCII)
 
 
 def pseudonymise(text: str, cycle: Cycle, by: int = 1) -> tuple[str, list[tuple[str, int, int]]]:
@@ -259,7 +268,7 @@ def pseudonymise(text: str, cycle: Cycle, by: int = 1) -> tuple[str, list[tuple[
                 pos = skip.end() if skip else m.start() + 1
                 continue
         out += [text[at:m.start()], new]
-        spans.append((kind, m.start() + shift, m.start() + shift + len(new)))
+        spans.append((kind.removeprefix("long_"), m.start() + shift, m.start() + shift + len(new)))
         shift += len(new) - (m.end() - m.start())
         at = pos = m.end()
     return "".join([*out, text[at:]]) if out else text, spans
@@ -270,9 +279,9 @@ def restore(text: str, cycle: Cycle) -> str:
     return pseudonymise(text, cycle, -1)[0]
 
 
-def protect(docs: DataFrame, key: bytes = DEMO_KEY, counts: bool = False) -> DataFrame:
-    """``docs`` (all columns) with the values in ``text`` replaced. With
-    ``counts``, a struct column ``pii`` of the number of values per kind is
+def protect(docs: DataFrame, key: bytes, counts: bool = False) -> DataFrame:
+    """``docs`` (all columns) with the values in ``text`` replaced; whoever has
+    ``key`` can restore them (``DEMO_KEY`` is public). With ``counts``, a struct column ``pii`` of the number of values per kind is
     added (a column of that name is replaced)."""
     fields = [f for f in docs.schema.fields if not (counts and f.name == "pii")]
     docs = docs.select(*[f"`{f.name}`" for f in fields])

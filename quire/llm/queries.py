@@ -27,7 +27,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pseudonyms.protect(read(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    found = pseudonyms.protect(read(spark, sf_dir, "documents").select("doc_id", "text"), pseudonyms.DEMO_KEY, counts=True)
     return found.select("doc_id", "text", *[F.col(f"pii.{k}").alias(f"n_{k}") for k in pseudonyms.KINDS])
 
 

@@ -245,6 +245,12 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataF
     least = (found.groupBy("root")                         # components can share a component_id, null included
              .agg(F.min(F.struct(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).cast("int").alias("k") * -1,
                                  "doc_id", "row_hash")).alias("x")))
-    least = least.select(F.col("x.doc_id").alias("_id"), F.col("x.row_hash").alias("_hash"))
-    kept = marked.join(least, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col(tag) == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", tag]).select(*[f"`{c}`" for c in names])
+    # one key column, so that the join and the removal of repeated rows share one shuffle of the texts;
+    # concat_ws leaves a null id out, and an id is always followed by its colon
+    key = "_key"
+    while key in (*names, tag):
+        key += "_"
+    least = least.select(F.concat_ws(":", F.col("x.doc_id").cast("string"), F.col("x.row_hash").cast("string")).alias(key))
+    marked = marked.withColumn(key, F.concat_ws(":", F.col("doc_id").cast("string"), F.col(tag).cast("string")))
+    kept = marked.join(least, key, "left_semi").dropDuplicates([key])
+    return kept.select(*[f"`{c}`" for c in names])

@@ -1,7 +1,8 @@
 """Token-id files with a shared zstandard dictionary.
 
-A dictionary is trained on the serialised id arrays of a bounded number of
-documents (those with the smallest hashes of their ids). Documents are ordered
+A dictionary is trained on the serialised id arrays of 2,000 documents (those
+with the smallest hashes of their id and text), of each array at most its first
+4,194 bytes (``TRAINING_BYTES / TRAINING_DOCUMENTS``). Documents are ordered
 by doc_id over range partitions; every task encodes its documents, compresses
 each separately with the dictionary and writes one data file:
 
@@ -42,17 +43,25 @@ DICTIONARY_BYTES, LEVEL = 64 << 10, 3
 
 
 def train_dictionary(docs: DataFrame, vocabulary: str, dtype: str, size: int = DICTIONARY_BYTES) -> bytes:
-    """The dictionary, or b"" where the sample is too small to train one."""
-    picked = (docs.select("doc_id", F.col("text")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_DOCUMENTS))
+    """The dictionary, or b"" where the sample is too small to train one.
+
+    A threshold on the hash lets about twice the wanted documents through; they
+    are encoded and cut where they stand, and only their cut arrays meet in one
+    task, which keeps those with the smallest hashes."""
+    h = F.xxhash64("doc_id", "text")
+    picked, share = docs.select("text", h.alias("h")), 2 * TRAINING_DOCUMENTS / max(1, docs.count())
+    if share < 1:
+        picked = picked.where(F.col("h") < int(share * 2 ** 64) - 2 ** 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, dtype)
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([np.concatenate([x, enc.end]).tobytes()[:TRAINING_BYTES // TRAINING_DOCUMENTS]
-                           for x in enc.many(column(b, "text"))], pa.binary())], names=["ids"])
+                [column(b, "h"), pa.array([np.concatenate([x, enc.end]).tobytes()[:TRAINING_BYTES // TRAINING_DOCUMENTS]
+                                           for x in enc.many(column(b, "text"))], pa.binary())], names=["h", "ids"])
 
-    samples = [bytes(r.ids) for r in picked.mapInArrow(run, "ids binary").collect()]
+    least = picked.mapInArrow(run, "h long, ids binary").orderBy("h", "ids").limit(TRAINING_DOCUMENTS)
+    samples = [bytes(r.ids) for r in least.collect()]
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
