@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..session import staged_path
-from ..sources import snapshot
+from ..sources import merged, offsets, snapshot
 from ..sources.tables import table
 from .fetch import fetch_batch, select_papers
 from .registry import register
@@ -114,3 +114,43 @@ def index_refresh(spark, d):
         return df.agg(F.lit(name).alias("version"), F.count(F.lit(1)).alias("rows"), F.countDistinct("base_id").alias("ids"))
 
     return size("a", before).unionByName(size("b", after))
+
+
+@register("offset_lookup", """
+SELECT CAST(p_partkey AS VARCHAR) AS base_id, upper(p_name) AS title, p_type AS categories, p_name || chr(10) || p_brand AS abstract,
+       CAST(DATE '1995-01-01' + p_size AS DATE) AS created
+FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)""")
+def offset_lookup(spark, d):
+    """J1 by place: the papers of the large orders, read by byte range from a snapshot with two records of each."""
+    where = offsets.build_offsets(spark, _part_snapshot(spark, d, _upper_titles), staged_path(spark, "offsets"))
+    ids = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").cast("string").alias("base_id"))
+    return offsets.lookup_offsets(spark, where, ids).select("base_id", "title", "categories", "abstract", "created")
+
+
+_MERGED = """
+SELECT CAST(p_partkey AS VARCHAR) AS base_id, p_name AS title,
+       CASE WHEN p_partkey % 3 = 0 THEN 'MOVED.' || p_type ELSE p_type END AS categories,
+       CAST(DATE '1995-01-01' + p_size + CASE WHEN p_partkey % 3 = 0 THEN 1000 ELSE 0 END AS DATE) AS created
+FROM part"""
+
+
+def _merged_index(spark, d) -> str:
+    """The index of ``part``, into which a drop of changed records was merged."""
+    root, drop = staged_path(spark, "merged"), staged_path(spark, "drop")
+    merged.create(spark, _part_snapshot(spark, d), root)
+    snapshot.write_snapshot(_moved(table(spark, d, "part")), drop)
+    merged.merge(spark, drop, root)
+    return root
+
+
+@register("index_merge", _MERGED)
+def index_merge(spark, d):
+    """A drop merged into the touched buckets; the read needs no dedup."""
+    return merged.read(spark, _merged_index(spark, d)).select("base_id", "title", "categories", "created")
+
+
+@register("index_merge_lookup", _MERGED + " WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
+def index_merge_lookup(spark, d):
+    """J1 on the merged index: only the buckets of the requested ids are read."""
+    ids = table(spark, d, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").cast("string").alias("base_id"))
+    return merged.lookup(spark, _merged_index(spark, d), ids).select("base_id", "title", "categories", "created")

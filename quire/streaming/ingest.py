@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
+from ..sources import merged
 from ..sources.snapshot import POSITION, SNAPSHOT_SCHEMA, index_rows
 
 
@@ -38,11 +39,15 @@ def snapshot_stream(spark: SparkSession, src_dir: str, max_files_per_trigger: in
     return parsed.where(F.col("record.id").isNotNull() & (F.col("record.id") != ""))
 
 
+def _batch_rows(batch: DataFrame, batch_id: int) -> DataFrame:
+    pos = F.struct(F.lit(batch_id).cast("long").alias("batch"), F.col("_file").alias("file"),
+                   F.col("_block").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return index_rows(batch.select("record", pos.alias(POSITION)))
+
+
 def _write_batch(dest: str):
     def write(batch: DataFrame, batch_id: int) -> None:
-        pos = F.struct(F.lit(batch_id).cast("long").alias("batch"), F.col("_file").alias("file"),
-                       F.col("_block").alias("block"), F.monotonically_increasing_id().alias("row"))
-        rows = index_rows(batch.select("record", pos.alias(POSITION)))
+        rows = _batch_rows(batch, batch_id)
         rows.write.mode("overwrite").parquet(f"{dest.rstrip('/')}/batch={batch_id}")
     return write
 
@@ -58,8 +63,30 @@ def start_index_ingest(spark: SparkSession, src_dir: str, dest: str, checkpoint:
     Read the result with ``snapshot.load_index(spark, dest)`` (duplicates are
     resolved by the stored positions).
     """
+    return _start(spark, src_dir, dest, _write_batch(dest), checkpoint, available_now, processing_time, max_files_per_trigger)
+
+
+def start_merged_ingest(spark: SparkSession, src_dir: str, root: str, checkpoint: str | None = None, buckets: int = 64,
+                        available_now: bool = True, processing_time: str | None = None,
+                        max_files_per_trigger: int | None = None):
+    """The same, but every micro-batch is merged into the bucketed index at
+    ``root`` (see :mod:`..sources.merged`; made with ``buckets`` by the first
+    one): only touched buckets are rewritten and readers need no dedup. The
+    manifest names the last merged batch, so a replayed one counts once."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = _batch_rows(batch, batch_id)
+        if merged.versions(batch.sparkSession, root):
+            merged.merge_rows(rows, root, batch_id)
+        else:
+            merged.create_rows(rows, root, buckets, batch_id)
+
+    return _start(spark, src_dir, root, write, checkpoint, available_now, processing_time, max_files_per_trigger)
+
+
+def _start(spark: SparkSession, src_dir: str, dest: str, write, checkpoint: str | None, available_now: bool,
+           processing_time: str | None, max_files_per_trigger: int | None):
     cp = checkpoint or os.path.join(checkpoint_dir(spark), "ingest-" + os.path.basename(dest.rstrip("/")))
-    w = (snapshot_stream(spark, src_dir, max_files_per_trigger).writeStream.foreachBatch(_write_batch(dest))
+    w = (snapshot_stream(spark, src_dir, max_files_per_trigger).writeStream.foreachBatch(write)
          .option("checkpointLocation", cp))
     if available_now:
         w = w.trigger(availableNow=True)
