@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import categories as cat
 from ..functions import dates, ids, text
-from ..operators import encode, filters, lookup, metrics, ordering
+from ..operators import encode, filters, lookup, metrics, ordering, pages
+from ..session import staged_path
 from ..sources.tables import table
 from . import standins as si
 from .registry import register
@@ -204,6 +205,20 @@ def page_window(spark, d):
     return ordering.page(p, ["created", "base_id"], start=100, max_results=50)
 
 
+@register("page_directory", """
+SELECT base_id, created, position FROM (
+  SELECT CAST(o_orderkey AS VARCHAR) AS base_id, CAST(o_orderdate AS DATE) AS created,
+         row_number() OVER (ORDER BY CAST(o_orderdate AS DATE), CAST(o_orderkey AS VARCHAR)) - 1 AS position FROM orders)
+WHERE position BETWEEN 1000 AND 1099""")
+def page_directory(spark, d):
+    """O2: a deep page by its position and the next one by a cursor, from one stored directory."""
+    p = si.order_papers(spark, d).select("base_id", "created")
+    where = pages.store_pages(p, ["created", "base_id"], staged_path(spark, "pages"))
+    one = pages.read_page(spark, where, 1000, 50)
+    last = one.orderBy(F.desc("position")).first()
+    return one if last is None else one.unionByName(pages.read_after(spark, where, (last.created, last.base_id), 50))
+
+
 @register("seeded_shuffle", """
 SELECT o_orderkey, row_number() OVER (ORDER BY md5('14850:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) AS position
 FROM orders""")
