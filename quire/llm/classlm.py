@@ -36,7 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, lots, store
+from ..session import delete_path, staged_path
+from .common import column, lots, store, store_at
 
 CLASSES, CLUSTERED = 64, 1000
 HELD = 200_000                        # the most frequent words, which tasks hold in memory; all others are joined by word
@@ -356,7 +357,8 @@ def _tail_pairs(docs: DataFrame, listed: pa.Array, full: np.ndarray, vocabulary:
             yield pa.RecordBatch.from_arrays([pa.array(nth + np.arange(b.num_rows)), seq, rare], names=["_row", "seq", "rare"])
             nth += b.num_rows
 
-    part = store(docs.select("text").mapInArrow(run, schema), "places")
+    path = staged_path(docs.sparkSession, "places")
+    part = store_at(docs.select("text").mapInArrow(run, schema), path)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size * size, np.int64)
@@ -367,7 +369,9 @@ def _tail_pairs(docs: DataFrame, listed: pa.Array, full: np.ndarray, vocabulary:
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["k", "n"])
 
     rows = part.select("_row", "seq").join(_placed(part, vocabulary), "_row").select("seq", "places")
-    return _matrix(rows.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), size)
+    found = _matrix(rows.mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), size)
+    delete_path(docs.sparkSession, path)                   # the sums are all that is left of it
+    return found
 
 
 class Model:
@@ -415,7 +419,8 @@ def train(docs: DataFrame, n_classes: int = CLASSES, clustered: int = CLUSTERED,
     """The model of the training ``docs``, and the stored exact counts of all their words, with
     the classes of those that the model doesn't list. All words seen ``least_count`` times have a
     class, or the ``listed`` most frequent of them; the model lists ``held`` of them at most."""
-    vocabulary = store(count_words(docs), "vocabulary")
+    path = staged_path(docs.sparkSession, "vocabulary")
+    vocabulary = store_at(count_words(docs), path)
     r = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     often = (vocabulary.where((F.octet_length("word") > 0) & (F.col("c") >= least_count))
              .orderBy(F.desc("c"), F.col("word").cast("binary")))
@@ -438,6 +443,7 @@ def train(docs: DataFrame, n_classes: int = CLASSES, clustered: int = CLUSTERED,
         if listed is not None:
             found = found.join(often.limit(listed).select("word"), "word", "left_semi")
         vocabulary = store(vocabulary.join(found, "word", "left"), "classes")
+        delete_path(docs.sparkSession, path)               # the stored classes have every word and count
         in_tail, types = np.zeros(n_classes + 2), 0
         for x in vocabulary.where("cls is not null").groupBy("cls").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
             in_tail[x.cls] = x.c

@@ -36,7 +36,11 @@ def fold(doc_id: Column, mod: int, held: int) -> Column:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared checkpoint folder and read it
     back: lineage ends there and lost executors cost nothing."""
-    path = staged_path(df.sparkSession, name)
+    return store_at(df, staged_path(df.sparkSession, name))
+
+
+def store_at(df: DataFrame, path: str) -> DataFrame:
+    """:func:`store` under a given path, for a stage that is deleted before the run ends."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
