@@ -6,12 +6,18 @@ two authors; its OAI header carries the date and the priority as set."""
 
 from __future__ import annotations
 
+import html
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from ..operators.filters import feed_batch_filter, list_ids_sorted
 from ..session import staged_path
-from ..sources import feeds
+from ..sources import feeds, harvest
 from ..sources.snapshot import POSITION
+from ..sources.storage import open_fs, publish
 from ..sources.tables import table
 from .registry import register
 
@@ -149,3 +155,73 @@ def oai_identifiers(spark, d):
     h = feeds.read_oai_headers(spark, _orders_oai(spark, d))
     return feeds.list_identifiers(h, start="1996-01-01", end="1996-12-31", set_spec="2-HIGH") \
         .select("identifier", "datestamp")
+
+
+PAGE_ROWS = 1000                      # headers of a page, as listings have
+
+
+def _orders_pages(spark, d) -> str:
+    """A chain of OAI-PMH pages in order of date, written from ``orders``. The
+    page of the token ``p:k`` is the k-th of partition p; a last, empty page ends the chain."""
+    folder = staged_path(spark, "orders-pages")
+    files, root = open_fs(folder)
+    files.create_dir(root, recursive=True)
+
+    def page(files, root: str, token: str, after: str, rows: list[dict]) -> None:
+        heads = "".join(
+            f"<header><identifier>{html.escape(r['identifier'])}</identifier><datestamp>{r['datestamp']}</datestamp>"
+            + "".join(f"<setSpec>{html.escape(x)}</setSpec>" for x in r["setSpec"]) + "</header>" for r in rows)
+        body = f"<ListIdentifiers>{heads}<resumptionToken>{after}</resumptionToken></ListIdentifiers>"
+        publish(files, f"{root}/{harvest.page_name(token)}", f'<OAI-PMH xmlns="urn:oai">{body}</OAI-PMH>'.encode())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = open_fs(folder)
+        part = TaskContext.get().partitionId()
+        k, rows = 0, []
+
+        def token(part: int, k: int) -> str:
+            return "" if part == k == 0 else f"{part}:{k}"
+
+        for b in batches:
+            for r in b.to_pylist():
+                if len(rows) == PAGE_ROWS:
+                    page(files, root, token(part, k), token(part, k + 1), rows)
+                    k, rows = k + 1, []
+                rows.append(r)
+        page(files, root, token(part, k), token(part + 1, 0), rows)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32())})
+
+    o = table(spark, d, "orders").select(
+        F.concat(F.lit("oai:example.org:"), F.col("o_orderkey").cast("string")).alias("identifier"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("datestamp"),
+        F.array(F.col("o_orderpriority"), F.concat(F.lit("status."), F.col("o_orderstatus"))).alias("setSpec"))
+    parts = o.repartitionByRange(16, "datestamp", "identifier").sortWithinPartitions("datestamp", "identifier")
+    last = parts.mapInArrow(run, "part int").agg(F.max("part")).first()[0]
+    page(files, root, f"{last + 1}:0", "", [])
+    return folder
+
+
+@register("oai_harvest", """
+SELECT 'oai:example.org:' || CAST(o_orderkey AS VARCHAR) AS identifier, CAST(o_orderdate AS DATE) AS datestamp
+FROM orders
+WHERE CAST(o_orderdate AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1996-12-31' AND o_orderpriority = '2-HIGH'""")
+def oai_harvest(spark, d):
+    """S13 and S15 over a chain of pages: the date bounds skip pages by the directory."""
+    folder = _orders_pages(spark, d)
+    directory = harvest.build_directory(spark, folder, staged_path(spark, "orders-directory"))
+    h = harvest.read_pages(spark, folder, directory)
+    h = h.where((F.col("datestamp") >= F.lit("1996-01-01").cast("date")) & (F.col("datestamp") <= F.lit("1996-12-31").cast("date")))
+    return h.where(F.array_contains("setSpec", "2-HIGH")).select("identifier", "datestamp")
+
+
+@register("oai_harvest_stream", """
+SELECT 'oai:example.org:' || CAST(o_orderkey AS VARCHAR) AS identifier, CAST(o_orderdate AS DATE) AS datestamp,
+       o_orderpriority || ' status.' || o_orderstatus AS sets
+FROM orders""")
+def oai_harvest_stream(spark, d):
+    """S13 as a stream whose offset is the resumption token; every header once."""
+    dest = staged_path(spark, "harvested")
+    q = (harvest.stream_pages(spark, _orders_pages(spark, d)).writeStream.format("parquet")
+         .option("checkpointLocation", staged_path(spark, "harvest-offsets")).trigger(availableNow=True).start(dest))
+    q.awaitTermination()
+    return spark.read.schema(harvest.SCHEMA).parquet(dest).select("identifier", "datestamp", F.array_join("setSpec", " ").alias("sets"))
