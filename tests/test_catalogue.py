@@ -21,7 +21,8 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(catalogue.QUERIES) == set(ORACLE)
+    # the learned encoder has no SQL form; test_lsa.py holds it against numpy
+    assert set(catalogue.QUERIES) - set(ORACLE) == {"lsa_embed"} and set(ORACLE) <= set(catalogue.QUERIES)
     assert set(ORACLE) <= set(entry_mod.oracle_sql()) and set(catalogue.QUERIES) <= set(entry_mod.queries())
 
 
