@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import categories as cat
 from ..functions import dates, ids, text
-from ..operators import encode, filters, lookup, metrics, ordering, pages
+from ..operators import encode, filters, lookup, metrics, ordering, pages, trigrams
 from ..session import staged_path
 from ..sources.tables import table
 from . import standins as si
@@ -282,3 +282,21 @@ SELECT doc_id, lang, CAST(dense_rank() OVER (ORDER BY lang) - 1 AS BIGINT) AS co
 def label_codes(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang")
     return encode.encode_labels(docs, "lang")
+
+
+@register("trigram_search", """
+SELECT 'title' AS search, CAST(p_partkey AS VARCHAR) AS base_id, p_name AS title FROM part WHERE contains(p_name, 'lue')
+UNION ALL SELECT 'author', CAST(p_partkey AS VARCHAR), p_name FROM part WHERE contains(lower(p_brand), 'brand#1')
+UNION ALL SELECT 'id', CAST(p_partkey AS VARCHAR), p_name FROM part WHERE regexp_matches(CAST(p_partkey AS VARCHAR), '^1(23)+')
+UNION ALL SELECT 'all', CAST(p_partkey AS VARCHAR), p_name FROM part
+          WHERE regexp_matches(CAST(p_partkey AS VARCHAR), '[0-9]7$') AND contains(p_name, 'red') AND contains(p_brand, 'Brand#2')""")
+def trigram_search(spark, d):
+    """F1, F5 and F6 by a substring index: the rows of a scan, from the blocks that can hold them."""
+    root = trigrams.build_index(si.part_papers(spark, d), staged_path(spark, "trigrams"), block_rows=1000)
+    searches = {"title": {"title": "lue"}, "author": {"author": "BRAND#1", "case_sensitive": False}, "id": {"regex_id": "^1(23)+"},
+                "all": {"regex_id": "[0-9]7$", "title": "red", "author": "Brand#2"}}
+    out = None
+    for name, s in searches.items():
+        found = trigrams.search(spark, root, **s).select(F.lit(name).alias("search"), "base_id", "title")
+        out = found if out is None else out.unionAll(found)
+    return out
