@@ -199,9 +199,9 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...]
     heads = found.where("role = 1")
     parts = sorted(r.part for r in heads.select("part").collect())             # one number per task
     follows = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1], strict=True)), "part long, next long")
-    heads = heads.select(F.col("part").alias("next"), F.col("z").alias("next_z"), F.col("fp").alias("next_fp"))
-    ends = found.where("role = 2").select("part", *own_names).join(follows, "part").join(heads, "next").mapInArrow(across, result)
-    return found.where("role = 0").select(*result.names).unionByName(ends)
+    heads = small_side(heads.select(F.col("part").alias("next"), F.col("z").alias("next_z"), F.col("fp").alias("next_fp")))
+    ends = found.where("role = 2").select("part", *own_names).join(F.broadcast(follows), "part").join(heads, "next").mapInArrow(across, result)
+    return found.where("role = 0").select(*result.names).unionByName(store(ends, "ends"))      # a row per task; read again for each result
 
 
 def _jaccard(sets: list[np.ndarray], v: int, others: np.ndarray) -> np.ndarray:

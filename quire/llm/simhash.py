@@ -39,6 +39,7 @@ from .common import ASCII_LOWER, column, store, text_bytes
 SHINGLE, SEED, BITS, BYTES = 3, 42, 3, 8
 SHARED = BYTES - BITS                 # positional bytes that a linked pair shares at least
 CHUNK = 2048                          # fingerprints of one list compared at once
+HELD = 500_000                        # edges whose nodes' smallest neighbours (at most two numbers for each of two nodes) are broadcast
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
@@ -181,23 +182,24 @@ def links(distinct: DataFrame, n: int, bits: int = BITS, chunk: int = CHUNK) ->
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, held: int = HELD) -> DataFrame:
     """node, root for every node of ``edges`` (a, b): root is the smallest node
     it can reach. Alternates large-star and small-star steps (each a
-    groupBy-min and a join) until the stored edges no longer change."""
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    groupBy-min and a join) until the stored edges no longer change. The
+    smallest neighbours of up to ``held`` edges' nodes are broadcast, so that a
+    round of a small table has three shuffles, not six; more are joined by shuffles."""
+    def star(e: DataFrame, large: bool, small: bool) -> DataFrame:
         # e: a > b. Large: every larger neighbour of a node goes to its smallest; small: every smaller one.
+        low = F.broadcast if small else lambda x: x
         if large:
-            both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            low = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-            out = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            both = e.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+            least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
             # a node that is its own smallest keeps the edges its larger neighbours give
-        else:
-            low = e.groupBy("a").agg(F.min("b").alias("m"))
-            out = e.join(low, "a")
-            out = (out.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-                   .unionByName(low.select("a", F.col("m").alias("b"))))
-        return out.distinct()
+            return both.where("b > a").join(low(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = e.groupBy("a").agg(F.min("b").alias("m"))
+        pairs = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
+        out = e.join(low(least), "a").select(F.explode(pairs).alias("e")).select("e.*")
+        return out.where("a <> b").distinct()              # of as many edges at most as twice those before
 
     def summary(e: DataFrame) -> tuple:
         r = e.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -206,7 +208,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = store(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = summary(e)
     while last[0]:
-        e = store(star(star(e, True), False), "edges")
+        small = last[0] <= held
+        e = store(star(star(e, True, small), False, small), "edges")
         now = summary(e)
         if now == last:
             break
