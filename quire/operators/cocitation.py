@@ -13,9 +13,10 @@ citations per category (a partial aggregate), and
 
 so the work is one row per (edge, category of that citing paper). ``C`` has one
 row per citing paper and category; it is broadcast when checked small. Beyond
-that the ``edges x C`` join is salted: a hub citing paper's edges go to
-``SALTS`` partitions, whose share of ``C`` is repeated. Both aggregates combine
-map-side.
+that ``edges x C`` is joined by shuffles, each side once: only citing papers of
+more than ``HUB`` edges are salted, a salt per ``HUB`` edges, and only their
+rows of ``C`` are repeated. Hubs are at most one in ``HUB`` edges, so the
+shuffles grow with the edges. Both aggregates combine map-side.
 """
 
 from __future__ import annotations
@@ -24,22 +25,28 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, store
-from .lookup import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, DECODED_PER_STORED
+from .lookup import BROADCAST_MAX_BYTES, BROADCAST_MAX_ROWS, DECODED_PER_STORED, small_side
 
-SALTS = 32
+HUB = 10_000                          # edges of one citing paper that one task joins
 
 
-def _with_categories(edges: DataFrame, per_src: DataFrame, max_rows: int) -> DataFrame:
+def _with_categories(edges: DataFrame, per_src: DataFrame, max_rows: int, hub: int) -> DataFrame:
+    """``edges`` with the rows of ``per_src`` (src, cat, c; without a category: the other edges) of their citing paper."""
     per_src, nbytes = store(per_src, "per-source")
-    if nbytes * DECODED_PER_STORED <= BROADCAST_MAX_BYTES and per_src.count() <= max_rows:
-        return edges.join(F.broadcast(per_src), on="src")
-    salted = per_src.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edges.withColumn("_s", F.pmod(F.hash("paper"), F.lit(SALTS))).join(salted, on=["src", "_s"]).drop("_s")
+    known = per_src.where(F.col("cat").isNotNull())
+    if nbytes * DECODED_PER_STORED <= BROADCAST_MAX_BYTES and known.count() <= max_rows:
+        return edges.join(F.broadcast(known), on="src")
+    hubs = per_src.groupBy("src").agg(F.ceil(F.sum("c") / hub).cast("int").alias("salts")).where("salts > 1")
+    hubs = small_side(hubs)
+    salts = F.coalesce("salts", F.lit(1))
+    dealt = edges.join(hubs, on="src", how="left").withColumn("_s", F.pmod(F.hash("paper"), salts)).drop("salts")
+    salted = known.join(hubs, on="src", how="left").withColumn("_s", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+    return dealt.join(salted, on=["src", "_s"]).drop("_s")
 
 
 def cocitation_counts(edges: DataFrame, train_labels: DataFrame, src: str = "src",
                       dst: str = "dst", id_col: str = "id", label_col: str = "cat",
-                      max_broadcast_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                      max_broadcast_rows: int = BROADCAST_MAX_ROWS, hub: int = HUB) -> DataFrame:
     """``(paper, cat, cnt, share)`` for every paper cited at least once, over
     categories with a non-zero count."""
     e = edges.select(F.col(src).alias("src"), F.col(dst).alias("paper")).distinct()
@@ -47,10 +54,8 @@ def cocitation_counts(edges: DataFrame, train_labels: DataFrame, src: str = "src
     # both branches below read the labelled distinct edges: store them once
     # (one scan and one dedup shuffle of the edges, not two)
     el = materialize(e.join(lab, on="paper", how="left"), "labelled-edges")
-    per_src = (el.where(F.col("own_cat").isNotNull())
-               .groupBy("src", F.col("own_cat").alias("cat"))
-               .agg(F.count(F.lit(1)).alias("c")))
-    contrib = _with_categories(el, per_src, max_broadcast_rows).select(
+    per_src = el.groupBy("src", F.col("own_cat").alias("cat")).agg(F.count(F.lit(1)).alias("c"))
+    contrib = _with_categories(el, per_src, max_broadcast_rows, hub).select(
         "paper", "cat",
         (F.col("c") - F.when(F.col("own_cat") == F.col("cat"), 1).otherwise(0)).alias("c"))
     agg = (contrib.groupBy("paper", "cat").agg(F.sum("c").alias("cnt"))
