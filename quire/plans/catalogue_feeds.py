@@ -22,6 +22,15 @@ from ..sources.tables import table
 from .registry import register
 
 _FEED_URL = "http://example.org/abs/"
+STAGED_ROWS = 50_000                  # rows of a staged file: a page file is read by one task, so long ones would be few tasks
+
+
+def _staged_xml(rows, name: str, row_tag: str, root_tag: str) -> str:
+    """``rows`` as compressed XML files in the order of the rows (partition, then file of the partition)."""
+    dest = staged_path(rows.sparkSession, name)
+    rows.write.format("xml").option("rowTag", row_tag).option("rootTag", root_tag).option("compression", "gzip") \
+        .option("maxRecordsPerFile", STAGED_ROWS).mode("overwrite").save(dest)
+    return dest
 
 
 def _orders_feed(spark, d, pages_overlap: bool = False) -> str:
@@ -49,9 +58,7 @@ def _orders_feed(spark, d, pages_overlap: bool = False) -> str:
     if pages_overlap:                                      # every fourth entry comes again, on a later page, retitled
         again = entries.where(F.length("id") % 4 == 0).withColumn("title", F.lit("again"))
         entries = entries.unionByName(again)
-    dest = staged_path(spark, "orders-feed")
-    entries.write.format("xml").option("rowTag", "entry").option("rootTag", "feed").mode("overwrite").save(dest)
-    return dest
+    return _staged_xml(entries, "orders-feed", "entry", "feed")
 
 
 def _orders_oai(spark, d) -> str:
@@ -61,10 +68,7 @@ def _orders_oai(spark, d) -> str:
         F.concat(F.lit("oai:example.org:"), F.col("o_orderkey").cast("string")).alias("identifier"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("datestamp"),
         F.array(F.col("o_orderpriority"), F.concat(F.lit("status."), F.col("o_orderstatus"))).alias("setSpec"))
-    dest = staged_path(spark, "orders-oai")
-    headers.write.format("xml").option("rowTag", "header").option("rootTag", "ListIdentifiers") \
-        .mode("overwrite").save(dest)
-    return dest
+    return _staged_xml(headers, "orders-oai", "header", "ListIdentifiers")
 
 
 @register("feed_entries", """
