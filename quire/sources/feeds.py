@@ -81,11 +81,14 @@ def project_entries(entries: DataFrame, full: bool = False, old_ids: bool = Fals
 def entries_as_papers(entries: DataFrame) -> DataFrame:
     """Feed rows in the papers layout (so one filter serves both sources)."""
     p = project_entries(entries, full=True)
-    if POSITION in p.columns:                              # overlapping pages: the last entry of an id
-        p = dedup_by_key(materialize(p, "entries"), "id", POSITION, keep="last")     # the pages are parsed once
-    return p.select("base_id", F.array_join("categories", " ").alias("categories"),
-                    F.col("published_date").alias("created"),
-                    F.array_join("authors", ", ").alias("authors"), "title", "abstract")
+    more = [c for c in ("id", POSITION) if POSITION in p.columns]
+    # only these fields are parsed and stored, not the links, comments and references
+    p = p.select("base_id", F.array_join("categories", " ").alias("categories"),
+                 F.col("published_date").alias("created"),
+                 F.array_join("authors", ", ").alias("authors"), "title", "abstract", *more)
+    if more:                                               # overlapping pages: the last entry of an id
+        p = dedup_by_key(materialize(p, "entries"), "id", POSITION, keep="last").drop(*more)     # the pages are parsed once
+    return p
 
 
 def open_papers(spark: SparkSession, index: str | None = None, feed=None) -> DataFrame:
