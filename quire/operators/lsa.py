@@ -34,6 +34,7 @@ from . import encode, linear
 DIM, RANK, OVERSAMPLE, POWER = 4096, 64, 10, 3
 SUM_BYTES = 64 << 20                  # of the matrices that one task, or the driver, sums
 CELLS = 1 << 16                       # non-zero cells multiplied at once
+LOT = 250                             # texts whose cells are numbers in memory at once
 
 
 def term_counts(text, dim: int = DIM) -> Column:
@@ -78,6 +79,14 @@ def _back(bucket: np.ndarray, value: np.ndarray, offsets: np.ndarray, y: np.ndar
     return np.stack([np.bincount(bucket, weights=value * c[row], minlength=dim) for c in y.T], axis=1)
 
 
+def projected(terms: pa.Array, idf: np.ndarray, axes: np.ndarray) -> np.ndarray:
+    """Texts times ``axes``; the cells of ``LOT`` texts are held at a time."""
+    y = np.empty((len(terms), axes.shape[1]))
+    for a in range(0, len(terms), LOT):
+        y[a:a + LOT] = _times(*_rows(terms.slice(a, LOT), idf), axes)
+    return y
+
+
 @dataclass
 class Encoder:
     """``idf`` of each bucket, ``axes`` (buckets x rank) and the singular values of the corpus."""
@@ -92,7 +101,7 @@ class Encoder:
 
         @F.arrow_udf(T.ArrayType(T.DoubleType()))
         def project(terms: pa.Array) -> pa.Array:
-            y = _times(*_rows(terms, idf), axes)
+            y = projected(terms, idf, axes)
             return pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * axes.shape[1], pa.int32()), pa.array(y.ravel()))
 
         return project.asNondeterministic()(term_counts(text, len(idf)))
@@ -118,12 +127,13 @@ def fit(docs: DataFrame, text: str, dim: int = DIM, rank: int = RANK, oversample
             idf, w = held.value
             total, r = np.zeros(w.shape), np.zeros((0, w.shape[1]))
             for b in batches:
-                for a in range(0, b.num_rows, 1000):
-                    cells = _rows(b.column(0).slice(a, 1000), idf)
+                for a in range(0, b.num_rows, LOT):
+                    cells = _rows(b.column(0).slice(a, LOT), idf)
                     y = _times(*cells, w)
                     total += _back(*cells, y, len(idf))
                     if triangle:
                         r = np.linalg.qr(np.vstack([r, y]), mode="r")
+                del b                                      # before the next batch is read
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tobytes()], pa.binary()),
                                               pa.array([r.tobytes()], pa.binary())], names=["part", "v", "r"])
 

@@ -3,10 +3,13 @@
 import datetime
 import os
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quire.operators import cocitation
+from quire.operators import cocitation, lsa
 from quire.plans import catalogue_feeds
 from quire.sources import feeds
 
@@ -58,3 +61,17 @@ def test_papers_of_a_feed_store_only_their_fields(spark, tmp_path, monkeypatch):
     papers = feeds.open_papers(spark, feed=catalogue_feeds._orders_feed(spark, d, pages_overlap=True))
     assert papers.columns == ["base_id", "categories", "created", "authors", "title", "abstract"] and papers.count() == len(rows)
     assert not {"links", "comment", "journal_ref", "doi", "updated"} & set(stored[0])
+
+
+def test_encoder_holds_the_cells_of_few_texts():
+    rng, dim, cells = np.random.default_rng(1), 1024, 200
+    size, idf, axes = 6000, rng.random(dim) + 1, rng.normal(size=(dim, 8))
+    flat = pa.StructArray.from_arrays([pa.array(rng.integers(0, dim, size * cells), pa.int32()), pa.array(rng.integers(1, 5, size * cells), pa.int64())], names=["bucket", "tf"])
+    terms = pa.ListArray.from_arrays(pa.array(np.arange(size + 1) * cells, pa.int32()), flat)
+    tracemalloc.start()
+    y = lsa.projected(terms, idf, axes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16e6                                     # all texts at once: 10 MB for each number of a cell
+    assert np.allclose(y, lsa._times(*lsa._rows(terms, idf), axes), atol=1e-12)
+    assert lsa.projected(terms.slice(0, 0), idf, axes).shape == (0, 8)
